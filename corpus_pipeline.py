@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from veritome.llm import common, exact_dedup, mixing
+from veritome.llm import bpe, common, exact_dedup, mixing, simhash
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
@@ -17,12 +17,23 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return exact_dedup.drop_copies(docs)
 
 
+def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of near-duplicates, the one with the smallest id stays."""
+    return simhash.drop_near_duplicates(docs)
+
+
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sources mixed to target weights; repeated documents are repeated rows."""
     return mixing.mix_documents(docs)
 
 
-STAGES: list[tuple[str, Stage]] = [("exact_dedup", exact), ("mix_sources", mix)]
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The mix as token counts and digests of its ids and decoded texts."""
+    return bpe.digest_documents(docs, bpe.vocabulary(VOCABULARY))
+
+
+VOCABULARY = "word_bpe_49k.json"
+STAGES: list[tuple[str, Stage]] = [("exact_dedup", exact), ("simhash_dedup", near), ("mix_sources", mix), ("bpe_encode", encode)]
 
 #: SQL can't express the classifier, the fingerprints or the encoding.
 ORACLE_SQL = None

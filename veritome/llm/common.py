@@ -51,3 +51,39 @@ def free_name(taken: Sequence[str], wanted: str) -> str:
         i += 1
         name = f"{wanted}_{i}"
     return name
+
+
+def bit_slot(words: int, *cols: Column) -> tuple[Column, Column]:
+    """Word number and bit number of a key in a filter of ``words`` 64-bit words."""
+    h = F.pmod(F.xxhash64(*cols), F.lit(words * 64))
+    return F.shiftright(h, 6).alias("_w"), h.bitwiseAND(F.lit(63)).cast("int").alias("_b")
+
+
+def bit_filter(keys: DataFrame, words: int, *names: str) -> DataFrame:
+    """A filter of the keys' hashes: at most ``words`` rows (_w, _bits), whatever the number of keys."""
+    return keys.select(*bit_slot(words, *map(F.col, names))).groupBy("_w").agg(F.bit_or(F.expr("shiftleft(1L, _b)")).alias("_bits"))
+
+
+def in_filter(rows: DataFrame, bits: DataFrame, words: int, *names: str) -> DataFrame:
+    """``rows`` with a boolean ``_hit``: false if the key is surely not in the filter."""
+    w, b = bit_slot(words, *map(F.col, names))
+    out = rows.withColumns({"_w": w, "_b": b}).join(F.broadcast(bits), "_w", "left")
+    return out.withColumn("_hit", F.coalesce(F.expr("getbit(_bits, _b) = 1"), F.lit(False))).drop("_w", "_b", "_bits")
+
+
+def apply_decisions(docs: DataFrame, id_col: str, key: Column, decisions: DataFrame, *, words: int = 1 << 16, max_broadcast: int = 20_000) -> DataFrame:
+    """``docs`` without the rows that ``decisions`` removes, all columns kept.
+
+    ``decisions`` (_gid, _gkey, _group, _tie) name rows by id and ``key``: those with _tie
+    false go, and of those with _tie true one per (id, _group) stays.  Rows that a
+    fixed-size filter of the keys doesn't hold go straight through; only the others are
+    joined, so no other row is shuffled.
+    """
+    names = docs.columns
+    k, tie, group = (free_name(names, x) for x in ("decision_key", "decision_tie", "decision_group"))
+    told = cut(decisions.groupBy("_gid", "_gkey").agg(F.max("_tie").alias(tie), F.max("_group").alias(group)))
+    hit = in_filter(docs.withColumn(k, key), bit_filter(told, words, "_gkey"), words, k)
+    joined = hit.filter("_hit").join(broadcast_if_small(told, max_broadcast), F.col(id_col).eqNullSafe(F.col("_gid")) & (F.col(k) == F.col("_gkey")), "left")
+    through, unnamed = hit.filter("not _hit").select(names), joined.filter(F.col(tie).isNull()).select(names)
+    once = joined.filter(F.col(tie)).dropDuplicates([id_col, group]).select(names)
+    return through.unionByName(unnamed).unionByName(once)

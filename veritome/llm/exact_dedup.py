@@ -16,29 +16,13 @@ other columns of the input are ignored, whatever their names.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veritome.llm.common import ascii_lower, cut, free_name, table
+from veritome.llm.common import apply_decisions, ascii_lower, bit_filter, broadcast_if_small, cut, in_filter, table
 
-
-def _slot(filter_words: int, *cols: Column) -> tuple[Column, Column]:
-    """Word number and bit number of a key in the filter."""
-    h = F.pmod(F.xxhash64(*cols), F.lit(filter_words * 64))
-    return F.shiftright(h, 6).alias("_w"), h.bitwiseAND(F.lit(63)).cast("int").alias("_b")
-
-
-def _bit_filter(keys: DataFrame, filter_words: int, *names: str) -> DataFrame:
-    """At most ``filter_words`` rows (_w, _bits), whatever the number of keys."""
-    one = F.expr("shiftleft(1L, _b)")
-    return keys.select(*_slot(filter_words, *map(F.col, names))).groupBy("_w").agg(F.bit_or(one).alias("_bits"))
-
-
-def _marked(rows: DataFrame, bits: DataFrame, filter_words: int, *names: str) -> DataFrame:
-    """``rows`` with a boolean ``_hit``: the key may be in the filter."""
-    w, b = _slot(filter_words, *map(F.col, names))
-    out = rows.withColumns({"_w": w, "_b": b}).join(F.broadcast(bits), "_w", "left")
-    return out.withColumn("_hit", F.coalesce(F.expr("getbit(_bits, _b) = 1"), F.lit(False))).drop("_w", "_b", "_bits")
+#: Groups of copies up to this number are broadcast to their rows; more are joined by shuffle.
+MAX_BROADCAST_GROUPS = 50_000
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, prefix_chars: int = 256, filter_words: int = 1 << 16, digest_all: bool = False) -> DataFrame:
@@ -53,9 +37,9 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     )
     small = cut(rows.select("_len", "_prefix"))
     lengths = small.groupBy("_len").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    level1 = _marked(small, _bit_filter(lengths, filter_words, "_len"), filter_words, "_len").filter("_hit")
+    level1 = in_filter(small, bit_filter(lengths, filter_words, "_len"), filter_words, "_len").filter("_hit")
     prefixes = level1.groupBy("_len", "_prefix").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    level2 = _marked(rows, _bit_filter(prefixes, filter_words, "_len", "_prefix"), filter_words, "_len", "_prefix")
+    level2 = in_filter(rows, bit_filter(prefixes, filter_words, "_len", "_prefix"), filter_words, "_len", "_prefix")
 
     full = F.unhex(F.sha2(ascii_lower(F.col("_t")), 256))
     digest = full if digest_all else F.when(F.col("_hit"), full)
@@ -66,6 +50,8 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         .agg(F.max("_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"), F.max_by("_row", F.struct(F.col("_id").isNotNull(), "_id", "_row")).alias("_keep_row"))
         .filter("group_size > 1")
     )
+    # A recomputed key makes a shuffled join deal out both sides anew, so that a hot group can be split.
+    groups = broadcast_if_small(cut(groups.withColumn("_sha", F.unhex(F.hex("_sha")))), MAX_BROADCAST_GROUPS)
     out = hashed.join(groups, "_sha", "left")
     return out.select(
         F.col("_id").alias(id_col),
@@ -76,24 +62,11 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     )
 
 
-def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, filter_words: int = 1 << 16) -> DataFrame:
-    """``docs`` with one row of each group of equal texts, all columns kept.
-
-    Rows that the fixed-size filter of removed keys doesn't hold go straight through; only
-    possible copies are joined, so no other text is shuffled.
-    """
-    sha, tie = free_name(docs.columns, "sha"), free_name(docs.columns, "tie")
-    result = exact_dedup(docs, id_col, text_col)
-    same = F.col(id_col).eqNullSafe(F.col("keep_id"))
-    gone = cut(result.filter(~F.col("kept")).groupBy(F.col(id_col).alias("_gid"), F.col("digest").alias("_gsha")).agg(F.max(same).alias(tie)))
-    keyed = docs.withColumn(sha, F.sha2(ascii_lower(F.coalesce(docs[text_col].cast("string"), F.lit(""))), 256))
-    bits = _bit_filter(gone.select("_gsha"), filter_words, "_gsha")
-    marked = _marked(keyed, bits, filter_words, sha)
-    hit = marked.filter("_hit").join(F.broadcast(gone) if gone.limit(20_001).count() <= 20_000 else gone, F.col(id_col).eqNullSafe(F.col("_gid")) & (F.col(sha) == F.col("_gsha")), "left")
-    once = hit.filter(F.col(tie)).dropDuplicates([id_col, sha])
-    rest = hit.filter(F.col(tie).isNull())
-    names = docs.columns
-    return marked.filter(~F.col("_hit")).select(names).unionByName(rest.select(names)).unionByName(once.select(names))
+def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` with one row of each group of equal texts, all columns kept."""
+    result = exact_dedup(docs, id_col, text_col).filter(~F.col("kept"))
+    decisions = result.select(F.col(id_col).alias("_gid"), F.col("digest").alias("_gkey"), F.col("digest").alias("_group"), F.col(id_col).eqNullSafe(F.col("keep_id")).alias("_tie"))
+    return apply_decisions(docs, id_col, F.sha2(ascii_lower(F.coalesce(docs[text_col].cast("string"), F.lit(""))), 256), decisions)
 
 
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

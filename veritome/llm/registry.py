@@ -6,11 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from veritome.llm import exact_dedup, mixing, url_filter
+from veritome.llm import bpe, exact_dedup, mixing, simhash, url_filter
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op2_simhash_dedup": simhash.op2_simhash_dedup,
+        "op5_bpe_encode": bpe.op5_bpe_encode,
         "op8_mix_sources": mixing.op8_mix_sources,
         "op9_exact_dedup": exact_dedup.op9_exact_dedup,
         "op10_url_filter": url_filter.op10_url_filter,
