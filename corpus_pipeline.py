@@ -6,12 +6,19 @@ import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from veritome.llm import bpe, common, exact_dedup, mixing, simhash
+from veritome.llm import bpe, common, exact_dedup, mixing, quality_knn, simhash
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier accepts."""
+    names = docs.columns
+    return quality_knn.judge(spark, docs, sf_dir, keep=names).filter(F.col("score") >= quality_knn.THRESHOLD).select(names)
+
+
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents with equal texts, the one with the largest id stays."""
     return exact_dedup.drop_copies(docs)
@@ -33,7 +40,7 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 VOCABULARY = "word_bpe_49k.json"
-STAGES: list[tuple[str, Stage]] = [("exact_dedup", exact), ("simhash_dedup", near), ("mix_sources", mix), ("bpe_encode", encode)]
+STAGES: list[tuple[str, Stage]] = [("quality_classifier", quality), ("exact_dedup", exact), ("simhash_dedup", near), ("mix_sources", mix), ("bpe_encode", encode)]
 
 #: SQL can't express the classifier, the fingerprints or the encoding.
 ORACLE_SQL = None

@@ -300,7 +300,7 @@ def digest_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_co
             rows = tok.encode_rows(texts)
             if len(said) > MAX_WORDS:
                 said.clear()
-            for w in set().union(*rows) - said.keys():
+            for w in [w for w in set().union(*rows) if w not in said]:
                 said[w] = (" ".join(map(str, w)), tok.decode(w))
             get = said.__getitem__
             n = pa.array([sum(map(len, r)) for r in rows], pa.int64())
