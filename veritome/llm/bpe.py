@@ -4,10 +4,11 @@ Words are proposed as greedy longest matches.  A row of tokens is the true encod
 only if every adjacent pair is compatible, that is, if no merge across the seam fires before
 both tokens are complete.  The merges of a trained vocabulary fire in order of rank, so the
 pieces at a seam are known for every rank: the right edge of the left token and the left edge
-of the right token.  Numpy looks up all edge pairs of all new adjacent pairs at once; only
-words with an incompatible pair are merged exactly.
+of the right token.  Numpy looks up all edge pairs of all adjacent pairs at once; only words
+with an incompatible pair are merged exactly, all of them side by side.
 
-Words are encoded once per batch and remembered up to a fixed number, so memory is bounded.
+Words are encoded once per piece of bounded size and remembered up to a fixed number, so memory
+is bounded.
 
 Defined results: null text counts as empty; an empty text has no ids and decodes to the empty
 string; the strings of special tokens in a text become their ids, as in the tokenizers
@@ -19,6 +20,7 @@ from __future__ import annotations
 import hashlib
 import heapq
 import json
+import re
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
@@ -29,7 +31,7 @@ from pyspark.sql import functions as F
 from veritome.llm.common import table
 
 NEVER = np.iinfo(np.int32).max
-MAX_WORDS = 300_000
+MAX_WORDS = 500_000
 
 
 def _byte_chars() -> dict[int, str]:
@@ -40,6 +42,40 @@ def _byte_chars() -> dict[int, str]:
     return out
 
 
+class Lookup:
+    """Whole-array lookups of non-negative int64 keys: open addressing, a quarter full at most."""
+
+    def __init__(self, keys: np.ndarray, values: np.ndarray):
+        bits = max(4, (4 * len(keys)).bit_length())
+        self._shift, self._mask = np.uint64(64 - bits), (1 << bits) - 1
+        self._keys, self._values = np.full(1 << bits, -1, np.int64), np.full(1 << bits, -1, np.int64)
+        slot, todo = self._slot(keys), np.arange(len(keys))
+        while len(todo):
+            free = todo[self._keys[slot[todo]] < 0]
+            _, first = np.unique(slot[free], return_index=True)
+            took = free[first]
+            self._keys[slot[took]], self._values[slot[took]] = keys[took], values[took]
+            todo = todo[self._keys[slot[todo]] != keys[todo]]
+            slot[todo] = (slot[todo] + (self._keys[slot[todo]] >= 0)) & self._mask
+
+    def _slot(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> self._shift).astype(np.int64)
+
+    def __call__(self, keys: np.ndarray) -> np.ndarray:
+        """Values; -1 where a key is missing."""
+        slot = self._slot(keys)
+        found = self._keys[slot]
+        out = np.where(found == keys, self._values[slot], -1)
+        todo = np.flatnonzero((found != keys) & (found >= 0))
+        while len(todo):
+            slot[todo] = (slot[todo] + 1) & self._mask
+            found = self._keys[slot[todo]]
+            hit = found == keys[todo]
+            out[todo[hit]] = self._values[slot[todo[hit]]]
+            todo = todo[~hit & (found >= 0)]
+        return out
+
+
 class WordBpe:
     """Encoder and decoder for a BPE vocabulary file whose words end in a suffix."""
 
@@ -55,12 +91,13 @@ class WordBpe:
         self._normalise = self._normaliser(spec["normalizer"])
         split = next(p for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
         self._path = path
-        self._pieces = regex.compile(split["pattern"]["Regex"]).findall
+        pattern = split["pattern"]["Regex"]
+        self._pieces = regex.compile(pattern).findall
+        self._ascii_pieces = re.compile(pattern.replace(r"\p{L}", "a-zA-Z").replace(r"\p{N}", "0-9"), re.ASCII).findall
         self._known: set[str] = set()
         self._library = None
         self._special = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         self._chars = _byte_chars()
-        self._table = {b: c for b, c in self._chars.items()}
         self.rank: dict[tuple[int, int], int] = {}
         self._result: dict[tuple[int, int], int] = {}
         for r, m in enumerate(model["merges"]):
@@ -69,21 +106,19 @@ class WordBpe:
             self.rank.setdefault(pair, r)
             self._result.setdefault(pair, self.vocab[a + b])
         self._prepare()
-        self._memo: dict[str, tuple[int, ...]] = {}
-        self._good: dict[int, bool] = {}
+        #: Words of this worker: their ids as decimals, and decoded.  Emptied when it holds MAX_WORDS.
+        self.said: dict[str | int, tuple[str, str]] = {}
 
     @staticmethod
     def _normaliser(spec: dict) -> Callable[[str], str]:
         import unicodedata
 
-        import regex
-
         steps = []
         for n in spec["normalizers"] if spec["type"] == "Sequence" else [spec]:
             if n["type"] == "NFC":
                 steps.append(lambda s: s if s.isascii() or unicodedata.is_normalized("NFC", s) else unicodedata.normalize("NFC", s))
-            elif n["type"] == "Replace":
-                steps.append(lambda s, sub=regex.compile(n["pattern"]["Regex"]).sub, to=n["content"]: sub(to, s))
+            elif n["type"] == "Replace" and (n["pattern"], n["content"]) == ({"Regex": r"\s+"}, " "):
+                pass  # words never hold white space, so how much of it parts them makes no difference
             elif n["type"] == "Lowercase":  # character by character: no rule depends on neighbours
                 steps.append(lambda s: s.lower() if "Σ" not in s else "".join(map(str.lower, s)))
             else:
@@ -97,8 +132,8 @@ class WordBpe:
         return run
 
     def _prepare(self) -> None:
-        """Edges of all tokens, reachable tokens, and the sorted merge table."""
-        n = max(self.token) + 1
+        """Edges of all tokens, reachable tokens as a trie, and the merge table."""
+        n = self._span = max(self.token) + 1
         parts: dict[int, tuple[int, int, int]] = {}
         for (a, b), r in self.rank.items():
             t = self._result[a, b]
@@ -116,11 +151,30 @@ class WordBpe:
         for edge, until, rows in ((self._right, self._right_until, right), (self._left, self._left_until, left)):
             for i, row in enumerate(rows):
                 edge[i, : len(row)], until[i, : len(row)] = zip(*row, strict=True)
-        self._span = n
-        keys = np.array([a * n + b for a, b in self.rank], np.int64)
-        order = np.argsort(keys)
-        self._keys, self._ranks = keys[order], np.array(list(self.rank.values()), np.int64)[order]
-        self._longest = max(map(len, self.reachable))
+        # Rank and result of a merge in one value.
+        pairs = np.array([a * n + b for a, b in self.rank], np.int64)
+        self._merge = Lookup(pairs, np.array([r * n + self._result[p] for p, r in self.rank.items()], np.int64))
+        # Symbols are bytes; the last of a word is 256 higher.
+        byte = {c: b for b, c in self._chars.items()}
+        self._first = np.array([self.vocab[self._chars[b] + e] for e in ("", self.suffix) for b in range(256)], np.int64)
+        edges: dict[int, int] = {}
+        accept = [-1]
+        for t, i in self.reachable.items():
+            ends = bool(self.suffix) and t.endswith(self.suffix) and len(t) > len(self.suffix)
+            symbols = [byte.get(c) for c in (t[: -len(self.suffix)] if ends else t)]
+            if None in symbols:
+                continue
+            symbols[-1] += 256 * ends
+            state = 0
+            for x in symbols:
+                to = edges.get(state * 512 + x)
+                if to is None:
+                    to = edges[state * 512 + x] = len(accept)
+                    accept.append(-1)
+                state = to
+            accept[state] = i
+        self._step = Lookup(np.fromiter(edges.keys(), np.int64), np.fromiter(edges.values(), np.int64))
+        self._accept = np.array(accept, np.int64)
 
     def _symbols(self, word: str) -> list[str]:
         """Characters of a word in stand-ins, the suffix on the last."""
@@ -151,20 +205,21 @@ class WordBpe:
                     heapq.heappush(heap, (r, x, ids[x], ids[y]))
         return [i for i in ids if i is not None]
 
-    def _greedy(self, word: str) -> list[int]:
-        """Longest reachable tokens from the left; the last must carry the suffix."""
-        out, at, n, get = [], 0, len(word), self.reachable.get
-        while at < n:
-            i = None
-            for end in range(min(n, at + self._longest), at, -1):
-                i = get(word[at:end] + self.suffix) if end == n else get(word[at:end])
-                if i is not None:
-                    break
-            if i is None:
-                return []
-            out.append(i)
-            at = end
-        return out
+    def _longest(self, symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Token and length of the longest match that starts at each symbol; no token crosses a word's end."""
+        n = len(symbols)
+        token, length = np.full(n, -1, np.int64), np.zeros(n, np.int64)
+        at, state, depth = np.arange(n), np.zeros(n, np.int64), 0
+        while len(at):
+            state = self._step(state * 512 + symbols[at + depth])
+            depth += 1
+            on = state >= 0
+            at, state = at[on], state[on]
+            whole = self._accept[state] >= 0
+            token[at[whole]], length[at[whole]] = self._accept[state[whole]], depth
+            on = at + depth < n
+            at, state = at[on], state[on]
+        return token, length
 
     def compatible(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Whether tokens a and b can stand side by side."""
@@ -175,30 +230,100 @@ class WordBpe:
                 rows = np.flatnonzero(ok & (ra[:, i] >= 0) & (lb[:, j] >= 0))
                 if not len(rows):
                     break
-                key = ra[rows, i] * self._span + lb[rows, j]
-                at = np.minimum(np.searchsorted(self._keys, key), len(self._keys) - 1)
-                rank = self._ranks[at]
+                found = self._merge(ra[rows, i] * self._span + lb[rows, j])
+                rank = found // self._span
                 # On equal ranks the leftmost merge fires first: within a before the seam, the seam before within b.
-                ok[rows[(self._keys[at] == key) & (rank < ua[rows, i]) & (rank <= ub[rows, j])]] = False
+                ok[rows[(found >= 0) & (rank < ua[rows, i]) & (rank <= ub[rows, j])]] = False
         return ok
 
-    def _learn(self, words: Iterable[str]) -> None:
-        """Encode new words (raw strings) into the memo."""
-        if len(self._memo) > MAX_WORDS:
-            self._memo.clear()
-        if len(self._good) > MAX_WORDS:
-            self._good.clear()
-        names = list(words)
-        spelled = ["".join(map(self._table.__getitem__, w.encode())) for w in names]
-        tokens = list(map(self._greedy, spelled))
-        good, span = self._good, self._span
-        pairs = {x * span + y for t in tokens for x, y in zip(t, t[1:], strict=False)}
-        if new := [p for p in pairs if p not in good]:
-            p = np.array(new, np.int64)
-            good.update(zip(new, self.compatible(p // span, p % span).tolist(), strict=True))
-        for w, s, t in zip(names, spelled, tokens, strict=True):
-            sure = t and all(good[x * span + y] for x, y in zip(t, t[1:], strict=False))
-            self._memo[w] = tuple(t if sure else self._exact(s + self.suffix))
+    def _merge_all(self, symbols: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Exact merging of many words at once: in each round every word does its merge of least rank, leftmost first.
+
+        Returns the tokens of all words in a row, and their number for each word.
+        """
+        ids = self._first[symbols]
+        word = np.repeat(np.arange(len(sizes)), sizes)
+        n = len(ids)
+        after = np.r_[np.where(word[1:] == word[:-1], np.arange(1, n), -1), -1]
+        before = np.r_[-1, np.where(word[1:] == word[:-1], np.arange(n - 1), -1)]
+        none = np.iinfo(np.int64).max
+
+        def found(i: np.ndarray) -> np.ndarray:
+            out = np.full(len(i), none)
+            has = np.flatnonzero(after[i] >= 0)
+            got = self._merge(ids[i[has]] * self._span + ids[after[i[has]]])
+            out[has] = np.where(got >= 0, got, none)
+            return out
+
+        merge = found(np.arange(n))
+        live, starts, sizes = np.arange(len(sizes)), starts.copy(), sizes.copy()
+        at = np.arange(n)  # symbols of live words, in a row
+        gone = np.zeros(n, bool)
+        while len(live):
+            least = np.minimum.reduceat(merge[at], starts)
+            on = least < none
+            if not on.all():  # leave finished words
+                at = at[np.repeat(on, sizes)]
+                live, sizes, least = live[on], sizes[on], least[on]
+                starts = np.cumsum(sizes) - sizes
+                if not len(live):
+                    break
+            hit = np.flatnonzero(merge[at] == np.repeat(least, sizes))
+            hit = hit[np.r_[True, word[at[hit[1:]]] != word[at[hit[:-1]]]]]
+            i = at[hit]
+            j = after[i]
+            ids[i] = merge[i] % self._span
+            gone[j] = True
+            merge[j] = none
+            after[i] = after[j]
+            k = i[after[i] >= 0]
+            before[after[k]] = k
+            merge[i] = found(i)
+            p = before[i]
+            p = p[p >= 0]
+            merge[p] = found(p)
+        return ids[~gone], np.bincount(word[~gone], minlength=int(word[-1]) + 1)
+
+    def encode_words(self, words: list[str]) -> list[tuple[int, ...]]:
+        """Token ids of distinct words: propose, verify, merge what fails."""
+        if not words:
+            return []
+        raw = [w.encode() for w in words]
+        sizes = np.fromiter(map(len, raw), np.int64, len(raw))
+        ends = np.cumsum(sizes)
+        symbols = np.frombuffer(b"".join(raw), np.uint8).astype(np.int64)
+        symbols[ends - 1] += 256
+        token, length = self._longest(symbols)
+        # Follow the matches from each word's start.
+        at, alive = ends - sizes, np.arange(len(raw))
+        taken: list[tuple[np.ndarray, np.ndarray]] = []
+        bad = np.zeros(len(raw), bool)
+        while len(alive):
+            t = token[at]
+            taken.append((alive, t))
+            stuck = t < 0
+            bad[alive[stuck]] = True
+            at = at + length[at]
+            on = ~stuck & (at < ends[alive])
+            at, alive = at[on], alive[on]
+        owner, ids = np.concatenate([x[0] for x in taken]), np.concatenate([x[1] for x in taken])
+        order = np.argsort(owner, kind="stable")
+        owner, ids = owner[order], ids[order]
+        seam = np.flatnonzero((owner[1:] == owner[:-1]) & (ids[1:] >= 0) & (ids[:-1] >= 0))
+        pairs, which = np.unique(ids[seam] * self._span + ids[seam + 1], return_inverse=True)
+        bad[owner[seam[~self.compatible(pairs // self._span, pairs % self._span)[which]]]] = True
+        counts = np.bincount(owner, minlength=len(raw))
+        flat = ids.tolist()
+        stops = np.cumsum(counts)
+        out = [tuple(flat[a:b]) for a, b in zip((stops - counts).tolist(), stops.tolist(), strict=True)]
+        failed = np.flatnonzero(bad)
+        if len(failed):
+            own = sizes[failed]
+            merged, n = self._merge_all(symbols[np.repeat(bad, sizes)], np.cumsum(own) - own, own)
+            flat, stops = merged.tolist(), np.cumsum(n)
+            for w, a, b in zip(failed.tolist(), (stops - n).tolist(), stops.tolist(), strict=True):
+                out[w] = tuple(flat[a:b])
+        return out
 
     def _split(self, text: str) -> list[str]:
         """Normalised words.
@@ -206,7 +331,9 @@ class WordBpe:
         Letters and numbers are those of the library's Unicode version.  A text with a character
         that Python's own tables don't know, where versions may differ, is split by the library.
         """
-        if text.isascii() or self._known.issuperset(text):
+        if text.isascii():
+            return self._ascii_pieces(self._normalise(text))
+        if self._known.issuperset(text):
             return self._pieces(self._normalise(text))
         import unicodedata
 
@@ -235,20 +362,13 @@ class WordBpe:
                 out.append(self._split(t))
         return out
 
-    def encode_rows(self, texts: list[str]) -> list[list[tuple[int, ...]]]:
-        """Token ids of each text, word by word."""
-        rows = self.words(texts)
-        memo = self._memo
-        new = {w for r in rows for w in r if w not in memo and type(w) is str}
-        if new:
-            if len(memo) + len(new) > MAX_WORDS:
-                memo.clear()
-                new = {w for r in rows for w in r if type(w) is str}
-            self._learn(new)
-        return [[memo[w] if type(w) is str else (w,) for w in r] for r in rows]
-
     def encode_batch(self, texts: list[str]) -> list[list[int]]:
-        return [[i for w in r for i in w] for r in self.encode_rows(texts)]
+        """Token ids of each text."""
+        rows = self.words(texts)
+        memo: dict[str | int, tuple[int, ...]] = {i: (i,) for i in self.special.values()}
+        new = list({w for r in rows for w in r if type(w) is str})
+        memo |= zip(new, self.encode_words(new), strict=True)
+        return [[i for w in r for i in memo[w]] for r in rows]
 
     def decode(self, ids: Iterable[int]) -> str:
         return " ".join(self.token[i] for i in ids if i in self.token)
@@ -295,17 +415,20 @@ def digest_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_co
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tok = tokenizer(path)
         sha = hashlib.sha256
-        said: dict[tuple[int, ...], tuple[str, str]] = {}  # a word's ids as decimals, and decoded
         for keys, texts in slices(batches):
-            rows = tok.encode_rows(texts)
-            if len(said) > MAX_WORDS:
-                said.clear()
-            for w in [w for w in set().union(*rows) if w not in said]:
-                said[w] = (" ".join(map(str, w)), tok.decode(w))
-            get = said.__getitem__
-            n = pa.array([sum(map(len, r)) for r in rows], pa.int64())
-            both = [tuple(zip(*map(get, r), strict=True)) or ((), ()) for r in rows]
-            digests = [[sha(" ".join(x[k]).encode()).hexdigest() for x in both] for k in (0, 1)]
+            rows = tok.words(texts)
+            said = tok.said
+            if new := {w for r in rows for w in r if w not in said}:
+                if len(said) + len(new) > MAX_WORDS:
+                    said.clear()
+                    new = {w for r in rows for w in r}
+                names = [w for w in new if type(w) is str]
+                for w, ids in [*zip(names, tok.encode_words(names), strict=True), *((w, (w,)) for w in new if type(w) is int)]:
+                    said[w] = (" ".join(map(str, ids)), tok.decode(ids))
+            parts = [list(map(said.__getitem__, r)) for r in rows]
+            ids, plain = ([" ".join([p[k] for p in r]) for r in parts] for k in (0, 1))
+            n = pa.array([x.count(" ") + 1 if x else 0 for x in ids], pa.int64())
+            digests = ([sha(x.encode()).hexdigest() for x in col] for col in (ids, plain))
             yield pa.RecordBatch.from_arrays([keys, n, *map(pa.array, digests)], ["_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     rows = docs.select(docs[id_col].alias("_id"), docs[text_col].cast("string").alias("_text"))
