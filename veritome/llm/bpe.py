@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from veritome.llm.common import table
 
 NEVER = np.iinfo(np.int32).max
-MAX_WORDS = 500_000
+MAX_WORDS = 250_000
 
 
 def _byte_chars() -> dict[int, str]:
@@ -398,7 +398,7 @@ def encode_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_co
     return rows.mapInArrow(run, schema).withColumnRenamed("_id", id_col)
 
 
-def slices(batches: Iterator[pa.RecordBatch], max_chars: int = 4_000_000) -> Iterator[tuple[pa.Array, list[str]]]:
+def slices(batches: Iterator[pa.RecordBatch], max_chars: int = 1_000_000) -> Iterator[tuple[pa.Array, list[str]]]:
     """Ids and texts in pieces of bounded size; null texts are empty."""
     for b in batches:
         texts, at, size = b.column(1).to_pylist(), 0, 0

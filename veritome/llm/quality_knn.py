@@ -40,7 +40,7 @@ PAD = 20
 DIMS = WORDS + SHAPES + MEASURES * BUCKETS
 BLOCK_WEIGHTS = (1.0, 1.5, 1.0)
 PER_CLASS, RANK, NEIGHBOURS, THRESHOLD = 1024, 64, 31, 0.7
-MAX_KNOWN = 300_000
+MAX_KNOWN = 200_000
 _SHAPE = bytes(65 if 65 <= b < 91 else 97 if 97 <= b < 123 or b >= 128 else 48 if 48 <= b < 58 else b for b in range(256))
 
 
