@@ -40,7 +40,7 @@ def blocks(context: str) -> list[tuple[int, str]]:
     marks = list(_MARK.finditer(context))
     head = context[: marks[0].start()] if marks else context
     out = [(0, head.strip())] if head.strip() else []
-    stops = [m.start() for m in marks[1:]] + [len(context)]
+    stops = [m.start() for m in marks[1:]] + [len(context)] * bool(marks)
     return out + [(int(m[1]), context[m.end() : stop].strip()) for m, stop in zip(marks, stops, strict=True)]
 
 
