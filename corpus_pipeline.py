@@ -15,8 +15,9 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier accepts."""
-    names = docs.columns
-    return quality_knn.judge(spark, docs, sf_dir, keep=names).filter(F.col("score") >= quality_knn.THRESHOLD).select(names)
+    score = common.free_name(docs.columns, "score")
+    judged = quality_knn.judge(spark, docs, sf_dir, keep=docs.columns, score_col=score)
+    return judged.filter(F.col(score) >= quality_knn.THRESHOLD).drop(score)
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -71,6 +71,11 @@ def in_filter(rows: DataFrame, bits: DataFrame, words: int, *names: str) -> Data
     return out.withColumn("_hit", F.coalesce(F.expr("getbit(_bits, _b) = 1"), F.lit(False))).drop("_w", "_b", "_bits")
 
 
+def packed(docs: DataFrame) -> Column:
+    """All columns of ``docs`` in one struct, so that no name of theirs can clash with a helper's; ``row.*`` gives them back."""
+    return F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")
+
+
 def apply_decisions(docs: DataFrame, id_col: str, key: Column, decisions: DataFrame, *, words: int = 1 << 16, max_broadcast: int = 20_000) -> DataFrame:
     """``docs`` without the rows that ``decisions`` removes, all columns kept.
 
@@ -79,11 +84,10 @@ def apply_decisions(docs: DataFrame, id_col: str, key: Column, decisions: DataFr
     fixed-size filter of the keys doesn't hold go straight through; only the others are
     joined, so no other row is shuffled.
     """
-    names = docs.columns
-    k, tie, group = (free_name(names, x) for x in ("decision_key", "decision_tie", "decision_group"))
-    told = cut(decisions.groupBy("_gid", "_gkey").agg(F.max("_tie").alias(tie), F.max("_group").alias(group)))
-    hit = in_filter(docs.withColumn(k, key), bit_filter(told, words, "_gkey"), words, k)
-    joined = hit.filter("_hit").join(broadcast_if_small(told, max_broadcast), F.col(id_col).eqNullSafe(F.col("_gid")) & (F.col(k) == F.col("_gkey")), "left")
-    through, unnamed = hit.filter("not _hit").select(names), joined.filter(F.col(tie).isNull()).select(names)
-    once = joined.filter(F.col(tie)).dropDuplicates([id_col, group]).select(names)
-    return through.unionByName(unnamed).unionByName(once)
+    told = cut(decisions.groupBy("_gid", "_gkey").agg(F.max("_tie").alias("_tie"), F.max("_group").alias("_group")))
+    rows = docs.select(packed(docs), docs[id_col].alias("_id"), key.alias("_key"))
+    hit = in_filter(rows, bit_filter(told, words, "_gkey"), words, "_key")
+    joined = hit.filter("_hit").join(broadcast_if_small(told, max_broadcast), F.col("_id").eqNullSafe(F.col("_gid")) & (F.col("_key") == F.col("_gkey")), "left")
+    through, unnamed = hit.filter("not _hit").select("row"), joined.filter("_tie is null").select("row")
+    once = joined.filter("_tie").groupBy("_id", "_group").agg(F.first("row").alias("row")).select("row")
+    return through.unionByName(unnamed).unionByName(once).select("row.*")

@@ -180,6 +180,17 @@ LABELLED = (
     ((60, 0.0, 60, 0.0, 0, 0.0, 1, 0, 0, 0, 1), 1),
     ((6, 0.0, 0, 0.0, 0, 0.0, 1, 0, 0, 0, 1), 1),
     ((3, 0.0, 40, 0.0, 2, 1.0, 1, 0, 0, 0, 1), 1),
+    ((7, 0.0, 8, 0.0, 7, 0.0, 1, 0, 0, 0, 1), 1),
+    ((12, 0.0, 8, 0.0, 1, 0.0, 1, 0, 1, 0, 1), 1),
+    ((2, 0.0, 8, 0.0, 30, 0.0, 1, 0, 1, 0, 1), 1),
+    ((4, 0.0, 8, 0.0, 4, 0.0, 1, 0, 1, 0, 1), 1),
+    ((1, 0.0, 1, 1.0, 1, 0.0, 1, 0, 1, 0, 1), 1),
+    ((5, 0.0, 2, 1.0, 5, 0.0, 1, 0, 1, 0, 1), 1),
+    ((25, 0.0, 12, 0.0, 4, 0.0, 1, 0, 0, 0, 1), 1),
+    ((2, 0.0, 3, 0.0, 8, 0.2, 1, 0, 0, 0, 1), 1),
+    ((150, 0.0, 30, 0.0, 8, 0.2, 1, 0, 0, 1, 1), 1),
+    ((3, 0.0, 1, 1.0, 60, 0.0, 1, 0, 0, 0, 1), 1),
+    ((2, 0.0, 2, 1.0, 2, 1.0, 1, 0, 0, 0, 1), 1),
     ((1, 0.0, 1, 0.0, 3, 1.0, 1, 0, 0, 0, 1), 1),
     ((12, 0.0, 2, 1.0, 2, 1.0, 1, 0, 0, 0, 1), 1),
     ((4, 0.0, 2, 1.0, 2, 1.0, 1, 0, 1, 0, 1), 1),
@@ -219,6 +230,9 @@ LABELLED = (
     ((3, 0.0, 40, 0.0, 12, 0.0, 0, 0, 0, 0, 0), 1),
     ((9, 0.0, 2, 1.0, 70, 0.0, 0, 0, 1, 0, 0), 1),
     ((5, 0.0, 50, 0.0, 30, 0.0, 0, 0, 1, 0, 0), 1),
+    ((3, 0.0, 1, 1.0, 30, 0.0, 0, 0, 1, 0, 0), 1),
+    ((2, 0.0, 2, 1.0, 25, 0.0, 0, 0, 1, 0, 0), 1),
+    ((1, 0.0, 0, 0.0, 40, 0.0, 0, 0, 1, 0, 0), 1),
     ((40, 0.3, 60, 0.0, 50, 0.1, 0, 0, 0, 0, 0), 1),
     ((30, 0.0, 2, 0.0, 3, 0.0, 0, 0, 0, 0, 0), 1),
     ((30, 0.0, 3, 0.0, 4, 0.0, 0, 0, 0, 0, 0), 1),

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from veritome.llm.common import WORD, broadcast_if_small, cut, free_name, table
+from veritome.llm.common import WORD, broadcast_if_small, cut, packed, table
 
 #: A source table up to this many rows is broadcast; a larger one is joined by shuffle.
 MAX_BROADCAST_SOURCES = 20_000
@@ -117,11 +117,11 @@ def fair_mix(
 def mix_documents(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", *, max_epochs: int = 2, **options) -> DataFrame:
     """``docs`` as mixed: a row per epoch in which a document is served, all columns kept.
 
-    A document that is in service when the budget runs out gives its first words.  The mix is
+    A document that is in service when the budget runs out gives its first words; rows that
+    repeat that document's id and size are taken like it.  The mix is
     reduced to the last document served per source and epoch, so texts are never shuffled:
     each row compares its own place in the shuffled order with its source's.
     """
-    names = docs.columns
     plan = cut(fair_mix(docs, id_col, source_col, text_col, max_epochs=max_epochs, **options))
     goal = F.floor("target").cast("long")
     ends = []
@@ -129,19 +129,23 @@ def mix_documents(docs: DataFrame, id_col: str = "doc_id", source_col: str = "so
         gets = goal - F.col("start") - F.col("source_size") * e
         last = F.max(F.when(gets > 0, F.struct("turn", F.col(id_col).alias("id"), "size", F.least("size", gets).alias("words"))))
         ends.append(last.alias(f"end{e}"))
-    k, turn, end, words, epoch = (free_name(names, x) for x in ("skey", "turn", "ends", "words", "epoch"))
-    ends_of = cut(plan.groupBy("skey").agg(*ends).select(F.col("skey").alias(k), F.array(*[f"end{e}" for e in range(max_epochs)]).alias(end)))
+    ends_of = cut(plan.groupBy("skey").agg(*ends).select("skey", F.array(*[f"end{e}" for e in range(max_epochs)]).alias("ends")))
     ident = F.coalesce(docs[id_col].cast("string"), F.lit(""))
-    seed = options.get("seed", "mix")
-    keyed = docs.withColumns({k: F.coalesce(F.concat(F.lit("="), docs[source_col].cast("string")), F.lit("")), turn: F.md5(F.concat(F.lit(seed + ":"), ident))})
-    copies = keyed.join(broadcast_if_small(ends_of, MAX_BROADCAST_SOURCES), k).select(*names, turn, F.posexplode(end).alias(epoch, end))
-    at, stop = F.struct(F.col(turn), F.col(id_col)), F.struct(F.col(f"{end}.turn"), F.col(f"{end}.id"))
-    taken = copies.filter(F.col(end).isNotNull() & (at <= stop))
-    n_words = F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0))
-    part = F.col(f"{end}.words")
-    cut_text = F.concat(F.array_join(F.slice(F.regexp_extract_all(F.col(text_col), F.lit(rf"[\x20\x09-\x0D]*{WORD}"), F.lit(0)), F.lit(1), part.cast("int")), ""))
-    whole = (at < stop) | (part >= n_words)
-    return taken.withColumn(text_col, F.when(whole, F.col(text_col)).otherwise(cut_text)).select(names)
+    keyed = docs.select(
+        packed(docs),
+        docs[id_col].alias("id"),
+        docs[text_col].alias("text"),
+        F.coalesce(F.concat(F.lit("="), docs[source_col].cast("string")), F.lit("")).alias("skey"),
+        F.md5(F.concat(F.lit(options.get("seed", "mix") + ":"), ident)).alias("turn"),
+    )
+    copies = keyed.join(broadcast_if_small(ends_of, MAX_BROADCAST_SOURCES), "skey").select("row", "id", "text", "turn", F.explode("ends").alias("end"))
+    at, stop = F.struct("turn", "id"), F.struct("end.turn", "end.id")
+    n = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0))  # counted only for rows that tie with the end
+    taken = copies.filter(F.col("end").isNotNull() & ((at < stop) | ((at == stop) & (n <= F.col("end.size")))))
+    first = F.slice(F.regexp_extract_all("text", F.lit(rf"[\x20\x09-\x0D]*{WORD}"), F.lit(0)), F.lit(1), F.col("end.words").cast("int"))
+    cut_here = (at == stop) & (n == F.col("end.size")) & (F.col("end.words") < n)
+    text = F.when(cut_here, F.array_join(first, "")).otherwise(F.col("text"))
+    return taken.select(F.col("row").withField(f"`{text_col}`", text).alias("row")).select("row.*")
 
 
 def op8_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:

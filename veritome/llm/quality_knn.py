@@ -172,8 +172,8 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     return fit(rows, np.array([r["label"] for r in found], np.float32), rank)
 
 
-def score_documents(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", *, keep: list[str] | None = None, block: int = 256) -> DataFrame:
-    """Columns ``keep`` (the id by default) of ``docs`` with ``score``."""
+def score_documents(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", *, keep: list[str] | None = None, score_col: str = "score", block: int = 256) -> DataFrame:
+    """Columns ``keep`` (the id by default) of ``docs`` with ``score_col``."""
     spark = docs.sparkSession
     sent = spark.sparkContext.broadcast(model)
     names = keep or [id_col]
@@ -190,13 +190,13 @@ def score_documents(docs: DataFrame, model: Model, id_col: str = "doc_id", text_
             score = np.concatenate(got) if got else np.empty(0)
             yield pa.RecordBatch.from_arrays([*b.columns[2:], pa.array(score, pa.float64())], [*(f"_{i}" for i in range(len(names))), "_score"])
 
-    rows = docs.select(F.lit(0).alias("_none"), docs[text_col].cast("string").alias("_text"), *(docs[c].alias(f"_{i}") for i, c in enumerate(names)))
+    rows = docs.select(F.lit(0).alias("_none"), docs[text_col].cast("string").alias("_text"), *(docs[f"`{c}`"].alias(f"_{i}") for i, c in enumerate(names)))
     schema = rows.drop("_none", "_text").withColumn("_score", F.lit(0.5).cast("double")).schema
-    return rows.mapInArrow(run, schema).toDF(*names, "score")
+    return rows.mapInArrow(run, schema).toDF(*names, score_col)
 
 
-def judge(spark: SparkSession, docs: DataFrame, sf_dir: str, keep: list[str] | None = None) -> DataFrame:
-    return score_documents(docs, train(docs, table(spark, sf_dir, "labels")), keep=keep)
+def judge(spark: SparkSession, docs: DataFrame, sf_dir: str, keep: list[str] | None = None, score_col: str = "score") -> DataFrame:
+    return score_documents(docs, train(docs, table(spark, sf_dir, "labels")), keep=keep, score_col=score_col)
 
 
 def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:

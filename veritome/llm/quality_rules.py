@@ -42,7 +42,7 @@ class Band(NamedTuple):
 
 
 #: Fixed values, fitted once to labelled text of each language; bands lie outside all of it.
-LENGTHS = (5.0, 13.0)
+LENGTHS = (4.0, 13.0)
 BANDS: Mapping[str, Band] = {
     "en": Band(1.75, 0.10, (0.727, 1.038, -0.0435), 0.38),
     "de": Band(1.90, 0.10, (1.522, 0.8725, -0.0366), 0.31),

@@ -4,7 +4,8 @@ A url that a rule decides keeps that verdict.  For the rest, labelled pages give
 k bad outcomes among n.  Rates are shrunk by beta-binomial priors down the name's levels:
 all pages to suffix, suffix to registered domain, domain to host.  The strength of each
 prior (its number of pseudo-outcomes) is the moment estimate of how much the rates of
-siblings differ.  A host is blocked if the lower bound of its posterior bad rate, mean less
+siblings differ, and at most the number of others' outcomes behind it; a level's prior leaves
+out what the level itself has seen.  A host is blocked if the lower bound of its posterior bad rate, mean less
 ``z`` standard deviations, exceeds ``max_bad_rate``: few outcomes never block a host.
 
 Outcome counts are pre-aggregated per host; only tables of host, domain and suffix counts
@@ -36,6 +37,8 @@ class Rule(NamedTuple):
 #: Fixed values of the production rule list.
 RULES = (Rule("block", "net", "/"), Rule("allow", "example.net", "/en/"), Rule("block", "example.com", "/de/"), Rule("allow", "org", "/fr/"))
 MAX_BROADCAST_HOSTS = 50_000
+#: Bad rate to start from, as one pseudo-outcome.
+BASE_RATE = 0.1
 #: Prior strength is kept within these bounds.
 KAPPA = (1.0, 10_000.0)
 
@@ -83,13 +86,20 @@ def host_reputation(outcomes: DataFrame, hosts: DataFrame, *, z: float = 1.645)
     domains = cut(named.groupBy("suffix", "domain").agg(F.sum("n").alias("dn"), F.sum("k").alias("dk")))
     suffixes = cut(domains.groupBy("suffix").agg(F.sum("dn").alias("sn"), F.sum("dk").alias("sk")))
     all_ = suffixes.agg(F.sum("sn").alias("n"), F.sum("sk").alias("k")).first()
-    mean = (all_["k"] or 0) / all_["n"] if all_["n"] else 0.0
+    n, k = all_["n"] or 0, all_["k"] or 0
     k0, k1, k2 = _strength(suffixes, "sk", "sn"), _strength(domains, "dk", "dn"), _strength(named, "k", "n")
-    suffixes = suffixes.select("suffix", ((F.col("sk") + k0 * mean) / (F.col("sn") + k0)).alias("sm"))
-    domains = domains.join(suffixes, "suffix").select("domain", ((F.col("dk") + k1 * F.col("sm")) / (F.col("dn") + k1)).alias("dm"))
-    a, b = F.col("k") + k2 * F.col("dm"), F.col("n") - F.col("k") + k2 * (1 - F.col("dm"))
+    # A prior is as strong as siblings are alike, but never stronger than the outcomes of others behind it.
+    held = lambda kappa, others: F.least(F.lit(kappa), F.greatest(F.lit(1.0), others.cast("double")))
+    root = (k - F.col("sk") + BASE_RATE) / (n - F.col("sn") + 1.0)
+    suffixes = suffixes.select("suffix", "sn", "sk", root.alias("rm"), held(k0, n - F.col("sn")).alias("c0"))
+    domains = domains.join(suffixes, "suffix").select(
+        "domain", "dn", "dk", ((F.col("sk") - F.col("dk") + F.col("c0") * F.col("rm")) / (F.col("sn") - F.col("dn") + F.col("c0"))).alias("sm"), held(k1, F.col("sn") - F.col("dn")).alias("c1")
+    )
+    dm = (F.col("dk") - F.col("k") + F.col("c1") * F.col("sm")) / (F.col("dn") - F.col("n") + F.col("c1"))
+    rows = named.join(domains, "domain").withColumn("dm", dm).withColumn("c2", held(k2, F.col("dn") - F.col("n")))
+    a, b = F.col("k") + F.col("c2") * F.col("dm"), F.col("n") - F.col("k") + F.col("c2") * (1 - F.col("dm"))
     sd = F.sqrt(a * b / ((a + b) * (a + b) * (a + b + 1)))
-    return named.join(domains, "domain").select("host", "n", "k", (a / (a + b)).alias("mean"), (a / (a + b) - z * sd).alias("lower"))
+    return rows.select("host", "n", "k", (a / (a + b)).alias("mean"), (a / (a + b) - z * sd).alias("lower"))
 
 
 def filter_urls(pages: DataFrame, outcomes: DataFrame, *, id_col: str = "page_id", url_col: str = "url", rules: Sequence[Rule] = RULES, max_bad_rate: float = 0.5, z: float = 1.645) -> DataFrame:
@@ -133,9 +143,10 @@ WITH rest AS (
 ), k0 AS ({_STRENGTH.format(k="sk", n="sn", t="s")}
 ), k1 AS ({_STRENGTH.format(k="dk", n="dn", t="d")}
 ), k2 AS ({_STRENGTH.format(k="k", n="n", t="h")}
-), sm AS (SELECT suffix, (sk + k0.kappa * m) / (sn + k0.kappa) AS sm FROM s, k0, m
-), dm AS (SELECT domain, (dk + k1.kappa * sm) / (dn + k1.kappa) AS dm FROM d JOIN sm USING (suffix), k1
-), ab AS (SELECT host, k + k2.kappa * dm AS a, n - k + k2.kappa * (1 - dm) AS b FROM h JOIN dm USING (domain), k2
+), c0 AS (SELECT suffix, sn, sk, (g.k - sk + 0.1) / (g.n - sn + 1.0) AS rm, least(k0.kappa, greatest(1.0, g.n - sn)) AS c0 FROM s, k0, (SELECT coalesce(sum(sn), 0)::DOUBLE AS n, coalesce(sum(sk), 0)::DOUBLE AS k FROM s) g
+), c1 AS (SELECT domain, dn, dk, (sk - dk + c0 * rm) / (sn - dn + c0) AS sm, least(k1.kappa, greatest(1.0, sn - dn)::DOUBLE) AS c1 FROM d JOIN c0 USING (suffix), k1
+), c2 AS (SELECT host, n, k, (dk - k + c1 * sm) / (dn - n + c1) AS dm, least(k2.kappa, greatest(1.0, dn - n)::DOUBLE) AS c2 FROM h JOIN c1 USING (domain), k2
+), ab AS (SELECT host, k + c2 * dm AS a, n - k + c2 * (1 - dm) AS b FROM c2
 ), rep AS (SELECT host, a / (a + b) - 1.645 * sqrt(a * b / ((a + b) * (a + b) * (a + b + 1))) AS lower_ FROM ab
 ), ruled AS (
   SELECT page_id, host, path, CASE
