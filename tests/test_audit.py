@@ -150,3 +150,39 @@ def test_invention_cases(spark):
 
 def test_card_schema_is_shared():
     assert RECORDS["card"].dataType == CARD
+
+
+def test_audit_tables_and_report(spark, tmp_path):
+    from veritome import report
+    from veritome.operators.audit import audit_runs
+
+    runs = {
+        "p": frame(spark, record("good"), record("page", page=2), record("failed", failed=True)),
+        "r": frame(spark, record("good"), record("page"), record("failed")),
+        "i": frame(spark, record("good", limitation=None), record("page"), record("failed")),
+        "t": frame(spark, record("good")),
+    }
+    audit = audit_runs(runs.__getitem__, {"primary": "p", "repetition": "r", "other_input": "i", "other_temperature": "t", "other_prompt": "r"})
+    tables = audit.tables()
+    assert {"stability", "input_metrics", "temperature", "prompts", "cards"} <= tables.keys() and tables["cards"].count() == 3
+    assert set(audit_runs(runs.__getitem__, {"primary": "p"}).tables()) == {"fidelity", "fidelity_summary", "leaks", "confidence", "cards", "not_defensible"}
+    out = report.Report("Estudo", ["Ana Souza"], "stub").write(str(tmp_path / "r.html"), audit).read_text()
+    assert all(w in out for w in ("Fidelidade", "Estabilidade", "Efeito da entrada", "Efeito da temperatura", "Comparação dos prompts", "Fichas não defensáveis"))
+    with pytest.raises(ValueError, match="unknown roles"):
+        audit_runs(runs.__getitem__, {"other": "p"})
+
+
+def test_report_words():
+    from veritome import report
+
+    assert report.delivery_name(["Ana Souza", "João da Conceição"]) == "AtividadeI_Souza_Conceicao" and report.delivery_name(["<<x>>"]) == "AtividadeI_SOBRENOMES"
+    assert report.describe_diff("v_full", "v_sem_fewshot") == "v_full × v_sem_fewshot: few_shot: on → off"
+    many = [f"campo {f} copiado do exemplo few-shot (similaridade {s})" for f, s in (("problem", "0.80"), ("data", "0.95"))]
+    terms = ["campo data contém 'fraude', 'vendas', termos do exemplo few-shot ausentes do texto enviado"]
+    assert report.compact_reasons([*many, *terms, "outro"]) == [
+        "campos problem, data copiados do exemplo few-shot (similaridade 0.80–0.95)",
+        "termos do exemplo few-shot ausentes do texto enviado em data: 'fraude', 'vendas'",
+        "outro",
+    ]
+    assert [report.cell(v) for v in (None, True, 1234, 0.5, ["a", "b"])] == ["—", "sim", "1.234", "0,50", "a; b"]
+    assert (report.percent(0.955), report.percent(None), report.share(0.947, 19)) == ("96%", "—", "18/19")

@@ -48,7 +48,7 @@ def block_array(context: Column) -> Column:
     """The same, natively: array of (ord, page, text)."""
     from veritome.functions.text import strip
 
-    mark = r"(?m)^\[p\. (\d+)\][ \t]*$"
+    mark = r"(?dm)^\[p\. (\d+)\][ \t]*$"
     texts = F.transform(F.split(context, mark, -1), strip)
     pages = F.concat(F.array(F.lit(0)), F.transform(F.regexp_extract_all(context, F.lit(mark), F.lit(1)), lambda p: p.cast("int")))
     rows = F.zip_with(pages, texts, lambda p, t: F.struct(p.alias("page"), t.alias("text")))

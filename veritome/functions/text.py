@@ -10,7 +10,7 @@ SPACE = r"\s\x1C-\x1F\x85\u00A0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000
 #: Spaces other than the plain one that are layout only.
 EXOTIC_SPACES = r"[\t\u00A0\u1680\u2000-\u200A\u202F\u205F\u3000]"
 PAGE_NUMBER = r"(?i)^(?:page\s+|p\.\s*|-\s*)?\d{1,4}(?:\s*(?:/|of|de)\s*\d{1,4})?(?:\s*-)?$"
-SENTENCE_END = r"(?<=[.!?])[\s]+(?=[A-Z0-9\"'(\[])|\n[\s]*\n"
+SENTENCE_END = rf"(?<=[.!?])[{SPACE}]+(?=[A-Z0-9\"'(\[])|\n[{SPACE}]*\n"
 
 
 def sub(c: Column, pattern: str, to: str) -> Column:
@@ -25,13 +25,13 @@ def strip(c: Column) -> Column:
 def normalize_spaces(c: Column) -> Column:
     """Line ends become \\n, layout spaces become plain ones, lines lose spaces at their ends."""
     c = sub(sub(c, r"\r\n|\r|\f", "\n"), EXOTIC_SPACES, " ")
-    return sub(sub(c, r"(?m)(?<! ) +$", ""), r"(?m)^ +", "")
+    return sub(sub(c, r"(?dm)(?<! ) +$", ""), r"(?dm)^ +", "")
 
 
 def collapse_spaces(c: Column) -> Column:
     """Runs of spaces become one, three or more line ends become two."""
-    c = sub(sub(c, r" {2,}", " "), r"(?m)[ \t]+$", "")
-    return strip(sub(sub(c, r"(?m)^[ \t]+", ""), r"\n{3,}", "\n\n"))
+    c = sub(sub(c, r" {2,}", " "), r"(?dm)[ \t]+$", "")
+    return strip(sub(sub(c, r"(?dm)^[ \t]+", ""), r"\n{3,}", "\n\n"))
 
 
 def is_page_number(line: Column) -> Column:

@@ -6,8 +6,10 @@ import json
 import os
 import re
 import time
+import urllib.error
 import urllib.request
 from dataclasses import dataclass, field
+from functools import cache
 from hashlib import sha256
 from typing import NamedTuple, Protocol
 
@@ -116,7 +118,13 @@ class ChatCompletions:
         began = time.perf_counter()
         messages = [{"role": "system", "content": system}] * bool(system) + [{"role": "user", "content": user}]
         body = {"model": self.model_name, "messages": messages, "temperature": params.temperature, "max_tokens": params.max_new_tokens, "top_p": params.top_p} | ({"seed": params.seed} if params.seed is not None else {})
-        got = _post(f"{self.base_url}/chat/completions", {"authorization": f"Bearer {os.environ.get(self.key_variable, '')}"}, body, self.timeout)
+        headers = {"authorization": f"Bearer {os.environ.get(self.key_variable, '')}"}
+        try:
+            got = _post(f"{self.base_url}/chat/completions", headers, body, self.timeout)
+        except urllib.error.HTTPError as e:
+            if e.code != 400 or "seed" not in body:
+                raise
+            got = _post(f"{self.base_url}/chat/completions", headers, {k: v for k, v in body.items() if k != "seed"}, self.timeout)  # some servers refuse a seed
         choice, usage = got["choices"][0], got.get("usage") or {}
         text = choice["message"].get("content") or ""
         return Completion(text, usage.get("prompt_tokens", estimated_tokens(user)), usage.get("completion_tokens", estimated_tokens(text)), time.perf_counter() - began, choice.get("finish_reason") or "stop")
@@ -141,6 +149,42 @@ class Messages:
         return Completion(text, usage.get("input_tokens", estimated_tokens(user)), usage.get("output_tokens", estimated_tokens(text)), time.perf_counter() - began, "length" if got.get("stop_reason") == "max_tokens" else "stop")
 
 
+@dataclass(frozen=True)
+class Local:
+    """A model on the worker's own device, loaded once per worker; needs the optional transformers."""
+
+    model_name: str
+    four_bit: bool = False
+
+    def generate(self, system: str | None, user: str, params: Params) -> Completion:
+        began = time.perf_counter()
+        pipe = _local_pipeline(self.model_name, self.four_bit)
+        warm = params.temperature > 0
+        options = {"max_new_tokens": params.max_new_tokens, "do_sample": warm, "return_full_text": False, "repetition_penalty": 1.0}
+        options |= {"temperature": params.temperature, "top_p": params.top_p} if warm else {}
+        text = pipe([{"role": "system", "content": system or ""}, {"role": "user", "content": user}], **options)[0]["generated_text"]
+        count = lambda t: len(pipe.tokenizer.encode(t, add_special_tokens=False))
+        n = count(text)
+        return Completion(text, count((system or "") + user), n, time.perf_counter() - began, "length" if n >= params.max_new_tokens else "stop")
+
+
+@cache
+def _local_pipeline(name: str, four_bit: bool):
+    from transformers import pipeline
+
+    return pipeline("text-generation", model=name, model_kwargs={"load_in_4bit": True} if four_bit else {"torch_dtype": "auto"})
+
+
+BACKENDS = {"stub": Stub, "chat": ChatCompletions, "messages": Messages, "local": Local}
+
+
+def client(backend: str, **options) -> Client:
+    """A client by name; wrong names and options fail here, before any job runs."""
+    if backend not in BACKENDS:
+        raise ValueError(f"unknown backend {backend!r}; there are {', '.join(BACKENDS)}")
+    return BACKENDS[backend](**options)
+
+
 def params_billions(model: str) -> float | None:
     """Size that a model's name states, in billions of parameters."""
     m = re.search(r"(\d+(?:\.\d+)?)\s*[bB]\b", model)

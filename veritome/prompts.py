@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 from collections.abc import Mapping
 from dataclasses import asdict, dataclass, field
+from hashlib import sha256
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -137,6 +138,14 @@ class Prompt:
         before, after = self.around()
         return F.concat(F.lit(before), article, F.lit(after))
 
+    def template(self, placeholder: str = "{{TEXTO_DO_ARTIGO}}") -> str:
+        before, after = self.around()
+        return before + placeholder + after
+
+    def template_sha(self) -> str:
+        """Names the prompt whatever the article."""
+        return sha256(f"{self.system()}\n{self.template()}".encode()).hexdigest()[:12]
+
     def marks_present(self) -> list[str]:
         text = f"{self.system() or ''}\n{''.join(self.around())}"
         return [m for m in MARKS.values() if m in text]
