@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veritome.llm.common import table
+from veritome.llm.common import table, whole_texts
 
 NEVER = np.iinfo(np.int32).max
 MAX_WORDS = 250_000
@@ -395,7 +395,7 @@ def encode_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_co
 
     rows = docs.select(docs[id_col].alias("_id"), docs[text_col].cast("string").alias("_text"))
     schema = rows.select("_id", F.array(F.lit(0)).alias("ids"), F.lit("").alias("decoded")).schema
-    return rows.mapInArrow(run, schema).withColumnRenamed("_id", id_col)
+    return whole_texts(rows).mapInArrow(run, schema).withColumnRenamed("_id", id_col)
 
 
 def slices(batches: Iterator[pa.RecordBatch], max_chars: int = 1_000_000) -> Iterator[tuple[pa.Array, list[str]]]:
@@ -433,7 +433,7 @@ def digest_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_co
 
     rows = docs.select(docs[id_col].alias("_id"), docs[text_col].cast("string").alias("_text"))
     schema = rows.select("_id", F.lit(0).cast("long").alias("n_tokens"), F.lit("").alias("ids_sha256"), F.lit("").alias("decoded_sha256")).schema
-    return rows.mapInArrow(run, schema).withColumnRenamed("_id", id_col)
+    return whole_texts(rows).mapInArrow(run, schema).withColumnRenamed("_id", id_col)
 
 
 def vocabulary(name: str) -> str:

@@ -31,6 +31,19 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+#: Rows of whole texts per Arrow batch, where the session hasn't chosen a number itself.
+BATCH_ROWS = "500"
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def whole_texts(df: DataFrame) -> DataFrame:
+    """``df``, about to be sent to Python: batches of Spark's default 10,000 rows would hold too much text at once."""
+    conf = df.sparkSession.conf
+    if conf.get(_BATCH) == "10000":
+        conf.set(_BATCH, BATCH_ROWS)
+    return df
+
+
 def ascii_lower(c: Column) -> Column:
     """Lower-case A-Z and nothing else.
 

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veritome.llm.bpe import slices
-from veritome.llm.common import table
+from veritome.llm.common import table, whole_texts
 
 # HTML's elements by their role here.
 SILENT = ("script", "style", "noscript", "template", "iframe", "svg", "math", "textarea", "title", "object", "select", "canvas", "audio", "video")
@@ -314,7 +314,7 @@ def extract_pages(pages: DataFrame, id_col: str = "page_id", html_col: str = "ht
 
     rows = pages.select(pages[id_col].alias("_id"), pages[html_col].cast("string").alias("_html"), *(pages[c].alias(f"_{i}") for i, c in enumerate(keep)))
     schema = rows.drop("_html").withColumn("_text", F.lit("").cast("string")).schema
-    return rows.mapInArrow(run, schema).toDF(id_col, *keep, "text")
+    return whole_texts(rows).mapInArrow(run, schema).toDF(id_col, *keep, "text")
 
 
 def op4_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veritome.llm.bpe import slices
-from veritome.llm.common import table
+from veritome.llm.common import table, whole_texts
 
 KINDS = ("email", "ip", "card", "phone")
 
@@ -226,7 +226,7 @@ def scan_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     rows = docs.select(docs[id_col].alias("_id"), docs[text_col].cast("string").alias("_text"))
     schema = rows.select("_id", F.expr("cast(null as array<struct<kind:string,start:int,end:int,disguised:boolean>>)").alias("spans")).schema
-    return rows.mapInArrow(run, schema).withColumnRenamed("_id", id_col)
+    return whole_texts(rows).mapInArrow(run, schema).withColumnRenamed("_id", id_col)
 
 
 def redact(text: str, marks: dict[str, str] | None = None) -> str:

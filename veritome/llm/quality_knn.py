@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veritome.llm.bpe import slices
-from veritome.llm.common import table
+from veritome.llm.common import table, whole_texts
 
 WORDS, SHAPES = 3072, 960
 #: Bucketed shares: four measures of sixteen buckets.
@@ -192,7 +192,7 @@ def score_documents(docs: DataFrame, model: Model, id_col: str = "doc_id", text_
 
     rows = docs.select(F.lit(0).alias("_none"), docs[text_col].cast("string").alias("_text"), *(docs[f"`{c}`"].alias(f"_{i}") for i, c in enumerate(names)))
     schema = rows.drop("_none", "_text").withColumn("_score", F.lit(0.5).cast("double")).schema
-    return rows.mapInArrow(run, schema).toDF(*names, score_col)
+    return whole_texts(rows).mapInArrow(run, schema).toDF(*names, score_col)
 
 
 def judge(spark: SparkSession, docs: DataFrame, sf_dir: str, keep: list[str] | None = None, score_col: str = "score") -> DataFrame:

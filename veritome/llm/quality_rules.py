@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veritome.llm.bpe import slices, vocabulary
-from veritome.llm.common import table
+from veritome.llm.common import table, whole_texts
 
 SPACE, SYMBOLS = b" \t\n\v\f\r", b"#*$%&|<>"
 MIN_WORDS, MAX_REPEAT_PERCENT, WINDOW = 20, 30, 8
@@ -155,7 +155,7 @@ def measure_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_c
     rows = docs.select(docs[id_col].alias("_id"), docs[text_col].cast("string").alias("_text"), lang.alias("_lang"))
     kinds = ["long"] * 5 + ["boolean"] * 2 + ["double"] * 3
     schema = rows.select("_id", *(F.lit(None).cast(k).alias(n) for n, k in zip(NAMES, kinds, strict=True))).schema
-    return rows.mapInArrow(run, schema).withColumnRenamed("_id", id_col)
+    return whole_texts(rows).mapInArrow(run, schema).withColumnRenamed("_id", id_col)
 
 
 NAMES = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "chars_per_token", "byte_share", "token_entropy"]

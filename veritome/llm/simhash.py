@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veritome.llm.common import apply_decisions, cut, table
+from veritome.llm.common import apply_decisions, cut, table, whole_texts
 
 RADIUS = 2
 SEED = 42
@@ -169,7 +169,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """One row per input row: id, text_hash, fp (signed), component_id, root (a fingerprint of the component)."""
     text = docs[text_col].cast("string")
     schema = docs.select(docs[id_col].alias("_id"), F.lit(0).cast("long").alias("_text_hash"), F.lit(0).cast("long").alias("_fp")).schema
-    rows = cut(docs.select(docs[id_col].alias("_id"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("_text_hash"), text.alias("_text")).mapInArrow(_fingerprints, schema))
+    texts = docs.select(docs[id_col].alias("_id"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("_text_hash"), text.alias("_text"))
+    rows = cut(whole_texts(texts).mapInArrow(_fingerprints, schema))
     unique = cut(rows.groupBy("_fp").agg(F.min("_id").alias("_least")))
     signed = [m - (1 << 64) if m >> 63 else m for m in MASKS]
     keys = unique.select("_fp", F.posexplode(F.array(*[F.col("_fp").bitwiseAND(F.lit(m).cast("long")) for m in signed])).alias("choice", "key"))
