@@ -183,7 +183,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     of_fp = unique.join(linked.select("_fp", "root").join(smallest, "root"), "_fp", "left").select(
         "_fp", F.coalesce("root", "_fp").alias("root"), F.when(F.col("root").isNull(), F.col("_least")).otherwise(F.col("component_id")).alias("component_id")
     )
-    return rows.join(of_fp, "_fp").select(F.col("_id").alias(id_col), F.col("_text_hash").alias("text_hash"), F.col("_fp").alias("fp"), "component_id", "root")
+    # Joined on a recomputed key, both sides are dealt out anew, so that adaptive execution can split a hot fingerprint's rows.
+    again = F.bitwise_not("_fp")
+    both = rows.withColumn("_key", again).join(of_fp.select(again.alias("_key"), "root", "component_id"), "_key")
+    return both.select(F.col("_id").alias(id_col), F.col("_text_hash").alias("text_hash"), F.col("_fp").alias("fp"), "component_id", "root")
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
