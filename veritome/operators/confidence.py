@@ -12,7 +12,7 @@ from veritome.operators import leakage as leak
 from veritome.operators.diff import changes_by_doc, field_diffs, one_per_doc
 from veritome.operators.fidelity import THRESHOLD, check_fidelity, check_limitation
 from veritome.prompts import EXAMPLES, Example
-from veritome.schemas import TEXT_FIELDS
+from veritome.schemas import TEXT_FIELDS, TEXTS
 
 #: Levels from low to high; a level is the lowest that any reason allows.
 LEVELS = ("baixa", "media", "alta")
@@ -65,11 +65,14 @@ RULE_V1, RULE_V2 = Rule(strict=True), Rule()
 def evidence(
     primary: DataFrame, repetition: DataFrame | None = None, other_input: DataFrame | None = None, *, rule: Rule = RULE_V2, examples: Sequence[Example] = EXAMPLES, markers: Sequence[leak.Marker] = leak.MARKERS
 ) -> DataFrame:
-    """One row per primary record with everything the rule looks at, joined on the document."""
+    """One row per primary record with everything the rule looks at, joined on the document.
+
+    Checks read the texts where they are; the joins carry cards and findings, never texts.
+    """
     keys = ["run_id", "doc"]
-    base = one_per_doc(primary, "primary")
-    out = base.join(check_fidelity(base, rule.fidelity), keys, "left").join(check_limitation(base).select(*keys, F.col("verdict").alias("limitation_verdict"), "supported"), keys, "left")
-    found = leak.leaks(base, examples, markers, rule.leakage_threshold)
+    base = one_per_doc(primary.drop(*TEXTS), "primary")
+    out = base.join(check_fidelity(primary, rule.fidelity), keys, "left").join(check_limitation(primary).select(*keys, F.col("verdict").alias("limitation_verdict"), "supported"), keys, "left")
+    found = leak.leaks(primary, examples, markers, rule.leakage_threshold)
     place = F.array_position(F.array(*map(F.lit, TEXT_FIELDS)), F.col("field"))
     copies = found.filter("method <> 'termo_do_exemplo'").groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(place.alias("at"), "field", "similarity"))).alias("copies"))
     terms = found.filter("method = 'termo_do_exemplo'").groupBy(*keys, "field").agg(F.array_sort(F.collect_list("example_value")).alias("terms")).groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(place.alias("at"), "field", "terms"))).alias("terms"))

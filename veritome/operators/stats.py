@@ -11,7 +11,7 @@ from veritome.functions.text import rate
 from veritome.operators.diff import diff_summary, field_diffs, restrict_to
 from veritome.operators.fidelity import check_fidelity, check_limitation
 from veritome.operators.leakage import leaks
-from veritome.schemas import STATUSES
+from veritome.schemas import STATUSES, TEXTS
 
 METRICS = (
     "n", "rate_first_try", "rate_parse_ok", "rate_parse_repaired", "rate_parse_failed", "rate_limitation_null", "rate_null_when_expected",
@@ -45,7 +45,7 @@ def repair_counts(records: DataFrame, *keys: str) -> DataFrame:
 
 
 def audited(records: DataFrame, *, gold: DataFrame | None = None, fidelity: DataFrame | None = None, leaked: DataFrame | None = None) -> DataFrame:
-    """Records with found, page_ok, leak and expects_null beside them; one row per record.
+    """Records, without their texts, with found, page_ok, leak and expects_null beside them; one row per record.
 
     ``gold`` (doc, declares) says whether authors declare a limitation; without it the
     limitation vocabulary of the text sent decides.
@@ -53,7 +53,7 @@ def audited(records: DataFrame, *, gold: DataFrame | None = None, fidelity: Data
     keys = ["run_id", "doc"]
     checked = (fidelity if fidelity is not None else check_fidelity(records)).select(*keys, "found", "page_ok")
     hit = (leaked if leaked is not None else leaks(records)).select(*keys).distinct().withColumn("leak", F.lit(True))
-    out = records.join(checked, keys, "left").join(hit, keys, "left")
+    out = records.drop(*TEXTS).join(checked, keys, "left").join(hit, keys, "left")
     if gold is None:
         words = check_limitation(records).select(*keys, (F.size("words") == 0).alias("expects_null"))
         return out.join(words, keys, "left")

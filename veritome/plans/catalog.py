@@ -119,10 +119,14 @@ def strip_repeated_lines(spark, sf):
     return cleaning.strip_repeated_lines(source_pages(spark, sf), 0.1)
 
 
-@query("vocabulary", r"SELECT source AS doc, list_sort(list(DISTINCT w)) AS vocabulary FROM (SELECT source, unnest(regexp_extract_all(lower(text), '\p{L}+(?:-\p{L}+)*')) AS w FROM documents WHERE NOT regexp_matches(text, '\p{L}-\p{L}')) GROUP BY source")
+@query(
+    "vocabulary",
+    r"""WITH w AS (SELECT DISTINCT source, unnest(regexp_extract_all(lower(text), '\p{L}+(?:-\p{L}+)*')) AS w FROM documents), p AS (SELECT source, w, string_split(w, '-') AS p FROM w),
+f AS (SELECT source, w AS f FROM p UNION SELECT source, unnest(p) FROM p UNION SELECT source, unnest(list_transform(range(1, len(p)), lambda i: p[i] || '-' || p[i + 1])) FROM p WHERE len(p) > 1)
+SELECT source AS doc, list_sort(list(f)) AS vocabulary FROM f GROUP BY source""",
+)
 def vocabulary(spark, sf):
-    plain = source_pages(spark, sf).filter(~F.col("text").rlike(r"\p{L}-\p{L}"))
-    return cleaning.vocabulary(plain)
+    return cleaning.vocabulary(source_pages(spark, sf))
 
 
 @query("clean_pages")

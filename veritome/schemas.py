@@ -57,6 +57,8 @@ FIELDS = {
     "evidence.page": "card.evidence.page",
 }
 TEXT_FIELDS = [f for f in FIELDS if f != "evidence.page"]
+#: Columns that hold whole texts: they stay out of joins.
+TEXTS = ("context_text", "raw_output")
 STATUSES = ("ok", "repaired", "failed")
 #: Field names of the shipped table.
 EXPORT_NAMES = {
