@@ -138,3 +138,21 @@ def test_cli(spark, tmp_path, capsys):
     assert (tmp_path / "o" / "rehearsal.csv").exists()
     assert cli.main(["runs", str(tmp_path / "s")]) == 0 and cli.main(["cost", str(tmp_path / "s")]) == 0
     assert "usd_total" in capsys.readouterr().out
+
+
+def test_settings(monkeypatch):
+    from veritome.config import settings
+
+    monkeypatch.setenv("VERITOME_TOP_K", "3")
+    monkeypatch.setenv("VERITOME_API_KEY", "hidden")
+    s = settings(temperature=0.7)
+    assert (s.top_k, s.params.temperature, s.strategy("semantic").top_k, s.price.output) == (3, 0.7, 3, 15.0)
+    assert "hidden" not in str(s.public())
+    with pytest.raises(ValueError, match="unknown"):
+        s.strategy("x")
+
+
+def test_card_schema_names_every_key():
+    from veritome.functions.completion import card_schema
+
+    assert card_schema()["required"] == ["problema", "dados", "metodo", "metrica", "limitacao", "evidencia"]

@@ -37,6 +37,14 @@ PARSED = T.StructType(
 _STRING = re.compile(r'"(?:[^"\\]|\\.)*+(?:"|\Z)', re.DOTALL)
 
 
+def card_schema() -> dict:
+    """JSON schema of a card as a prompt shows it: every key required, the limitation nullable."""
+    text = {"type": "string", "minLength": 1}
+    evidence = {"type": "object", "properties": {"trecho": {"type": "string", "minLength": MIN_QUOTE}, "pagina": {"type": "integer", "minimum": 1}}, "required": ["trecho", "pagina"], "additionalProperties": False}
+    properties = {k: text for k in TEXT_KEYS} | {"limitacao": {"type": ["string", "null"]}, "evidencia": evidence}
+    return {"type": "object", "properties": properties, "required": list(properties), "additionalProperties": False}
+
+
 class Parsed(NamedTuple):
     status: str
     card: dict | None

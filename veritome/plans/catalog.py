@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from veritome.functions import completion, text
 from veritome.functions.matching import block_array, match_form_of
 from veritome.operators import chunking, cleaning, confidence, cost, diff, embedding, fidelity, leakage, overview, selection, spans, stats
+from veritome.operators import records as record_table
 from veritome.plans.views import PAGES_SQL, documents, fidelity_sql, form_sql, pages, records, records_sql, source_pages, table
 from veritome.prompts import render_prompts
 
@@ -356,6 +357,22 @@ def repair_counts(spark, sf):
     return stats.repair_counts(records(spark, sf, "a"), "run_id")
 
 
+@query("records_by_document", f"WITH {records_sql('a')}, {records_sql('b')}, r AS (SELECT * FROM rec_a UNION ALL SELECT * FROM rec_b) SELECT doc, string_agg(run_id || ':' || parse_status, ',' ORDER BY run_id) AS runs FROM r GROUP BY doc")
+def records_by_document(spark, sf):
+    rows = record_table.by_document(records(spark, sf, "a").unionByName(records(spark, sf, "b")), "run_id", "parse_status")
+    return rows.select("doc", F.array_join(F.transform("records", lambda r: F.concat_ws(":", r["run_id"], r["parse_status"])), ",").alias("runs"))
+
+
+@query("flat_cards", f"WITH {records_sql('a')} SELECT doc, problem, data, method, metric, limitation, quote, page::BIGINT AS page FROM rec_a WHERE NOT failed")
+def flat_cards(spark, sf):
+    return record_table.flat_cards(records(spark, sf, "a"))
+
+
+@query("reparse", "SELECT doc_id, CASE doc_id % 6 WHEN 0 THEN 'ok' WHEN 3 THEN 'failed' ELSE 'repaired' END AS parse_status, doc_id % 6 IN (0, 4) AS first_try FROM documents")
+def reparse(spark, sf):
+    return record_table.reparse(_raw(spark, sf).withColumnRenamed("raw", "raw_output")).select("doc_id", "parse_status", "first_try")
+
+
 @query("latest_run", "SELECT source, lang, max(doc_id) AS run FROM documents GROUP BY source, lang")
 def latest_run(spark, sf):
     return spans.best_k(documents(spark, sf), ["source", "lang"], [F.col("doc_id").desc()], 1).select("source", "lang", F.col("doc_id").alias("run"))
