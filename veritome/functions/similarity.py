@@ -1,17 +1,17 @@
 """Edit similarity: ratio of the longest common subsequence, whole and in the best window.
 
 The subsequence length is bit-parallel: one big integer holds a column of the dynamic
-programme, so a step costs a few machine words.  The best window is found exactly: windows are
-tried in falling order of an upper bound, the common bag of characters, computed for all
-windows at once by numpy, until no bound can beat the best score.
+programme, so a step costs a few machine words.  The best window is found exactly: numpy runs
+the same programme over all windows side by side, less those that a cutoff rules out by their
+common bag of characters.
 """
 
 from __future__ import annotations
 
+from collections import Counter
 from typing import NamedTuple
 
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -52,40 +52,75 @@ class Window(NamedTuple):
     end: int
 
 
-def best_window(needle: str, text: str) -> Window:
+NONE = Window(0.0, 0, 0)
+
+
+def _common_of_windows(needle: str, codes: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Common subsequence lengths of ``needle`` and all windows, side by side: a column of 64-bit words per window."""
+    m, words = len(needle), -(-len(needle) // 64)
+    letters = sorted(set(needle))
+    known = np.array([ord(c) for c in letters], np.uint32)
+    table = np.zeros((len(letters) + 1, words), np.uint64)
+    for row, c in enumerate(letters):
+        bits = sum(1 << i for i, x in enumerate(needle) if x == c)
+        table[row] = [bits >> 64 * w & (1 << 64) - 1 for w in range(words)]
+    at = np.minimum(np.searchsorted(known, codes), len(letters) - 1)
+    row_of = np.append(np.where(known[at] == codes, at, len(letters)), len(letters))
+    v = np.full((words, len(starts)), ~np.uint64(0))
+    for k in range(int((ends - starts).max())):
+        hit = table[row_of[np.where(starts + k < ends, starts + k, len(codes))]].T
+        carry = np.zeros(len(starts), np.uint64)
+        for w in range(words):
+            u = v[w] & hit[w]
+            first = v[w] + u
+            total = first + carry
+            carry = ((first < u) | (total < first)).astype(np.uint64)
+            v[w] = total | (v[w] & ~hit[w])
+    left = np.uint64((1 << (m - 64 * (words - 1))) - 1) if m % 64 else ~np.uint64(0)
+    v[-1] &= left
+    return m - np.bitwise_count(v).sum(axis=0, dtype=np.int64)
+
+
+def best_window(needle: str, text: str, cutoff: float = 0.0) -> Window:
     """Best ratio of ``needle`` with a window of ``text`` no longer than it; of equals the first.
 
-    Windows are as long as the needle, or shorter at either end of the text.
+    Windows are as long as the needle, or shorter at either end of the text.  If no window
+    reaches ``cutoff``, the result has score 0: bounds from common bags of characters settle that early.
     """
     m, n = len(needle), len(text)
     if not m or not n:
         return Window(1.0 if m == n else 0.0, 0, 0)
     if (at := text.find(needle)) >= 0:
         return Window(1.0, at, at + m)
-    starts = np.r_[np.zeros(min(m, n) - 1, int), np.arange(max(1, n - m + 1)), np.arange(max(1, n - m + 1), n)]
-    ends = np.r_[np.arange(1, min(m, n)), np.minimum(np.arange(max(1, n - m + 1)) + m, n), np.full(n - max(1, n - m + 1), n)]
-    codes = np.frombuffer(text.encode("utf-32-le"), np.uint32)
-    bag = np.zeros(len(starts), np.int64)
-    for c in set(needle):
-        sums = np.r_[0, np.cumsum(codes == ord(c))]
-        bag += np.minimum(sums[ends] - sums[starts], needle.count(c))
-    bound = 2.0 * bag / (m + ends - starts)
-    masks, best = _masks(needle), Window(0.0, 0, 0)
-    for i in np.lexsort((starts, -bound)).tolist():
-        if bound[i] < best.score:
-            break
-        s, e = int(starts[i]), int(ends[i])
-        score = 2.0 * _common(masks, m, text[s:e]) / (m + e - s)
-        if score > best.score or (score == best.score and s < best.start):
-            best = Window(score, s, e)
-    return best
-
-
-def partial_ratio(a: str, b: str) -> float:
-    """Best window of the longer string for the shorter one."""
+    own = Counter(needle)
+    if cutoff:
+        shared = sum((own & Counter(text)).values())
+        if 2.0 * shared < cutoff * (m + shared):
+            return NONE
+    whole = max(1, n - m + 1)
+    starts = np.r_[np.zeros(min(m, n) - 1, int), np.arange(whole), np.arange(whole, n)]
+    ends = np.r_[np.arange(1, min(m, n)), np.minimum(np.arange(whole) + m, n), np.full(n - whole, n)]
+    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+    if cutoff:
+        bag = np.zeros(len(starts), np.int64)
+        for c, count in own.items():
+            sums = np.r_[0, np.cumsum(codes == ord(c))]
+            bag += np.minimum(sums[ends] - sums[starts], count)
+        able = 2.0 * bag >= cutoff * (m + ends - starts)
+        starts, ends = starts[able], ends[able]
+        if not len(starts):
+            return NONE
+    scores = 2.0 * _common_of_windows(needle, codes, starts, ends) / (m + ends - starts)
+    top = np.flatnonzero(scores == scores.max())
+    i = top[np.argmin(starts[top])]
+    return Window(float(scores[i]), int(starts[i]), int(ends[i])) if scores[i] >= cutoff else NONE
+
+
+def partial_ratio(a: str, b: str, cutoff: float = 0.0) -> float:
+    """Best window of the longer string for the shorter one; 0 if below ``cutoff``."""
     if len(a) == len(b):
-        return max(best_window(a, b).score, best_window(b, a).score)
-    return best_window(*sorted((a, b), key=len)).score
+        return max(best_window(a, b, cutoff).score, best_window(b, a, cutoff).score)
+    return best_window(*sorted((a, b), key=len), cutoff).score
 
 
 @F.udf(T.DoubleType(), useArrow=True)
@@ -96,16 +131,3 @@ def _ratio(a: str | None, b: str | None) -> float | None:
 def similarity(a: Column, b: Column) -> Column:
     """Ratio of two columns; equal strings never reach Python's arithmetic."""
     return F.when(a == b, F.lit(1.0)).otherwise(_ratio(a, b))
-
-
-def arrow_map(columns: list[str], fields: list[tuple[str, pa.DataType]], row):
-    """A mapInArrow function that keeps ``columns`` and appends ``fields`` from ``row(*values)`` of the others."""
-
-    def run(batches):
-        for b in batches:
-            rest = [b.column(i).to_pylist() for i in range(len(columns), b.num_columns)]
-            out = list(map(row, *rest)) if b.num_rows else []
-            made = [pa.array([o[k] for o in out], kind) for k, (_, kind) in enumerate(fields)]
-            yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(len(columns))), *made], [*columns, *(n for n, _ in fields)])
-
-    return run

@@ -51,7 +51,7 @@ def locate(quote: str, context: str, claimed: int | None, threshold: float) -> t
         score, method, page = partial_ratio(needle, joined), "fuzzy", None
     if score < threshold:
         return score, method, None
-    on_claimed = any(needle in text or partial_ratio(needle, text) >= threshold for p, text in parts if p == claimed)
+    on_claimed = any(needle in text or partial_ratio(needle, text, threshold) >= threshold for p, text in parts if p == claimed)
     return score, method, claimed if on_claimed else page
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
+from functools import lru_cache
 from typing import NamedTuple
 
 import pyarrow as pa
@@ -50,32 +51,48 @@ def text_values(records: DataFrame) -> DataFrame:
     return records.filter("card is not null").select("run_id", "doc", F.inline(fields)).filter("value is not null")
 
 
-def closest(field: str, value: str, examples: Sequence[Example]) -> tuple[float, str, int, str] | None:
-    """(similarity, method, example, its text): the example most like a field's value."""
+@lru_cache(maxsize=256)
+def _form(text: str) -> str:
+    return match_form(text)
+
+
+@lru_cache(maxsize=64)
+def _sent(context: str) -> str:
+    return " ".join(text for _, text in blocks(context))
+
+
+def closest(field: str, value: str, examples: Sequence[Example], cutoff: float = 0.0) -> tuple[float, str, int, str] | None:
+    """(similarity, method, example, its text): the example most like a field's value, None if none reaches ``cutoff``."""
     form, best = match_form(value), None
     for i, ex in enumerate(examples):
         tries: list[tuple[float, str, str]] = []
         if (own := ex.fields.get(field)) is not None:
-            other = match_form(own)
-            whole = ratio(form, other)
-            part = partial_ratio(form, other) if min(len(form), len(other)) >= LEAST_PARTIAL else 0.0
+            other = _form(own)
+            # Common characters can't outnumber the shorter text's.
+            able = 2 * min(len(form), len(other)) >= cutoff * (len(form) + len(other))
+            whole = ratio(form, other) if able else 0.0
+            part = partial_ratio(form, other, cutoff) if min(len(form), len(other)) >= LEAST_PARTIAL else 0.0
             tries.append((part, "partial_ratio", own) if part > whole else (whole, "ratio", own))
         if field == "evidence.quote" and len(form) >= LEAST_PARTIAL:
-            sent = " ".join(text for _, text in blocks(ex.context))
-            tries.append((partial_ratio(form, match_form(sent)), "partial_ratio_contexto", sent))
+            sent = _sent(ex.context)
+            tries.append((partial_ratio(form, _form(sent), cutoff), "partial_ratio_contexto", sent))
         for score, method, text in tries:
             if best is None or score > best[0]:
                 best = (round(score, 4), method, i, text)
-    return best
+    return best if best and best[0] >= cutoff else None
+
 
+def copied_fields(records: DataFrame, examples: Sequence[Example] = EXAMPLES, cutoff: float = 0.0) -> DataFrame:
+    """(run_id, doc, field, value, similarity, method, example_index, example_name, example_value): each field's closest example.
 
-def copied_fields(records: DataFrame, examples: Sequence[Example] = EXAMPLES) -> DataFrame:
-    """(run_id, doc, field, value, similarity, method, example_index, example_name, example_value): each field's closest example."""
+    Without ``cutoff`` every field has its row, to calibrate by; with one, only fields that
+    reach it, and most comparisons end at a bound.
+    """
     names = [e.name for e in examples]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            hits = [closest(f, v, examples) for f, v in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)]
+            hits = [closest(f, v, examples, cutoff) for f, v in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)]
             keep = pa.array([h is not None for h in hits], pa.bool_())
             hits = [h for h in hits if h]
             rows = b.filter(keep)
@@ -105,7 +122,8 @@ def term_leaks(records: DataFrame, markers: Sequence[Marker] = MARKERS, examples
 
 def leaks(records: DataFrame, examples: Sequence[Example] = EXAMPLES, markers: Sequence[Marker] = MARKERS, threshold: float = THRESHOLD) -> DataFrame:
     """All leaks of all records, copies and terms."""
-    copies = copied_fields(records, examples).filter(F.col("similarity") >= threshold)
+    # Similarities are rounded before they meet the threshold, so the search stops a little below it.
+    copies = copied_fields(records, examples, threshold - 5e-5).filter(F.col("similarity") >= threshold)
     return copies.unionByName(term_leaks(records, markers, examples)) if markers else copies
 
 
