@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import SparkSession
 
+from veritome.shipping import reach_workers
+
 DEFAULTS = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.adaptive.enabled": "true",
@@ -16,4 +18,4 @@ DEFAULTS = {
 
 def session(name: str = "veritome", master: str | None = None, **conf: str) -> SparkSession:
     builder = SparkSession.builder.appName(name).config(map=DEFAULTS | {k.replace("__", "."): v for k, v in conf.items()})
-    return (builder.master(master) if master else builder).getOrCreate()
+    return reach_workers((builder.master(master) if master else builder).getOrCreate())
