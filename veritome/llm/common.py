@@ -8,6 +8,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from veritome.shipping import reach_workers
+
 #: A word: a run without ASCII white space (space, \t \n \v \f \r).
 WORD = r"[^\x20\x09-\x0D]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -44,7 +46,7 @@ _BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 def whole_texts(df: DataFrame) -> DataFrame:
     """``df``, about to be sent to Python: batches of Spark's default 10,000 rows would hold too much text at once."""
-    conf = df.sparkSession.conf
+    conf = reach_workers(df.sparkSession).conf
     if conf.get(_BATCH) == "10000":
         conf.set(_BATCH, BATCH_ROWS)
     return df
