@@ -12,7 +12,7 @@ from veritome.functions import completion, text
 from veritome.functions.matching import block_array, match_form_of
 from veritome.operators import chunking, cleaning, confidence, cost, diff, embedding, fidelity, leakage, overview, selection, spans, stats
 from veritome.operators import records as record_table
-from veritome.plans.views import PAGES_SQL, documents, fidelity_sql, form_sql, pages, records, records_sql, source_pages, table
+from veritome.plans.views import PAGES_SQL, documents, fidelity_sql, form_sql, pages, records, records_sql, source_pages, table, whole_records
 from veritome.prompts import render_prompts
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -338,7 +338,7 @@ def json_fields(spark, sf):
 
 @query("prompt_hashes")
 def prompt_hashes(spark, sf):
-    return render_prompts(records(spark, sf, "a").select("doc", "context_text"), "v_full").select("doc", "prompt_variant", "prompt_sha")
+    return render_prompts(whole_records(spark, sf, "a").select("doc", "context_text"), "v_full").select("doc", "prompt_variant", "prompt_sha")
 
 
 @query(
@@ -389,7 +389,7 @@ def check_fidelity(spark, sf):
 
 @query("fidelity_scores")
 def fidelity_scores(spark, sf):
-    return fidelity.check_fidelity(records(spark, sf, "a")).select("doc", "method", "score")
+    return fidelity.check_fidelity(whole_records(spark, sf, "a")).select("doc", "method", "score")
 
 
 @query(
@@ -434,8 +434,8 @@ FIELD_SQL = [(f, c) for f, c in zip(("problem", "data", "method", "metric", "lim
 DIFF_SQL = "diffs AS (" + " UNION ALL ".join(f"SELECT a.doc, '{f}' AS field, a.{c}::VARCHAR AS a, b.{c}::VARCHAR AS b FROM rec_a a JOIN rec_b b USING (doc) WHERE NOT a.failed AND NOT b.failed" for f, c in FIELD_SQL) + f"), eq AS (SELECT *, CASE WHEN a IS NULL OR b IS NULL THEN a IS NULL AND b IS NULL ELSE {form_sql('a')} = {form_sql('b')} END AS equal FROM diffs)"
 
 
-def _diffs(spark, sf):
-    return diff.field_diffs(records(spark, sf, "a"), records(spark, sf, "b"))
+def _diffs(spark, sf, of=records):
+    return diff.field_diffs(of(spark, sf, "a"), of(spark, sf, "b"))
 
 
 @query("field_diffs", f"{BOTH}, {DIFF_SQL} SELECT doc, field, a, b, equal FROM eq")
@@ -445,7 +445,7 @@ def field_diffs(spark, sf):
 
 @query("field_similarities")
 def field_similarities(spark, sf):
-    return _diffs(spark, sf).select("doc", "field", "similarity")
+    return _diffs(spark, sf, whole_records).select("doc", "field", "similarity")
 
 
 @query("unpaired_documents", f"{BOTH} SELECT coalesce(a.doc, b.doc) AS doc, CASE WHEN a.doc IS NULL THEN 'ausente em A' WHEN b.doc IS NULL THEN 'ausente em B' ELSE 'extração falhou em ' || concat_ws(' e ', CASE WHEN a.failed THEN 'A' END, CASE WHEN b.failed THEN 'B' END) END AS reason FROM rec_a a FULL JOIN rec_b b ON a.doc = b.doc WHERE a.doc IS NULL OR b.doc IS NULL OR a.failed OR b.failed")
@@ -500,7 +500,7 @@ def leakage_summary(spark, sf):
 
 @query("copied_fields")
 def copied_fields(spark, sf):
-    return leakage.copied_fields(records(spark, sf, "a")).select("doc", "field", "similarity", "method", "example_name")
+    return leakage.copied_fields(whole_records(spark, sf, "a")).select("doc", "field", "similarity", "method", "example_name")
 
 
 # ---------------------------------------------------------------- statistics and verdicts
@@ -508,8 +508,8 @@ def _gold(spark, sf):
     return table(spark, sf, "labels").select(F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("doc"), (F.col("quality") == 0).alias("declares"))
 
 
-def _audited(spark, sf, run):
-    r = records(spark, sf, run)
+def _audited(spark, sf, run, of=records):
+    r = of(spark, sf, run)
     return stats.audited(r, gold=_gold(spark, sf), leaked=leakage.term_leaks(r, (MARKER,)))
 
 
@@ -537,18 +537,18 @@ def compare_inputs(spark, sf):
 
 @query("side_by_side")
 def side_by_side(spark, sf):
-    both = _audited(spark, sf, "a").unionByName(_audited(spark, sf, "b"))
+    both = _audited(spark, sf, "a", whole_records).unionByName(_audited(spark, sf, "b", whole_records))
     return stats.side_by_side(stats.run_stats(both, "prompt_variant"), "prompt_variant", "v_full", "v_sem_fewshot")
 
 
 @query("compare_temperatures")
 def compare_temperatures(spark, sf):
-    return stats.compare_temperatures(records(spark, sf, "a"), records(spark, sf, "b"))
+    return stats.compare_temperatures(whole_records(spark, sf, "a"), whole_records(spark, sf, "b"))
 
 
 # ---------------------------------------------------------------- confidence
-def _assigned(spark, sf, rule=confidence.RULE_V2):
-    a, b = records(spark, sf, "a"), records(spark, sf, "b")
+def _assigned(spark, sf, rule=confidence.RULE_V2, of=records):
+    a, b = of(spark, sf, "a"), of(spark, sf, "b")
     return confidence.assign(confidence.evidence(a, b, b, rule=rule, markers=(MARKER,)), rule)
 
 
@@ -569,7 +569,7 @@ def confidence_levels(spark, sf):
 
 @query("confidence_reasons")
 def confidence_reasons(spark, sf):
-    return _assigned(spark, sf).select("doc", F.array_join("reasons", "; ").alias("reasons"))
+    return _assigned(spark, sf, of=whole_records).select("doc", F.array_join("reasons", "; ").alias("reasons"))
 
 
 @query("confidence_distribution", CONF_SQL.replace("{input}", "ch.c") + " SELECT l.c AS confidence, count(conf.doc) AS n FROM (VALUES ('baixa'), ('media'), ('alta')) l(c) LEFT JOIN conf ON conf.confidence = l.c GROUP BY l.c")
@@ -589,7 +589,7 @@ def confidence_strict(spark, sf):
 
 @query("confidence_by_rule")
 def confidence_by_rule(spark, sf):
-    a, b = records(spark, sf, "a"), records(spark, sf, "b")
+    a, b = whole_records(spark, sf, "a"), whole_records(spark, sf, "b")
     return confidence.by_rule(a, b, b, {"v1": confidence.RULE_V1, "v2": confidence.RULE_V2}, markers=(MARKER,))
 
 
@@ -624,8 +624,8 @@ def compare_costs(spark, sf):
     return cost.compare(cost.cost(r, PRICE, "run_id"), naive, "run_id")
 
 
-def _leaked(spark, sf, run):
-    r = records(spark, sf, run)
+def _leaked(spark, sf, run, of=records):
+    r = of(spark, sf, run)
     rows = stats.audited(r, gold=_gold(spark, sf), leaked=leakage.term_leaks(r, (MARKER,)))
     return rows.join(leakage.leaked_by_doc(leakage.term_leaks(r, (MARKER,))), ["run_id", "doc"], "left")
 
@@ -633,14 +633,18 @@ def _leaked(spark, sf, run):
 CASES_SQL = f"{BOTH}, {fidelity_sql('a')}, {fidelity_sql('b')}, {TERM_SQL}, leak_a AS (SELECT DISTINCT doc FROM leak), tb AS (" + " UNION ALL ".join(f"SELECT doc, {c} AS value, context_text FROM rec_b WHERE NOT failed AND {c} IS NOT NULL" for _, c in FIELD_SQL[:6]) + r"), leak_b AS (SELECT DISTINCT doc FROM tb WHERE regexp_matches(value, '(?i)\bthe\b') AND NOT regexp_matches(context_text, '(?i)\bthis\b')), c AS (SELECT r.run_id, r.doc, f.found, l.doc IS NOT NULL AS leaked FROM rec_a r JOIN fid_a f USING (doc) LEFT JOIN leak_a l ON l.doc = r.doc WHERE NOT r.failed UNION ALL SELECT r.run_id, r.doc, f.found, l.doc IS NOT NULL FROM rec_b r JOIN fid_b f USING (doc) LEFT JOIN leak_b l ON l.doc = r.doc WHERE NOT r.failed), k AS (SELECT *, row_number() OVER (PARTITION BY doc ORDER BY run_id) AS rk FROM c WHERE leaked OR NOT found)"
 
 
+def _invention_cases(spark, sf, of=records):
+    return overview.invention_cases(_leaked(spark, sf, "a", of).unionByName(_leaked(spark, sf, "b", of))).select("run_id", "doc", "kind")
+
+
 @query("invention_cases", CASES_SQL + " SELECT run_id, doc, CASE WHEN leaked AND found THEN 0 WHEN leaked THEN 1 ELSE 2 END AS kind FROM k WHERE rk = 1")
 def invention_cases(spark, sf):
-    return overview.invention_cases(_leaked(spark, sf, "a").unionByName(_leaked(spark, sf, "b"))).select("run_id", "doc", "kind")
+    return _invention_cases(spark, sf)
 
 
 @query("highlights")
 def highlights(spark, sf):
-    return overview.highlights(invention_cases(spark, sf), 3)
+    return overview.highlights(_invention_cases(spark, sf, whole_records), 3)
 
 
 @query("limitation_outcome", f"{FID} SELECT r.run_id, count(*) AS n, count(*) FILTER (WHERE limitation IS NOT NULL) AS filled, count(*) FILTER (WHERE limitation IS NOT NULL AND found) AS filled_and_found, count(*) - count(*) FILTER (WHERE limitation IS NOT NULL) AS limitation_null FROM rec_a r JOIN fid_a f USING (doc) GROUP BY r.run_id")

@@ -51,14 +51,46 @@ def records(spark: SparkSession, sf_dir: str, run: str) -> DataFrame:
     )
     d = documents(spark, sf_dir).filter((F.char_length("text") >= 120) & (i % (23 if a else 17) != 0))
     out = d.select("doc_id", "doc", "source", context.alias("context_text"), status.alias("parse_status"), F.when(~failed, card).alias("card"))
+    return _as_records(out, run)
+
+
+def _as_records(out: DataFrame, run: str) -> DataFrame:
+    a, i = run == "a", F.col("doc_id")
+    failed = F.col("parse_status") == "failed"
     return out.select(
         F.lit(f"run_{run}").alias("run_id"), "doc", F.lit("first_pages" if a else "semantic").alias("strategy"), F.lit("v_full" if a else "v_sem_fewshot").alias("prompt_variant"),
         F.lit("stub").alias("model"), F.lit(0.0 if a else 0.7).alias("temperature"), F.lit(1).alias("repetition"), F.col("doc_id").alias("seq"), "context_text", "parse_status", "card",
-        ((F.col("parse_status") != "failed") & (i % 6 != 0)).alias("first_try"), F.when(F.col("parse_status") == "repaired", F.array(F.lit("virgula_final"))).otherwise(F.expr("cast(array() as array<string>)")).alias("repairs"),
+        (~failed & (i % 6 != 0)).alias("first_try"), F.when(F.col("parse_status") == "repaired", F.array(F.lit("virgula_final"))).otherwise(F.expr("cast(array() as array<string>)")).alias("repairs"),
         (F.char_length("context_text") + 500).cast("long").alias("input_tokens"), (i % 50 + 100).cast("long").alias("output_tokens"), ((i % 10) / 10.0).alias("latency_s"), "doc_id", "source",
     )
 
 
+def whole_records(spark: SparkSession, sf_dir: str, run: str) -> DataFrame:
+    """Records of run ``a`` or ``b`` over every document: whole texts as pages of 400 characters, cards from anywhere in them.
+
+    Same columns as ``records``, for queries without SQL.  Every document is in both runs; failed answers stay as rows.
+    """
+    a, i, t = run == "a", F.col("doc_id"), F.col("text")
+    d = documents(spark, sf_dir).withColumn("text", F.coalesce("text", F.lit("")))
+    pages = F.regexp_extract_all(t, F.lit(r"(?s).{1,400}"), F.lit(0))
+    context = F.array_join(F.transform(pages, lambda p, k: F.concat(F.lit("[p. "), (k + 1).cast("string"), F.lit("]\n"), _strip(p))), "\n\n")
+    # Where the card's passage of 120 characters starts: spread over the whole text.
+    d = d.withColumn("at", F.pmod(i * 7919, F.greatest(F.char_length(t) - 119, F.lit(1))).cast("int")).withColumn("passage", F.substring(t, F.col("at") + 1, F.lit(120)))
+    part = lambda start, n: F.substring("passage", start, n)
+    failed = i % (11 if a else 19) == 0
+    status = F.when(failed, "failed").when(i % 9 == 0, "repaired").otherwise("ok")
+    page = F.floor((F.col("at") + 20) / 400).cast("long") + 1
+    card = F.struct(
+        part(1, 40).alias("problem"),
+        (part(41, 30) if a else F.when(i % 3 == 0, part(43, 30)).otherwise(part(41, 30))).alias("data"),
+        part(71, 30).alias("method"),
+        part(1, 20).alias("metric"),
+        F.when(i % (5 if a else 10) != 0, F.concat(F.lit("limited by "), part(5, 20))).alias("limitation"),
+        F.struct(F.when(i % 7 == 0, NOWHERE).otherwise(_strip(part(21, 60))).alias("quote"), F.when(i % 13 == 0, page + 1).otherwise(page).alias("page")).alias("evidence"),
+    )
+    return _as_records(d.select("doc_id", "doc", "source", context.alias("context_text"), status.alias("parse_status"), F.when(~failed, card).alias("card")), run)
+
+
 PAGES_SQL = "pages_v AS (SELECT 'd' || doc_id AS doc, generate_subscripts(l, 1)::INT AS page, unnest(l) AS text FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents))"
 
 
