@@ -120,3 +120,12 @@ def test_merge_spans(spark):
 def test_fitting_skips_and_goes_on(spark):
     df = spark.createDataFrame([("a", 1, 60), ("a", 2, 50), ("a", 3, 40), ("b", 1, 200)], "k string, i int, size int")
     assert {(r.k, r.i) for r in spans.fitting(df, ["k"], "size", [F.col("i")], 100).collect()} == {("a", 1), ("a", 3)}
+
+
+def test_top_chunks_beyond_one_block(spark):
+    vec = lambda i: [float((i * 37 + j * 11) % 19 - 9) for j in range(4)]
+    chunks = spark.createDataFrame([(f"d{i % 3}", i, vec(i)) for i in range(60)], "doc string, chunk long, vector array<float>")
+    queries = spark.createDataFrame([(i, f"q{i}", vec(i)) for i in range(25)], "query long, label string, vector array<float>")
+    once = spans.top_chunks(chunks, queries, 2)
+    in_blocks = spans.top_chunks(chunks, queries, 2, max_queries=4)
+    assert sorted(map(tuple, in_blocks.collect())) == sorted(map(tuple, once.collect()))

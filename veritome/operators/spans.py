@@ -53,13 +53,17 @@ def top_chunks(chunks: DataFrame, queries: DataFrame, k: int, *, keys: Sequence[
     """Union of each query's ``k`` nearest chunks per group, with best score and that query's label.
 
     ``chunks`` have ``chunk`` (its place in the group) and ``vector``; ``queries`` have ``query``
-    (its place), ``label`` and ``vector``.  Queries are a stated set of at most
-    ``max_queries`` and are sent to every task.
+    (its place), ``label`` and ``vector``.  Up to ``max_queries`` queries are sent to every task at
+    once; more are dealt out to blocks of about that size by hash, and each block meets all chunks.
     """
-    if queries.limit(max_queries + 1).count() > max_queries:
-        raise ValueError(f"more than {max_queries} queries")
     dot = F.aggregate(F.zip_with("vector", "_q", lambda a, b: a.cast("double") * b.cast("double")), F.lit(0.0), lambda a, x: a + x)
-    pairs = chunks.join(F.broadcast(queries.select("query", F.col("label").alias("_label"), F.col("vector").alias("_q"))))
-    scored = pairs.withColumn("score", dot).drop("_q")
-    near = best_k(scored, [*keys, "query"], [F.col("score").desc(), F.col("chunk")], k)
+    n = queries.count()
+    n_blocks = max(1, -(-n // max_queries))
+    place = F.pmod(F.xxhash64("query"), F.lit(n_blocks))
+    near = None
+    for b in range(n_blocks):
+        block = queries.filter(place == b) if n_blocks > 1 else queries
+        pairs = chunks.join(F.broadcast(block.select("query", F.col("label").alias("_label"), F.col("vector").alias("_q"))))
+        best = best_k(pairs.withColumn("score", dot).drop("_q"), [*keys, "query"], [F.col("score").desc(), F.col("chunk")], k).drop("vector")
+        near = best if near is None else near.unionByName(best)
     return near.groupBy(*keys, "chunk").agg(F.round(F.max("score"), 6).alias("score"), F.max_by("_label", F.struct("score", -F.col("query"))).alias("label"))
