@@ -268,3 +268,31 @@ def test_held_out_rows_are_never_learned(spark):
     df = spark.range(50).selectExpr("id as doc_id")
     got = {x.doc_id: x.ok for x in df.select("doc_id", quality_knn.learns(df.doc_id).alias("ok")).collect()}
     assert all(ok == (crc32(str(i).encode()) % 4 != 2) for i, ok in got.items())
+
+
+# ---------------------------------------------------------------- disguises behind their gates
+@pytest.mark.parametrize("shut", [f"{a}{o}{i}{w}{i}{c}{a}" for a in ("", " ") for i in ("", " ") for o, c in ("[]", "()", "{}", "<>") for w in ("at", "a", "@", "AT", "arroba")])
+def test_every_shut_at_is_rewritten(shut):
+    text = f"write jane{shut}example.com now"
+    assert [text[s.start : s.end] for s in pii.find_spans(text)[1]] == [f"jane{shut}example.com"]
+
+
+@pytest.mark.parametrize("dot", [f"{a}{o}{i}{w}{i}{c}{a}" for a in ("", " ") for i in ("", " ") for o, c in ("[]", "()", "{}", "<>") for w in ("dot", ".", "punkt", "point")] + [" dot ", "  PUNTO "])
+def test_every_dot_is_rewritten(dot):
+    text = f"write jane@example{dot}com now"
+    assert f"jane@example{dot}com" in [text[s.start : s.end] for s in pii.find_spans(text)[1]]
+
+
+@pytest.mark.parametrize(
+    ("text", "kind", "found"),
+    [
+        ("write jane [\u0430t] example.com now", "email", "jane [\u0430t] example.com"),
+        ("write jane [a\u200bt] example [d\u200bot] com now", "email", "jane [a\u200bt] example [d\u200bot] com"),
+        ("call plus four nine/one five/fi\u200bve five/five zero/one two/three now", "phone", "plus four nine/one five/fi\u200bve five/five zero/one two/three"),
+        ("call (plus four(nine)one/five/five/five/five/zero/one/two now", "phone", "plus four(nine)one/five/five/five/five/zero/one/two"),
+        ("host one.2.3.4 now", "ip", "one.2.3.4"),
+        ("host 1.two.3.4 now", "ip", "1.two.3.4"),
+    ],
+)
+def test_stacked_disguises(text, kind, found):
+    assert (kind, found) in [(pii.KINDS[s.rank], text[s.start : s.end]) for s in pii.find_spans(text)[1]]

@@ -19,6 +19,7 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Callable, Iterator
+from itertools import islice
 from typing import NamedTuple
 
 import pyarrow as pa
@@ -148,8 +149,16 @@ _OPEN_MAIL = re.compile(rf"(?i)({_NAME})({_AT_OPEN}|@)(?!(?:the|a|an|this|that|m
 _DOTS = re.compile(rf"(?i){_DOT_WORD}")
 
 
+#: Letters that match ASCII ones regardless of case.
+_CASED = str.maketrans("\u0130\u0131\u017f\u212a", "iisk")
+
+
+def _digit(d: str) -> str:
+    return d if d.isdigit() else DIGIT_WORDS[d.translate(_CASED).lower()]
+
+
 def _digits(text: str) -> str:
-    return "".join(d if (d := m[0]).isdigit() else DIGIT_WORDS[d.lower()] for m in _DIGIT.finditer(text))
+    return "".join(_digit(m[0]) for m in _DIGIT.finditer(text))
 
 
 def _spelled(m: re.Match) -> list[tuple[int, int, str]]:
@@ -159,7 +168,7 @@ def _spelled(m: re.Match) -> list[tuple[int, int, str]]:
     sign = "+" if m[0][0] == "+" or m[0][:4].lower() == "plus" else ""
     out, at = [], m.start()
     for k, d in enumerate(_DIGIT.finditer(m.string, m.start(), m.end())):
-        one = d[0] if d[0].isdigit() else DIGIT_WORDS[d[0].lower()]
+        one = _digit(d[0])
         out.append((at, d.end(), sign + one if not k else one))
         at = d.end()
     return out
@@ -174,27 +183,29 @@ def _mail(m: re.Match) -> list[tuple[int, int, str]]:
     return [*dots[0], (m.start(2), m.end(2), "@"), *dots[1]]
 
 
+# Gates: what every match of the transducer's pattern, or every one that it rewrites, must hold.
+_DOT_IN = re.compile(r"(?i)[\[({<][ ]?(?:dot|punkt|punto|point|\.)[ ]?[\])}>]|[ ](?:dot|punkt|punto|point)[ ]").search
+_AT_IN = re.compile(r"(?i)[\[({<][ ]?(?:at|a|arroba|@)[ ]?[\])}>]").search
+_OCTET_IN = re.compile(rf"(?i)\.(?:{_WORD}\b|(?<=[^\W\d_]\.)[0-9])").search
+_DIGIT_WORD = re.compile(rf"(?i)\b{_WORD}\b").finditer
+
+#: Transducers in turn: gate, pattern, parts.
+TRANSDUCERS = (
+    (lambda t: not t.isascii() and _HOMOGLYPH.search(t), _HOMOGLYPH, lambda m: [(m.start(), m.end(), HOMOGLYPHS[m[0]])]),
+    (lambda t: _DOT_IN(t) or _OCTET_IN(t), _SPELLED_IP, _spelled_ip),
+    (lambda t: len(list(islice(_DIGIT_WORD(t), 3))) == 3, _SPELLED, _spelled),
+    (_AT_IN, _SHUT_MAIL, _mail),
+    (_DOT_IN, _OPEN_MAIL, _mail),
+)
+
+
 def deobfuscate(text: str) -> Written | None:
-    """The text as rewritten by all transducers; None if they leave it as it is."""
-    homoglyphs = not text.isascii() and _HOMOGLYPH.search(text)
-    low = text.lower()
-    dots = any(x in low for x in ("dot", "punkt", "punto", "point", "[.", "(.", "{.", "<."))
-    ats = any(x in low for x in ("(at", "[at", "{at", "<at", "( at", "[ at", "(a)", "[a]", "arroba", "(@", "[@"))
-    spelled = sum(map(DIGIT_WORDS.__contains__, low.replace(",", " ").replace("-", " ").replace(".", " ").split())) > 2
-    if not (homoglyphs or dots or ats or spelled):
-        return None
-    w = Written(text, list(range(len(text))), list(range(1, len(text) + 1)))
-    if homoglyphs:
-        w = rewrite(w, _HOMOGLYPH, lambda m: [(m.start(), m.end(), HOMOGLYPHS[m[0]])])
-    if dots:
-        w = rewrite(w, _SPELLED_IP, _spelled_ip)
-    if spelled:
-        w = rewrite(w, _SPELLED, _spelled)
-    if ats:
-        w = rewrite(w, _SHUT_MAIL, _mail)
-    if dots:
-        w = rewrite(w, _OPEN_MAIL, _mail)
-    return None if w.text == text else w
+    """The text as rewritten by all transducers, each gated by what those before it wrote; None if they leave it as it is."""
+    w = None
+    for gate, pattern, parts in TRANSDUCERS:
+        if gate(w.text if w else text):
+            w = rewrite(w or Written(text, list(range(len(text))), list(range(1, len(text) + 1))), pattern, parts)
+    return None if w is None or w.text == text else w
 
 
 def find_spans(text: str) -> tuple[list[Span], list[Span]]:
