@@ -296,3 +296,34 @@ def test_every_dot_is_rewritten(dot):
 )
 def test_stacked_disguises(text, kind, found):
     assert (kind, found) in [(pii.KINDS[s.rank], text[s.start : s.end]) for s in pii.find_spans(text)[1]]
+
+
+# ---------------------------------------------------------------- long tags
+BIG = "x" * 100_000
+
+
+@pytest.mark.parametrize(
+    "odd",
+    [
+        f'<img src="data:image/png;base64,{BIG}">',
+        f"<!DOCTYPE {BIG}>",
+        f'<div class="ad" data-x="{BIG}"><p>Buy this thing now, it is very cheap today and only today.</p></div>',
+        f'<div class="ad" data-x="{BIG} > <b> {BIG}"><p>Buy this thing now, it is very cheap today and only today.</p></div>',
+        f'<script data-x="{BIG}">var code = 1;</script>',
+        f'<script data-x="{BIG} < {BIG}">var code = 1;</script>',
+    ],
+)
+def test_long_tags_are_tags(odd):
+    tree = html_extract.trained_tree()
+    first, last = "The first paragraph of the article has a good number of words in it.", "The last paragraph of the article has a good number of words in it too."
+    page = f"<html><body><article><p>{first}</p>{odd}<p>{last}</p></article></body></html>"
+    assert html_extract.main_text(page, tree) == f"{first}\n\n{last}"
+
+
+@pytest.mark.parametrize("part", ['<a "', "<a '\"", '<a "<a ""', "<a \"'<b '\"", '<div class="', "<script x='<", "<!", "</a ' "])
+def test_broken_quotes_are_linear(part):
+    import time
+
+    start = time.perf_counter()
+    html_extract.blocks(part * 100_000)
+    assert time.perf_counter() - start < 10

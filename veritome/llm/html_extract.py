@@ -6,8 +6,9 @@ element, in a container that its tag, class, id or role marks as boilerplate, an
 a heading.  A decision tree, grown from the small labelled table below when a worker starts,
 says which blocks are main text.
 
-Tags are scanned once with patterns that never look back or run on past a bounded length, so
-broken markup and very long pages stay linear.
+Tags of any length are scanned in one forward pass whose patterns end at the next < or are
+consumed; quotes that hold < or > are followed once each, so broken markup and very long pages
+stay linear.
 
 Defined results: null and empty pages have empty text; comments, scripts, styles, the head and
 hidden elements hold no text; an element that isn't closed ends with its parent; character
@@ -43,13 +44,18 @@ BOILER_STEMS = ("advert", "comment", "cookie", "disqus", "sidebar", "newsletter"
 #: Kinds of boilerplate that an article inside doesn't lift.
 FIRM = re.compile(r"(?i)comment|disqus|respond|related|recommended|sidebar|promo|sponsor|advert")
 
+# Every alternative ends at the next < at the latest, but for comments and silent elements, which are consumed.
+_NAME = r"(?P<end>/?)(?P<tag>[a-zA-Z][a-zA-Z0-9:-]{0,40})"
 _TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<[!?][^<>]{0,10000}>"
-    rf"|<(?P<raw>{'|'.join(SILENT)})\b[^<>]{{0,10000}}(?:(?<=/)>|>.*?(?:</(?P=raw)\s*>|\Z))"
-    r"""|<(?P<end>/?)(?P<tag>[a-zA-Z][a-zA-Z0-9:-]{0,40})(?P<attrs>(?:[^<>"']|"[^"]{0,10000}"|'[^']{0,10000}')*+)/?>"""
-    r"|</?[a-zA-Z][^<>]{0,10000}>",
+    r"<!--.*?(?:-->|\Z)|<[!?][^<>]*+>"
+    rf"|<(?P<raw>{'|'.join(SILENT)})\b[^<>]*+(?:(?<=/)>|>.*?(?:</(?P=raw)\s*>|\Z))"
+    rf"""|<{_NAME}(?P<attrs>(?:[^<>"']|"[^"<>]*+"|'[^'<>]*+')*+)/?>"""
+    r"|(?P<odd><(?=/?[a-zA-Z]))",
     re.DOTALL | re.IGNORECASE,
 )
+#: Tags with < or > in quotes, or a quote that doesn't close.
+_OPENING, _BARE, _TO_QUOTE = re.compile(f"<{_NAME}"), re.compile(r"</?[a-zA-Z][^<>]*+>"), re.compile(r"""[^<>"']*+""")
+_CLOSING = {t: re.compile(rf"</{t}\s*>", re.IGNORECASE) for t in SILENT}
 _ATTR = re.compile(r"""(?i)\b(class|id|role|hidden|aria-hidden|style)\b(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 _NAMES = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|[0-9]+")
 _NOTICE = re.compile(r"(?i)©|\(c\) ?\d{4}|all rights reserved|uses? cookies|accept (?:all )?cookies|privacy policy|terms of (?:use|service)")
@@ -85,6 +91,50 @@ def _marks(tag: str, attrs: str) -> tuple[bool, bool]:
     return boiler, firm
 
 
+def _tag_end(page: str, at: int, dead: set[int]) -> int:
+    """Where the tag whose attributes begin at ``at`` ends, -1 if it doesn't.
+
+    ``dead`` holds opening quotes from which no end is reached, so all calls together are linear.
+    """
+    seen = []
+    while True:
+        at = _TO_QUOTE.match(page, at).end()
+        c = page[at : at + 1]
+        if c == ">":
+            return at + 1
+        close = page.find(c, at + 1) if c and c != "<" and at not in dead else -1
+        if close < 0:
+            dead.update(seen, (at,))
+            return -1
+        seen.append(at)
+        at = close + 1
+
+
+def _tokens(page: str) -> Iterator[tuple[int, int, str, bool, str, bool]]:
+    """(start, end, tag, whether an end tag, attributes, whether silent) of every token of the page, in order."""
+    at, dead = 0, set()
+    while m := _TOKEN.search(page, at):
+        start, at = m.span()
+        if not m["odd"]:
+            yield start, at, m["tag"] or "", bool(m["end"]), m["attrs"] or "", bool(m["raw"])
+            continue
+        name = _OPENING.match(page, start)
+        end = _tag_end(page, name.end(), dead)
+        if end < 0:
+            if bare := _BARE.match(page, start):
+                at = bare.end()
+                yield start, at, "", False, "", False
+            continue
+        at, attrs = end, page[name.end() : end - 1]
+        if name["tag"].lower() in _CLOSING and not name["end"]:
+            if not attrs.endswith("/"):
+                close = _CLOSING[name["tag"].lower()].search(page, end)
+                at = close.end() if close else len(page)
+            yield start, at, "", False, "", True
+        else:
+            yield start, at, name["tag"], bool(name["end"]), attrs, False
+
+
 def blocks(page: str) -> list[Block]:
     """Text blocks of a page, in order."""
     out: list[Block] = []
@@ -107,20 +157,19 @@ def blocks(page: str) -> list[Block]:
             text, in_link = [], []
 
     at = 0
-    for m in _TOKEN.finditer(page):
-        if m.start() > at:
-            text.append(page[at : m.start()])
+    for start, stop, tag, is_end, attrs, silent in _tokens(page):
+        if start > at:
+            text.append(page[at:start])
             in_link.append(link > 0)
-        at = m.end()
-        tag = m["tag"]
+        at = stop
         if not tag:
-            if m["raw"]:
+            if silent:
                 text.append(" ")
                 in_link.append(False)
             continue
         tag = tag.lower()
         if tag == "a":
-            link = 0 if m["end"] else 1
+            link = 0 if is_end else 1
             continue
         if tag == "br":
             text.append(" ")
@@ -130,10 +179,10 @@ def blocks(page: str) -> list[Block]:
             flush()
             link = 0
         if tag in HEADINGS:
-            heading = not m["end"]
+            heading = not is_end
         if tag not in CONTAINERS or tag in VOID:
             continue
-        if m["end"]:
+        if is_end:
             for k in range(len(stack) - 1, 0, -1):
                 if stack[k][0] == tag:
                     del stack[k:]
@@ -148,7 +197,7 @@ def blocks(page: str) -> list[Block]:
         if tag == "li" and stack[-1][0] == "li":
             stack.pop()
         _, inside, boiler, firm = stack[-1]
-        own, own_firm = _marks(tag, m["attrs"] or "")
+        own, own_firm = _marks(tag, attrs)
         if tag in ("article", "main"):
             boiler, inside = boiler and firm, True
         elif tag == "header":
