@@ -31,8 +31,8 @@ def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sources mixed to target weights; repeated documents are repeated rows."""
-    return mixing.mix_documents(docs)
+    """Sources mixed to target weights by whole documents; repeated documents are repeated rows."""
+    return mixing.mix_documents(docs, whole=True)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -94,3 +94,22 @@ def test_empty_and_wordless(spark):
     got = mixing.fair_mix(spark.createDataFrame([(1, None, None, "", 1), (2, " ", "a", "", 1)], DOCS)).collect()
     assert all(r.taken == 0 and r.target == 0 and r.virtual_finish is None for r in got)
     assert mixing.mix_documents(spark.createDataFrame([], DOCS)).count() == 0
+
+
+def test_whole_documents_stay_whole(spark):
+    data = [(i, f"t{i} " + "w " * (i * 37 % 50), "ab"[i % 2], "k", 1) for i in range(200)] + [(999, "v " * 5000, "b", "k", 1)]
+    df = spark.createDataFrame(data, DOCS)
+    texts = {r[0]: r[1] for r in data}
+    got = mixing.mix_documents(df, whole=True).collect()
+    assert all(r.text == texts[r.doc_id] for r in got)
+    cut = mixing.mix_documents(df).collect()
+    assert Counter(r.doc_id for r in got) == Counter(r.doc_id for r in cut)
+    assert any(r.text != texts[r.doc_id] for r in cut)
+
+
+def test_pipeline_mixes_whole_documents(spark):
+    import corpus_pipeline
+
+    data = [(i, f"t{i} " + "w " * (i * 37 % 50), "ab"[i % 2], "k", 1) for i in range(200)]
+    texts = {r[0]: r[1] for r in data}
+    assert all(r.text == texts[r.doc_id] for r in corpus_pipeline.mix(spark, spark.createDataFrame(data, DOCS), "").collect())

@@ -114,11 +114,11 @@ def fair_mix(
     return out.repartitionByRange(F.col("virtual_finish").asc_nulls_last(), F.col("turn")).sortWithinPartitions(F.col("virtual_finish").asc_nulls_last(), "turn")
 
 
-def mix_documents(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", *, max_epochs: int = 2, **options) -> DataFrame:
+def mix_documents(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", *, max_epochs: int = 2, whole: bool = False, **options) -> DataFrame:
     """``docs`` as mixed: a row per epoch in which a document is served, all columns kept.
 
-    A document that is in service when the budget runs out gives its first words; rows that
-    repeat that document's id and size are taken like it.  The mix is
+    A document that is in service when the budget runs out gives its first words, or all of
+    them if ``whole``; rows that repeat that document's id and size are taken like it.  The mix is
     reduced to the last document served per source and epoch, so texts are never shuffled:
     each row compares its own place in the shuffled order with its source's.
     """
@@ -142,6 +142,8 @@ def mix_documents(docs: DataFrame, id_col: str = "doc_id", source_col: str = "so
     at, stop = F.struct("turn", "id"), F.struct("end.turn", "end.id")
     n = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0))  # counted only for rows that tie with the end
     taken = copies.filter(F.col("end").isNotNull() & ((at < stop) | ((at == stop) & (n <= F.col("end.size")))))
+    if whole:
+        return taken.select("row.*")
     first = F.slice(F.regexp_extract_all("text", F.lit(rf"[\x20\x09-\x0D]*{WORD}"), F.lit(0)), F.lit(1), F.col("end.words").cast("int"))
     cut_here = (at == stop) & (n == F.col("end.size")) & (F.col("end.words") < n)
     text = F.when(cut_here, F.array_join(first, "")).otherwise(F.col("text"))
