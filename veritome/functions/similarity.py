@@ -1,9 +1,9 @@
 """Edit similarity: ratio of the longest common subsequence, whole and in the best window.
 
 The subsequence length is bit-parallel: one big integer holds a column of the dynamic
-programme, so a step costs a few machine words.  The best window is found exactly: numpy runs
-the same programme over all windows side by side, less those that a cutoff rules out by their
-common bag of characters.
+programme, so a step costs a few machine words.  The best window is found exactly: the same
+programme runs over all windows side by side in one integer, less blocks of them that a cutoff
+rules out by their common bags of characters.
 """
 
 from __future__ import annotations
@@ -53,32 +53,32 @@ class Window(NamedTuple):
 
 
 NONE = Window(0.0, 0, 0)
+#: Windows computed at once, so that a big integer stays in the processor's cache.
+BLOCK = 4096
+#: Common bags seldom rule out a window below this cutoff.
+BAGS = 0.7
 
 
-def _common_of_windows(needle: str, codes: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """Common subsequence lengths of ``needle`` and all windows, side by side: a column of 64-bit words per window."""
-    m, words = len(needle), -(-len(needle) // 64)
-    letters = sorted(set(needle))
-    known = np.array([ord(c) for c in letters], np.uint32)
-    table = np.zeros((len(letters) + 1, words), np.uint64)
-    for row, c in enumerate(letters):
-        bits = sum(1 << i for i, x in enumerate(needle) if x == c)
-        table[row] = [bits >> 64 * w & (1 << 64) - 1 for w in range(words)]
-    at = np.minimum(np.searchsorted(known, codes), len(letters) - 1)
-    row_of = np.append(np.where(known[at] == codes, at, len(letters)), len(letters))
-    v = np.full((words, len(starts)), ~np.uint64(0))
-    for k in range(int((ends - starts).max())):
-        hit = table[row_of[np.where(starts + k < ends, starts + k, len(codes))]].T
-        carry = np.zeros(len(starts), np.uint64)
-        for w in range(words):
-            u = v[w] & hit[w]
-            first = v[w] + u
-            total = first + carry
-            carry = ((first < u) | (total < first)).astype(np.uint64)
-            v[w] = total | (v[w] & ~hit[w])
-    left = np.uint64((1 << (m - 64 * (words - 1))) - 1) if m % 64 else ~np.uint64(0)
-    v[-1] &= left
-    return m - np.bitwise_count(v).sum(axis=0, dtype=np.int64)
+def _common_of_windows(needle: str, text: str, first: int, stop: int) -> np.ndarray:
+    """Common subsequence lengths of ``needle`` and the windows of its length that start at ``first`` to ``stop`` - 1.
+
+    One big integer holds the column of every window in a lane of its own, and another the
+    masks of all characters; shifted by k lanes, that one has each window's k-th character.
+    Places outside the text, before it too, match nothing.
+    """
+    m, n = len(needle), stop - first
+    lane = m // 8 + 1  # a bit to spare takes the carry
+    row = {c: mask.to_bytes(lane, "little") for c, mask in _masks(needle).items()}
+    nothing = bytes(lane)
+    chars = b"".join([nothing * max(0, -first), *(row.get(c, nothing) for c in text[max(0, first) : max(0, stop + m - 1)])])
+    hits, full = int.from_bytes(chars, "little"), int.from_bytes(((1 << m) - 1).to_bytes(lane, "little") * n, "little")
+    v = full
+    for _ in range(m):
+        u = v & hits
+        v = ((v + u) | (v ^ u)) & full
+        hits >>= 8 * lane
+    left = np.frombuffer(v.to_bytes(n * lane, "little"), np.uint8).reshape(n, lane)
+    return m - np.bitwise_count(left).sum(axis=1, dtype=np.int64)
 
 
 def best_window(needle: str, text: str, cutoff: float = 0.0) -> Window:
@@ -97,23 +97,29 @@ def best_window(needle: str, text: str, cutoff: float = 0.0) -> Window:
         shared = sum((own & Counter(text)).values())
         if 2.0 * shared < cutoff * (m + shared):
             return NONE
-    whole = max(1, n - m + 1)
-    starts = np.r_[np.zeros(min(m, n) - 1, int), np.arange(whole), np.arange(whole, n)]
-    ends = np.r_[np.arange(1, min(m, n)), np.minimum(np.arange(whole) + m, n), np.full(n - whole, n)]
-    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
-    if cutoff:
-        bag = np.zeros(len(starts), np.int64)
+    # Windows that reach out of the text at its front or back are the shorter ones.
+    places = np.arange(1 - m, n)
+    starts, ends = np.maximum(places, 0), np.minimum(places + m, n)
+    scores = np.full(len(places), -1.0)
+    able = np.ones(len(places), bool)
+    if cutoff > BAGS:
+        codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+        bag = np.zeros(len(places), np.int64)
         for c, count in own.items():
-            sums = np.r_[0, np.cumsum(codes == ord(c))]
+            sums = np.concatenate(([0], np.cumsum(codes == ord(c))))
             bag += np.minimum(sums[ends] - sums[starts], count)
         able = 2.0 * bag >= cutoff * (m + ends - starts)
-        starts, ends = starts[able], ends[able]
-        if not len(starts):
-            return NONE
-    scores = 2.0 * _common_of_windows(needle, codes, starts, ends) / (m + ends - starts)
-    top = np.flatnonzero(scores == scores.max())
+    for i in range(0, len(places), BLOCK):
+        some = np.flatnonzero(able[i : i + BLOCK])
+        if len(some):
+            a, b = i + int(some[0]), i + int(some[-1]) + 1
+            scores[a:b] = 2.0 * _common_of_windows(needle, text, int(places[a]), int(places[a]) + b - a) / (m + ends[a:b] - starts[a:b])
+    best = scores.max()
+    if best < cutoff:
+        return NONE
+    top = np.flatnonzero(scores == best)
     i = top[np.argmin(starts[top])]
-    return Window(float(scores[i]), int(starts[i]), int(ends[i])) if scores[i] >= cutoff else NONE
+    return Window(float(best), int(starts[i]), int(ends[i]))
 
 
 def partial_ratio(a: str, b: str, cutoff: float = 0.0) -> float:

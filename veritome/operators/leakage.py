@@ -64,21 +64,26 @@ def _sent(context: str) -> str:
 def closest(field: str, value: str, examples: Sequence[Example], cutoff: float = 0.0) -> tuple[float, str, int, str] | None:
     """(similarity, method, example, its text): the example most like a field's value, None if none reaches ``cutoff``."""
     form, best = match_form(value), None
+
+    def offer(score: float, method: str, i: int, text: str) -> None:
+        nonlocal best
+        if best is None or score > best[0]:
+            best = (round(score, 4), method, i, text)
+
     for i, ex in enumerate(examples):
-        tries: list[tuple[float, str, str]] = []
+        # What can't beat the best so far needn't be computed to the end.
+        least = max(cutoff, best[0]) if best else cutoff
         if (own := ex.fields.get(field)) is not None:
             other = _form(own)
             # Common characters can't outnumber the shorter text's.
-            able = 2 * min(len(form), len(other)) >= cutoff * (len(form) + len(other))
+            able = 2 * min(len(form), len(other)) >= least * (len(form) + len(other))
             whole = ratio(form, other) if able else 0.0
-            part = partial_ratio(form, other, cutoff) if min(len(form), len(other)) >= LEAST_PARTIAL else 0.0
-            tries.append((part, "partial_ratio", own) if part > whole else (whole, "ratio", own))
+            part = partial_ratio(form, other, max(least, whole)) if min(len(form), len(other)) >= LEAST_PARTIAL else 0.0
+            offer(max(part, whole), "partial_ratio" if part > whole else "ratio", i, own)
+            least = max(cutoff, best[0])
         if field == "evidence.quote" and len(form) >= LEAST_PARTIAL:
             sent = _sent(ex.context)
-            tries.append((partial_ratio(form, _form(sent), cutoff), "partial_ratio_contexto", sent))
-        for score, method, text in tries:
-            if best is None or score > best[0]:
-                best = (round(score, 4), method, i, text)
+            offer(partial_ratio(form, _form(sent), least), "partial_ratio_contexto", i, sent)
     return best if best and best[0] >= cutoff else None
 
 

@@ -12,8 +12,8 @@ from veritome.functions import completion, text
 from veritome.functions.matching import block_array, match_form_of
 from veritome.operators import chunking, cleaning, confidence, cost, diff, embedding, fidelity, leakage, overview, selection, spans, stats
 from veritome.operators import records as record_table
-from veritome.plans.views import PAGES_SQL, documents, fidelity_sql, form_sql, pages, records, records_sql, source_pages, table, whole_records
-from veritome.prompts import render_prompts
+from veritome.plans.views import PAGES_SQL, documents, fidelity_sql, form_sql, pages, records, records_sql, source_pages, table
+from veritome.prompts import prompt, render_prompts
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -170,7 +170,7 @@ def render_context(spark, sf):
 
 @query(
     "split_blocks",
-    f"WITH {records_sql('a')} SELECT doc, 0 AS ord, 1 AS page, page_1 AS text FROM rec_a UNION ALL SELECT doc, 1, 2, page_2 FROM rec_a",
+    f"WITH {records_sql('a')} SELECT doc, (generate_subscripts(pages, 1) - 1)::INT AS ord, generate_subscripts(pages, 1)::INT AS page, unnest(pages) AS text FROM rec_a",
 )
 def split_blocks(spark, sf):
     return records(spark, sf, "a").select("doc", F.inline(block_array(F.col("context_text"))))
@@ -203,7 +203,7 @@ def hashing_vectors(spark, sf):
     return embedding.embed_column(documents(spark, sf).select("doc_id", F.col("text"))).select("doc_id", "vector")
 
 
-TOPK_SQL = """WITH q AS (SELECT vec_id AS query, embedding AS q FROM embeddings WHERE vec_id < 8),
+TOPK_SQL = """WITH q AS (SELECT vec_id AS query, embedding AS q FROM embeddings WHERE vec_id % 100 = 0),
 s AS (SELECT e.label AS doc, e.vec_id AS chunk, q.query, list_sum(list_transform(list_zip(e.embedding, q.q), lambda p: p[1]::DOUBLE * p[2]::DOUBLE)) AS sim FROM embeddings e, q),
 r AS (SELECT *, row_number() OVER (PARTITION BY doc, query ORDER BY sim DESC, chunk) AS rk FROM s)
 SELECT doc, chunk, round(max(sim), 6) AS score FROM r WHERE rk <= 6 GROUP BY doc, chunk"""
@@ -212,7 +212,7 @@ SELECT doc, chunk, round(max(sim), 6) AS score FROM r WHERE rk <= 6 GROUP BY doc
 @query("semantic_topk", TOPK_SQL)
 def semantic_topk(spark, sf):
     e = table(spark, sf, "embeddings").select(F.col("label").alias("doc"), F.col("vec_id").alias("chunk"), F.col("embedding").alias("vector"))
-    queries = e.filter("chunk < 8").select(F.col("chunk").alias("query"), F.concat(F.lit("q"), F.col("chunk").cast("string")).alias("label"), "vector")
+    queries = e.filter("chunk % 100 = 0").select(F.col("chunk").alias("query"), F.concat(F.lit("q"), F.col("chunk").cast("string")).alias("label"), "vector")
     return spans.top_chunks(e, queries, 6).drop("label")
 
 
@@ -336,9 +336,16 @@ def json_fields(spark, sf):
     return table(spark, sf, "events").select("event_id", F.from_json("props", "k bigint")["k"].alias("k"))
 
 
-@query("prompt_hashes")
+def _prompt_sql() -> str:
+    quoted = lambda x: "'" + x.replace("'", "''") + "'"
+    p = prompt("v_full")
+    before, after = p.around()
+    return f"WITH {records_sql('a')} SELECT doc, 'v_full' AS prompt_variant, left(sha256({quoted(p.system())} || chr(10) || {quoted(before)} || context_text || {quoted(after)}), 12) AS prompt_sha FROM rec_a"
+
+
+@query("prompt_hashes", _prompt_sql())
 def prompt_hashes(spark, sf):
-    return render_prompts(whole_records(spark, sf, "a").select("doc", "context_text"), "v_full").select("doc", "prompt_variant", "prompt_sha")
+    return render_prompts(records(spark, sf, "a").select("doc", "context_text"), "v_full").select("doc", "prompt_variant", "prompt_sha")
 
 
 @query(
@@ -389,7 +396,7 @@ def check_fidelity(spark, sf):
 
 @query("fidelity_scores")
 def fidelity_scores(spark, sf):
-    return fidelity.check_fidelity(whole_records(spark, sf, "a")).select("doc", "method", "score")
+    return fidelity.check_fidelity(records(spark, sf, "a")).select("doc", "method", "score")
 
 
 @query(
@@ -412,11 +419,13 @@ def match_forms(spark, sf):
 
 @query(
     "page_of_offset",
-    f"WITH {records_sql('a')}, f AS (SELECT doc, length({form_sql('page_1')}) AS n1, length({form_sql('page_2')}) AS n2 FROM rec_a), o AS (SELECT doc, n1, n2, unnest([10, 300, 500]) AS \"offset\" FROM f) SELECT doc, \"offset\"::INT AS \"offset\", CASE WHEN \"offset\" <= n1 THEN 1 WHEN \"offset\" BETWEEN n1 + 1 AND n1 + 1 + n2 THEN 2 END AS page FROM o",
+    f"""WITH {records_sql('a')}, f AS (SELECT doc, generate_subscripts(pages, 1)::INT AS page, length({form_sql('unnest(pages)')}) AS n FROM rec_a),
+p AS (SELECT doc, page, (sum(n + 1) OVER (PARTITION BY doc ORDER BY page ROWS UNBOUNDED PRECEDING)) - n - 1 AS start, n FROM f), o AS (SELECT doc, unnest([10, 300, 1500, 9000])::INT AS "offset" FROM rec_a)
+SELECT o.doc, "offset", min(page)::INT AS page FROM o LEFT JOIN p ON p.doc = o.doc AND "offset" BETWEEN start AND start + n GROUP BY o.doc, "offset\"""",
 )
 def page_of_offset(spark, sf):
     r = records(spark, sf, "a").select("doc", "context_text")
-    return fidelity.page_of_offset(r, r.select("doc", F.explode(F.array(F.lit(10), F.lit(300), F.lit(500))).alias("offset")))
+    return fidelity.page_of_offset(r, r.select("doc", F.explode(F.array(*map(F.lit, (10, 300, 1500, 9000)))).alias("offset")))
 
 
 LIMIT_SQL = f"""lim AS (SELECT run_id, doc, CASE WHEN failed THEN NULL ELSE limitation IS NULL END AS limitation_is_null, list_sort(list_distinct({WORDS_SQL})) AS words, failed FROM rec_a),
@@ -430,12 +439,13 @@ def limitation_verdicts(spark, sf):
 
 # ---------------------------------------------------------------- comparison of runs
 BOTH = f"WITH {records_sql('a')}, {records_sql('b')}"
+GAPPED = f"WITH {records_sql('a', gaps=True)}, {records_sql('b', gaps=True)}"
 FIELD_SQL = [(f, c) for f, c in zip(("problem", "data", "method", "metric", "limitation", "evidence.quote", "evidence.page"), ("problem", "data", "method", "metric", "limitation", "quote", "page"), strict=True)]
 DIFF_SQL = "diffs AS (" + " UNION ALL ".join(f"SELECT a.doc, '{f}' AS field, a.{c}::VARCHAR AS a, b.{c}::VARCHAR AS b FROM rec_a a JOIN rec_b b USING (doc) WHERE NOT a.failed AND NOT b.failed" for f, c in FIELD_SQL) + f"), eq AS (SELECT *, CASE WHEN a IS NULL OR b IS NULL THEN a IS NULL AND b IS NULL ELSE {form_sql('a')} = {form_sql('b')} END AS equal FROM diffs)"
 
 
-def _diffs(spark, sf, of=records):
-    return diff.field_diffs(of(spark, sf, "a"), of(spark, sf, "b"))
+def _diffs(spark, sf):
+    return diff.field_diffs(records(spark, sf, "a"), records(spark, sf, "b"))
 
 
 @query("field_diffs", f"{BOTH}, {DIFF_SQL} SELECT doc, field, a, b, equal FROM eq")
@@ -445,12 +455,12 @@ def field_diffs(spark, sf):
 
 @query("field_similarities")
 def field_similarities(spark, sf):
-    return _diffs(spark, sf, whole_records).select("doc", "field", "similarity")
+    return _diffs(spark, sf).select("doc", "field", "similarity")
 
 
-@query("unpaired_documents", f"{BOTH} SELECT coalesce(a.doc, b.doc) AS doc, CASE WHEN a.doc IS NULL THEN 'ausente em A' WHEN b.doc IS NULL THEN 'ausente em B' ELSE 'extração falhou em ' || concat_ws(' e ', CASE WHEN a.failed THEN 'A' END, CASE WHEN b.failed THEN 'B' END) END AS reason FROM rec_a a FULL JOIN rec_b b ON a.doc = b.doc WHERE a.doc IS NULL OR b.doc IS NULL OR a.failed OR b.failed")
+@query("unpaired_documents", f"{GAPPED} SELECT coalesce(a.doc, b.doc) AS doc, CASE WHEN a.doc IS NULL THEN 'ausente em A' WHEN b.doc IS NULL THEN 'ausente em B' ELSE 'extração falhou em ' || concat_ws(' e ', CASE WHEN a.failed THEN 'A' END, CASE WHEN b.failed THEN 'B' END) END AS reason FROM rec_a a FULL JOIN rec_b b ON a.doc = b.doc WHERE a.doc IS NULL OR b.doc IS NULL OR a.failed OR b.failed")
 def unpaired_documents(spark, sf):
-    return diff.unpaired(records(spark, sf, "a"), records(spark, sf, "b"))
+    return diff.unpaired(records(spark, sf, "a", gaps=True), records(spark, sf, "b", gaps=True))
 
 
 @query("diff_summary", f"{BOTH}, {DIFF_SQL}, d AS (SELECT doc, bool_and(equal) AS same FROM eq GROUP BY doc) SELECT count(*) AS n_pairs, count(*) FILTER (WHERE same) AS n_identical, count(*) FILTER (WHERE same) / count(*)::DOUBLE AS rate_identical FROM d")
@@ -477,14 +487,21 @@ def config_warnings(spark, sf):
     return diff.config_warnings(records(spark, sf, "a"), records(spark, sf, "b"))
 
 
-@query("restrict_to", f"{BOTH} SELECT doc FROM rec_a WHERE doc IN (SELECT doc FROM rec_b)")
+@query("restrict_to", f"{GAPPED} SELECT doc FROM rec_a WHERE doc IN (SELECT doc FROM rec_b)")
 def restrict_to(spark, sf):
-    return diff.restrict_to(records(spark, sf, "a"), records(spark, sf, "b")).select("doc")
+    return diff.restrict_to(records(spark, sf, "a", gaps=True), records(spark, sf, "b", gaps=True)).select("doc")
 
 
 # ---------------------------------------------------------------- leakage
 MARKER = leakage.Marker(r"\bthe\b", r"\bthis\b", "com_limitacao")
-TERM_SQL = "terms AS (" + " UNION ALL ".join(f"SELECT run_id, doc, '{f}' AS field, {c} AS value, context_text FROM rec_a WHERE NOT failed AND {c} IS NOT NULL" for f, c in FIELD_SQL[:6]) + r"), leak AS (SELECT run_id, doc, field, value, regexp_extract(value, '(?i)\bthe\b') AS example_value FROM terms WHERE regexp_matches(value, '(?i)\bthe\b') AND NOT regexp_matches(context_text, '(?i)\bthis\b'))"
+
+
+def term_sql(run: str, s: str = "") -> str:
+    fields = " UNION ALL ".join(f"SELECT run_id, doc, '{f}' AS field, {c} AS value, context_text FROM rec_{run} WHERE NOT failed AND {c} IS NOT NULL" for f, c in FIELD_SQL[:6])
+    return f"terms{s} AS ({fields}), leak{s} AS (SELECT run_id, doc, field, value, regexp_extract(value, '(?i)\\bthe\\b') AS example_value FROM terms{s} WHERE regexp_matches(value, '(?i)\\bthe\\b') AND NOT regexp_matches(context_text, '(?i)\\bthis\\b'))"
+
+
+TERM_SQL = term_sql("a")
 
 
 @query("term_leaks", f"WITH {records_sql('a')}, {TERM_SQL} SELECT doc, field, value, example_value FROM leak")
@@ -500,7 +517,7 @@ def leakage_summary(spark, sf):
 
 @query("copied_fields")
 def copied_fields(spark, sf):
-    return leakage.copied_fields(whole_records(spark, sf, "a")).select("doc", "field", "similarity", "method", "example_name")
+    return leakage.copied_fields(records(spark, sf, "a")).select("doc", "field", "similarity", "method", "example_name")
 
 
 # ---------------------------------------------------------------- statistics and verdicts
@@ -508,16 +525,22 @@ def _gold(spark, sf):
     return table(spark, sf, "labels").select(F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("doc"), (F.col("quality") == 0).alias("declares"))
 
 
-def _audited(spark, sf, run, of=records):
-    r = of(spark, sf, run)
+def _audited(spark, sf, run):
+    r = records(spark, sf, run)
     return stats.audited(r, gold=_gold(spark, sf), leaked=leakage.term_leaks(r, (MARKER,)))
 
 
-STATS_SQL = f"""WITH {records_sql('a')}, {fidelity_sql('a')}, {TERM_SQL}, x AS (SELECT r.*, f.found, coalesce(f.found AND f.page_found = f.page_claimed, false) AS page_ok, l.quality = 1 AS expects, r.doc IN (SELECT doc FROM leak) AS leaked FROM rec_a r JOIN fid_a f USING (doc) LEFT JOIN labels l ON l.doc_id = r.doc_id)
-SELECT run_id, count(*) AS n, count(*) FILTER (WHERE first_try) / count(*)::DOUBLE AS rate_first_try, count(*) FILTER (WHERE parse_status = 'ok') / count(*)::DOUBLE AS rate_parse_ok, count(*) FILTER (WHERE parse_status = 'repaired') / count(*)::DOUBLE AS rate_parse_repaired,
+def stats_sql(run: str, s: str = "") -> str:
+    """CTEs up to stats_<run>: the metrics of a run in one row."""
+    return f"""{records_sql(run)}, {fidelity_sql(run)}, {term_sql(run, s)}, x_{run} AS (SELECT r.*, f.found, coalesce(f.found AND f.page_found = f.page_claimed, false) AS page_ok, l.quality = 1 AS expects, r.doc IN (SELECT doc FROM leak{s}) AS leaked FROM rec_{run} r JOIN fid_{run} f USING (doc) LEFT JOIN labels l ON l.doc_id = r.doc_id),
+stats_{run} AS (SELECT run_id, count(*) AS n, count(*) FILTER (WHERE first_try) / count(*)::DOUBLE AS rate_first_try, count(*) FILTER (WHERE parse_status = 'ok') / count(*)::DOUBLE AS rate_parse_ok, count(*) FILTER (WHERE parse_status = 'repaired') / count(*)::DOUBLE AS rate_parse_repaired,
 count(*) FILTER (WHERE failed) / count(*)::DOUBLE AS rate_parse_failed, count(*) FILTER (WHERE NOT failed AND limitation IS NULL) / count(*) FILTER (WHERE NOT failed)::DOUBLE AS rate_limitation_null,
 count(*) FILTER (WHERE NOT failed AND expects AND limitation IS NULL) / count(*) FILTER (WHERE NOT failed AND expects)::DOUBLE AS rate_null_when_expected, count(*) FILTER (WHERE NOT failed AND expects) AS n_null_expected,
-count(*) FILTER (WHERE found) / count(*)::DOUBLE AS rate_fidelity, count(*) FILTER (WHERE page_ok) / count(*)::DOUBLE AS rate_page_ok, count(*) FILTER (WHERE leaked) / count(*)::DOUBLE AS rate_fewshot_leak, sum(input_tokens)::BIGINT AS input_tokens, sum(output_tokens)::BIGINT AS output_tokens FROM x GROUP BY run_id"""
+count(*) FILTER (WHERE found) / count(*)::DOUBLE AS rate_fidelity, count(*) FILTER (WHERE page_ok) / count(*)::DOUBLE AS rate_page_ok, count(*) FILTER (WHERE leaked) / count(*)::DOUBLE AS rate_fewshot_leak, sum(input_tokens)::BIGINT AS input_tokens, sum(output_tokens)::BIGINT AS output_tokens FROM x_{run} GROUP BY run_id)"""
+
+
+STATS_SQL = f"WITH {stats_sql('a')} SELECT * FROM stats_a"
+METRIC_ROWS = " UNION ALL ".join(f"SELECT {i}::INT AS ord, '{m}' AS metric, a.{m}::DOUBLE AS a, b.{m}::DOUBLE AS b, b.{m}::DOUBLE - a.{m}::DOUBLE AS delta FROM stats_a a, stats_b b" for i, m in enumerate(stats.METRICS))
 
 
 @query("run_stats", STATS_SQL)
@@ -535,30 +558,38 @@ def compare_inputs(spark, sf):
     return stats.compare_inputs(_audited(spark, sf, "a").unionByName(_audited(spark, sf, "b")), "first_pages", "semantic")
 
 
-@query("side_by_side")
+@query("side_by_side", f"WITH {stats_sql('a')}, {stats_sql('b', '_b')} {METRIC_ROWS}")
 def side_by_side(spark, sf):
-    both = _audited(spark, sf, "a", whole_records).unionByName(_audited(spark, sf, "b", whole_records))
+    both = _audited(spark, sf, "a").unionByName(_audited(spark, sf, "b"))
     return stats.side_by_side(stats.run_stats(both, "prompt_variant"), "prompt_variant", "v_full", "v_sem_fewshot")
 
 
-@query("compare_temperatures")
+@query(
+    "compare_temperatures",
+    f"""WITH {stats_sql('a')}, {stats_sql('b', '_b')}, {DIFF_SQL}, d AS (SELECT doc, bool_and(equal) AS same FROM eq GROUP BY doc)
+SELECT a.n AS n_t0, b.n AS n_alt, a.rate_first_try AS rate_first_try_t0, b.rate_first_try AS rate_first_try_alt, a.rate_fidelity AS rate_fidelity_t0, b.rate_fidelity AS rate_fidelity_alt,
+a.rate_fidelity >= b.rate_fidelity AND a.rate_first_try >= b.rate_first_try AS base_holds, (SELECT count(*) FILTER (WHERE same) / count(*)::DOUBLE FROM d) AS rate_identical FROM stats_a a, stats_b b""",
+)
 def compare_temperatures(spark, sf):
-    return stats.compare_temperatures(whole_records(spark, sf, "a"), whole_records(spark, sf, "b"))
+    return stats.compare_temperatures(records(spark, sf, "a"), records(spark, sf, "b"))
 
 
 # ---------------------------------------------------------------- confidence
-def _assigned(spark, sf, rule=confidence.RULE_V2, of=records):
-    a, b = of(spark, sf, "a"), of(spark, sf, "b")
+def _assigned(spark, sf, rule=confidence.RULE_V2):
+    a, b = records(spark, sf, "a"), records(spark, sf, "b")
     return confidence.assign(confidence.evidence(a, b, b, rule=rule, markers=(MARKER,)), rule)
 
 
+_CAPS = r"""(SELECT r.doc, CASE WHEN r.failed THEN 0 ELSE least(
+  CASE WHEN r.doc IN (SELECT doc FROM leak) THEN 0 ELSE 2 END, CASE WHEN f.found THEN 2 ELSE 0 END, CASE WHEN f.found AND f.page_found <> f.page_claimed THEN 0 ELSE 2 END,
+  CASE WHEN ch.n IS NULL THEN 1 WHEN ch.n > 2 THEN 0 WHEN ch.n > 0 THEN 1 ELSE 2 END, CASE WHEN {input} IS NULL THEN 1 WHEN {input} > 2 THEN 0 WHEN {input} > 0 THEN 1 ELSE 2 END,
+  CASE WHEN r.limitation IS NOT NULL AND NOT regexp_matches(r.context_text, '(?i)\blimitations?\b|\blimited\b|\bshortcomings?\b|\bdrawbacks?\b|\bcaveats?\b|\bthreats? to (?:the )?validity\b|\bfuture (?:work|research)\b|\bwe acknowledge\b|\bweakness(?:es)?\b') THEN 1 ELSE 2 END) END AS cap
+  FROM rec_a r JOIN fid_a f USING (doc) LEFT JOIN ch USING (doc))"""
+
+
 CONF_SQL = f"""{BOTH}, {fidelity_sql('a')}, {TERM_SQL}, {DIFF_SQL},
 ch AS (SELECT doc, count(*) FILTER (WHERE NOT equal) AS n, count(*) FILTER (WHERE field = 'limitation' AND (a IS NULL) <> (b IS NULL)) AS c FROM eq GROUP BY doc),
-caps AS (SELECT r.doc, CASE WHEN r.failed THEN 0 ELSE least(
-  CASE WHEN r.doc IN (SELECT doc FROM leak) THEN 0 ELSE 2 END, CASE WHEN f.found THEN 2 ELSE 0 END, CASE WHEN f.found AND f.page_found <> f.page_claimed THEN 0 ELSE 2 END,
-  CASE WHEN ch.n IS NULL THEN 1 WHEN ch.n > 2 THEN 0 WHEN ch.n > 0 THEN 1 ELSE 2 END, CASE WHEN {{input}} IS NULL THEN 1 WHEN {{input}} > 2 THEN 0 WHEN {{input}} > 0 THEN 1 ELSE 2 END,
-  CASE WHEN r.limitation IS NOT NULL AND NOT regexp_matches(r.context_text, '(?i)\\blimitations?\\b|\\blimited\\b|\\bshortcomings?\\b|\\bdrawbacks?\\b|\\bcaveats?\\b|\\bthreats? to (?:the )?validity\\b|\\bfuture (?:work|research)\\b|\\bwe acknowledge\\b|\\bweakness(?:es)?\\b') THEN 1 ELSE 2 END) END AS cap
-  FROM rec_a r JOIN fid_a f USING (doc) LEFT JOIN ch USING (doc)),
+caps AS {_CAPS},
 conf AS (SELECT doc, ['baixa', 'media', 'alta'][cap + 1] AS confidence FROM caps)"""
 
 
@@ -569,7 +600,7 @@ def confidence_levels(spark, sf):
 
 @query("confidence_reasons")
 def confidence_reasons(spark, sf):
-    return _assigned(spark, sf, of=whole_records).select("doc", F.array_join("reasons", "; ").alias("reasons"))
+    return _assigned(spark, sf).select("doc", F.array_join("reasons", "; ").alias("reasons"))
 
 
 @query("confidence_distribution", CONF_SQL.replace("{input}", "ch.c") + " SELECT l.c AS confidence, count(conf.doc) AS n FROM (VALUES ('baixa'), ('media'), ('alta')) l(c) LEFT JOIN conf ON conf.confidence = l.c GROUP BY l.c")
@@ -587,9 +618,9 @@ def confidence_strict(spark, sf):
     return _assigned(spark, sf, confidence.RULE_V1).select("doc", "confidence")
 
 
-@query("confidence_by_rule")
+@query("confidence_by_rule", CONF_SQL.replace("{input}", "ch.c") + ", caps_1 AS " + _CAPS.replace("{input}", "ch.n") + " SELECT conf.doc, ['baixa', 'media', 'alta'][caps_1.cap + 1] AS v1, confidence AS v2 FROM conf JOIN caps_1 USING (doc)")
 def confidence_by_rule(spark, sf):
-    a, b = whole_records(spark, sf, "a"), whole_records(spark, sf, "b")
+    a, b = records(spark, sf, "a"), records(spark, sf, "b")
     return confidence.by_rule(a, b, b, {"v1": confidence.RULE_V1, "v2": confidence.RULE_V2}, markers=(MARKER,))
 
 
@@ -624,8 +655,8 @@ def compare_costs(spark, sf):
     return cost.compare(cost.cost(r, PRICE, "run_id"), naive, "run_id")
 
 
-def _leaked(spark, sf, run, of=records):
-    r = of(spark, sf, run)
+def _leaked(spark, sf, run):
+    r = records(spark, sf, run)
     rows = stats.audited(r, gold=_gold(spark, sf), leaked=leakage.term_leaks(r, (MARKER,)))
     return rows.join(leakage.leaked_by_doc(leakage.term_leaks(r, (MARKER,))), ["run_id", "doc"], "left")
 
@@ -633,8 +664,8 @@ def _leaked(spark, sf, run, of=records):
 CASES_SQL = f"{BOTH}, {fidelity_sql('a')}, {fidelity_sql('b')}, {TERM_SQL}, leak_a AS (SELECT DISTINCT doc FROM leak), tb AS (" + " UNION ALL ".join(f"SELECT doc, {c} AS value, context_text FROM rec_b WHERE NOT failed AND {c} IS NOT NULL" for _, c in FIELD_SQL[:6]) + r"), leak_b AS (SELECT DISTINCT doc FROM tb WHERE regexp_matches(value, '(?i)\bthe\b') AND NOT regexp_matches(context_text, '(?i)\bthis\b')), c AS (SELECT r.run_id, r.doc, f.found, l.doc IS NOT NULL AS leaked FROM rec_a r JOIN fid_a f USING (doc) LEFT JOIN leak_a l ON l.doc = r.doc WHERE NOT r.failed UNION ALL SELECT r.run_id, r.doc, f.found, l.doc IS NOT NULL FROM rec_b r JOIN fid_b f USING (doc) LEFT JOIN leak_b l ON l.doc = r.doc WHERE NOT r.failed), k AS (SELECT *, row_number() OVER (PARTITION BY doc ORDER BY run_id) AS rk FROM c WHERE leaked OR NOT found)"
 
 
-def _invention_cases(spark, sf, of=records):
-    return overview.invention_cases(_leaked(spark, sf, "a", of).unionByName(_leaked(spark, sf, "b", of))).select("run_id", "doc", "kind")
+def _invention_cases(spark, sf):
+    return overview.invention_cases(_leaked(spark, sf, "a").unionByName(_leaked(spark, sf, "b"))).select("run_id", "doc", "kind")
 
 
 @query("invention_cases", CASES_SQL + " SELECT run_id, doc, CASE WHEN leaked AND found THEN 0 WHEN leaked THEN 1 ELSE 2 END AS kind FROM k WHERE rk = 1")
@@ -642,9 +673,12 @@ def invention_cases(spark, sf):
     return _invention_cases(spark, sf)
 
 
-@query("highlights")
+@query(
+    "highlights",
+    CASES_SQL + ", o AS (SELECT run_id, doc, CASE WHEN leaked AND found THEN 0 WHEN leaked THEN 1 ELSE 2 END AS kind FROM k WHERE rk = 1), p AS (SELECT *, row_number() OVER (PARTITION BY kind ORDER BY doc) = 1 AS of_kind FROM o) SELECT run_id, doc, kind FROM p ORDER BY CASE WHEN of_kind THEN 1000 + [1, 0, 2][kind + 1] ELSE 2000 END, doc LIMIT 3",
+)
 def highlights(spark, sf):
-    return overview.highlights(_invention_cases(spark, sf, whole_records), 3)
+    return overview.highlights(_invention_cases(spark, sf), 3)
 
 
 @query("limitation_outcome", f"{FID} SELECT r.run_id, count(*) AS n, count(*) FILTER (WHERE limitation IS NOT NULL) AS filled, count(*) FILTER (WHERE limitation IS NOT NULL AND found) AS filled_and_found, count(*) - count(*) FILTER (WHERE limitation IS NOT NULL) AS limitation_null FROM rec_a r JOIN fid_a f USING (doc) GROUP BY r.run_id")
