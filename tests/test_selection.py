@@ -83,7 +83,7 @@ ARTICLE = [
 
 
 def test_headings_stop_at_references():
-    assert [h.label for h in selection.headings(ARTICLE)] == ["Abstract", "2 Data", "3 Methods", "4 Limitations", "6 Conclusion"]
+    assert [h.label for h in selection.Outline(ARTICLE).headings] == ["Abstract", "2 Data", "3 Methods", "4 Limitations", "6 Conclusion"]
 
 
 @pytest.mark.parametrize("budget", [150, 400, 900, 5000])
