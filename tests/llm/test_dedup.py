@@ -9,7 +9,7 @@ import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from veritome.llm import exact_dedup, simhash
+from veritome.llm import common, exact_dedup, simhash
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -53,9 +53,10 @@ def test_digests_only_for_survivors(spark):
     assert got[1] and got[8] and got[11] is None  # alone by length
 
 
-def test_exact_with_repeated_rows_and_saturated_filter(spark):
+def test_exact_with_repeated_rows_and_saturated_filter(spark, monkeypatch):
+    monkeypatch.setattr(common, "MAX_WORDS", 1)
     rows = [(1, "a"), (1, "a"), (1, "b"), (2, "a"), (2, "a"), (3, "c"), (3, "c")]
-    got = exact_dedup.exact_dedup(frame(spark, rows), filter_words=1, digest_all=True).collect()
+    got = exact_dedup.exact_dedup(frame(spark, rows), digest_all=True).collect()
     assert sorted((r.doc_id, r.kept) for r in got) == [(1, False), (1, False), (1, True), (2, False), (2, True), (3, False), (3, True)]
     kept = exact_dedup.drop_copies(frame(spark, rows)).collect()
     assert sorted((r.doc_id, r.text) for r in kept) == [(1, "b"), (2, "a"), (3, "c")]
@@ -110,10 +111,42 @@ def test_forest_against_brute_force(seed, n, bits):
     r = random.Random(seed)
     base = r.getrandbits(64)
     fps = list({base ^ sum(1 << b for b in r.sample(range(16), r.randrange(bits + 1))) for _ in range(n)})
-    got = simhash.forest(np.array(fps, np.uint64), tile=4)
+    small, root = simhash.forest(np.zeros(len(fps), int), np.array(fps, np.uint64), tile=4)
+    up = dict(zip(small.tolist(), root.tolist(), strict=True))
+    got = [up.get(f, f) for f in fps]
     want = brute_components(fps)
     same = lambda x: {frozenset(i for i, y in enumerate(x) if y == z) for z in x}
-    assert same(got.tolist()) == same(want)
+    assert same(got) == same(want)
+
+
+@pytest.mark.parametrize("tile", [3, 16, 256])
+def test_tiles_hold_many_groups_and_skip_far_counts(tile):
+    r = random.Random(tile)
+    groups, fps = [], []
+    for g, n in enumerate([1, 2, 3, 90, 2, 1, 400, 5]):
+        base = r.getrandbits(48) << 16
+        own = {base | r.getrandbits(16) for _ in range(n)}
+        fps += own
+        groups += [g] * len(own)
+    tally = simhash.Tally()
+    small, root = simhash.forest(np.array(groups), np.array(fps, np.uint64), tile=tile, tally=tally)
+    up = dict(zip(small.tolist(), root.tolist(), strict=True))
+    for g in set(groups):
+        own = [f for f, x in zip(fps, groups, strict=True) if x == g]
+        want, got = brute_components(own), [up.get(f, f) for f in own]
+        assert [want.index(w) for w in want] == [got.index(x) for x in got]
+    assert tally.compared >= -(-len(fps) // tile)
+    if tile < 100:
+        assert tally.skipped > 0
+
+
+def test_every_shared_group_goes_through_the_tiles(monkeypatch):
+    """Two fingerprints that share a key meet in a tile, however small their group."""
+    seen = []
+    real = simhash.forest
+    monkeypatch.setattr(simhash, "forest", lambda g, f, **k: seen.append(len(f)) or real(g, f, **k))
+    a, b = simhash._group_links(np.zeros(3, int), np.array([8, 9, 1 << 60], np.uint64))
+    assert seen == [2] and (a.tolist(), b.tolist()) in (([8], [9]), ([9], [8]))
 
 
 def test_every_near_pair_shares_a_key():
@@ -149,6 +182,30 @@ def test_near_duplicates_against_brute_force(spark):
     assert sorted(kept) == sorted(set(least.values()))
 
 
+def test_decisions_beyond_a_broadcast(spark, monkeypatch):
+    """Joined by shuffle, with a full filter, the same rows stay."""
+    monkeypatch.setattr(common, "MAX_WORDS", 1)
+    rows = [(i, f"text number {i % 40} with some words") for i in range(200)] + [(3, "text number 3 with some words")]
+    real = common.apply_decisions
+    monkeypatch.setattr(exact_dedup, "apply_decisions", lambda *a: real(*a, max_broadcast=0))
+    kept = exact_dedup.drop_copies(frame(spark, rows)).collect()
+    assert sorted(r.doc_id for r in kept) == list(range(160, 200))
+
+
+def test_a_hot_star_is_split(spark):
+    links = spark.createDataFrame([(i, 0) for i in range(1, 3000)] + [(i + 1, i) for i in range(3000, 3010)], "big long, small long")
+    got = {tuple(r) for r in simhash.components(links).collect()}
+    assert got == {(i, 0) for i in range(1, 3000)} | {(i, 3000) for i in range(3001, 3011)}
+
+
+def test_very_long_texts(spark):
+    long_ = "word " * 200_000
+    rows = [(1, long_), (2, long_.upper()), (3, long_ + "x")]
+    assert sorted((r.doc_id, r.keep_id) for r in exact_dedup.exact_dedup(frame(spark, rows)).collect()) == [(1, 2), (2, 2), (3, 3)]
+    assert {r.component_id for r in simhash.near_duplicates(frame(spark, rows)).collect()} == {1}
+    assert simhash.fingerprint(long_) == brute_fingerprint(long_)
+
+
 def test_long_chains_are_one_component(spark):
     links = spark.createDataFrame([(i + 1, i) for i in range(200)], "big long, small long")
     assert {tuple(r) for r in simhash.components(links).collect()} == {(i + 1, 0) for i in range(200)}

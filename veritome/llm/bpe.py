@@ -25,6 +25,7 @@ from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -398,15 +399,16 @@ def encode_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_co
     return whole_texts(rows).mapInArrow(run, schema).withColumnRenamed("_id", id_col)
 
 
-def slices(batches: Iterator[pa.RecordBatch], max_chars: int = 1_000_000) -> Iterator[tuple[pa.Array, list[str]]]:
-    """Ids and texts in pieces of bounded size; null texts are empty."""
+def slices(batches: Iterator[pa.RecordBatch], max_bytes: int = 1_000_000) -> Iterator[tuple[pa.Array, list[str]]]:
+    """Ids and texts in pieces of bounded size, so that only one piece at a time becomes Python strings; null texts are empty."""
     for b in batches:
-        texts, at, size = b.column(1).to_pylist(), 0, 0
-        for i, t in enumerate(texts):
-            size += len(t or "")
-            if size >= max_chars or i == len(texts) - 1:
-                yield b.column(0).slice(at, i + 1 - at), [x or "" for x in texts[at : i + 1]]
-                at, size = i + 1, 0
+        sizes = pc.fill_null(pc.binary_length(b.column(1)), 0).to_numpy(zero_copy_only=False)
+        at, size = 0, 0
+        for i, n in enumerate(sizes.tolist(), 1):
+            size += n
+            if size >= max_bytes or i == len(sizes):
+                yield b.column(0).slice(at, i - at), [x or "" for x in b.column(1).slice(at, i - at).to_pylist()]
+                at, size = i, 0
 
 
 def digest_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import tempfile
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from veritome.shipping import reach_workers
@@ -20,10 +21,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that all executors share (``spark.checkpoint.dir``); where it is unset, as in local tests, one of our own."""
+    """The folder that all executors share, as ``spark.checkpoint.dir`` says.
+
+    Only a local session, whose machine is its cluster, gets a temporary folder where that is unset.
+    """
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="veritome-"))
+        folder = sc.getConf().get("spark.checkpoint.dir")
+        if not folder and not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="veritome-"))
     return sc.getCheckpointDir()
 
 
@@ -39,19 +46,31 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-#: Rows of whole texts per Arrow batch, where the session hasn't chosen a number itself.
-BATCH_ROWS = "500"
-_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
-
-
 def whole_texts(df: DataFrame) -> DataFrame:
-    """``df``, about to be sent to Python: batches of Spark's default 10,000 rows would hold too much text at once."""
-    conf = reach_workers(df.sparkSession).conf
-    if conf.get(_BATCH) == "10000":
-        conf.set(_BATCH, BATCH_ROWS)
+    """``df``, about to be sent to Python, whose workers must find this package.
+
+    Batches are as large as the session says (``veritome.shipping.settle``); what runs there takes them apart further.
+    """
+    reach_workers(df.sparkSession)
     return df
 
 
+def running(df: DataFrame, order: Sequence[Column], **sums: Column) -> DataFrame:
+    """``df`` with, for each of ``sums``, the sum over all rows before in the global order.
+
+    Rows are range-sorted; totals of the ranges, one row each, are summed up, and the sums are
+    taken inside ranges.  No window spans a key, and a range is as large as a partition, so
+    ``order`` should be total or its ties few.
+    """
+    placed = cut(df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()))
+    totals = placed.groupBy("_part").agg(*(F.sum(c).alias(f"_{n}") for n, c in sums.items()))
+    earlier = W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)  # a row per range
+    offsets = totals.select("_part", *(F.coalesce(F.sum(f"_{n}").over(earlier), F.lit(0)).alias(f"_{n}") for n in sums))
+    inside = W.partitionBy("_part").orderBy(*order).rowsBetween(W.unboundedPreceding, -1)
+    out = placed.join(F.broadcast(offsets), "_part")
+    return out.withColumns({n: F.col(f"_{n}") + F.coalesce(F.sum(c).over(inside), F.lit(0)) for n, c in sums.items()}).drop("_part", *(f"_{n}" for n in sums))
+
+
 def ascii_lower(c: Column) -> Column:
     """Lower-case A-Z and nothing else.
 
@@ -74,22 +93,33 @@ def free_name(taken: Sequence[str], wanted: str) -> str:
     return name
 
 
-def bit_slot(words: int, *cols: Column) -> tuple[Column, Column]:
-    """Word number and bit number of a key in a filter of ``words`` 64-bit words."""
-    h = F.pmod(F.xxhash64(*cols), F.lit(words * 64))
-    return F.shiftright(h, 6).alias("_w"), h.bitwiseAND(F.lit(63)).cast("int").alias("_b")
+#: Bits of a filter per key, words of 64 bits per row, and the most words; at 16 million keys a filter begins to fill up.
+BITS_PER_KEY, ROW_WORDS, MAX_WORDS = 16, 64, 1 << 22
 
 
-def bit_filter(keys: DataFrame, words: int, *names: str) -> DataFrame:
-    """A filter of the keys' hashes: at most ``words`` rows (_w, _bits), whatever the number of keys."""
-    return keys.select(*bit_slot(words, *map(F.col, names))).groupBy("_w").agg(F.bit_or(F.expr("shiftleft(1L, _b)")).alias("_bits"))
+class KeyFilter:
+    """Which rows may have a key of a table, told without joining them: a bit array of the keys' hashes.
 
+    Its size follows the number of keys, up to MAX_WORDS (32 MB, what may be broadcast); a
+    fuller filter lets more rows pass as possible hits and loses none.  ``keys`` should be cut.
+    """
 
-def in_filter(rows: DataFrame, bits: DataFrame, words: int, *names: str) -> DataFrame:
-    """``rows`` with a boolean ``_hit``: false if the key is surely not in the filter."""
-    w, b = bit_slot(words, *map(F.col, names))
-    out = rows.withColumns({"_w": w, "_b": b}).join(F.broadcast(bits), "_w", "left")
-    return out.withColumn("_hit", F.coalesce(F.expr("getbit(_bits, _b) = 1"), F.lit(False))).drop("_w", "_b", "_bits")
+    def __init__(self, keys: DataFrame, *names: str) -> None:
+        wanted = max(1, keys.count() * BITS_PER_KEY // 64)
+        self.words = min(MAX_WORDS, max(1 << 10, 1 << wanted.bit_length()))
+        words = keys.select(*self._slot(names)).groupBy("_row", "_w").agg(F.bit_or(F.expr("shiftleft(1L, _b)")).alias("_bits"))
+        filled = words.groupBy("_row").agg(F.map_from_entries(F.collect_list(F.struct("_w", "_bits"))).alias("_map"))
+        every = F.sequence(F.lit(0), F.lit(ROW_WORDS - 1))
+        self.bits = filled.select("_row", F.transform(every, lambda i: F.coalesce(F.try_element_at("_map", i), F.lit(0))).alias("_bits"))
+
+    def _slot(self, names: Sequence[str]) -> list[Column]:
+        h = F.pmod(F.xxhash64(*names), F.lit(self.words * 64))
+        return [F.shiftright(h, 12).alias("_row"), F.shiftright(h, 6).bitwiseAND(F.lit(ROW_WORDS - 1)).cast("int").alias("_w"), h.bitwiseAND(F.lit(63)).cast("int").alias("_b")]
+
+    def mark(self, rows: DataFrame, *names: str) -> DataFrame:
+        """``rows`` with a boolean ``_hit``: false if the key is surely not in the table."""
+        out = rows.select("*", *self._slot(names)).join(F.broadcast(self.bits), "_row", "left")
+        return out.withColumn("_hit", F.coalesce(F.expr("getbit(_bits[_w], _b) = 1"), F.lit(False))).drop("_row", "_w", "_b", "_bits")
 
 
 def packed(docs: DataFrame) -> Column:
@@ -97,18 +127,29 @@ def packed(docs: DataFrame) -> Column:
     return F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")
 
 
-def apply_decisions(docs: DataFrame, id_col: str, key: Column, decisions: DataFrame, *, words: int = 1 << 16, max_broadcast: int = 20_000) -> DataFrame:
+def apply_decisions(docs: DataFrame, id_col: str, text_col: str, cheap: Callable[[Column], Column], full: Callable[[Column], Column] | None, decisions: DataFrame, *, max_broadcast: int = 100_000) -> DataFrame:
     """``docs`` without the rows that ``decisions`` removes, all columns kept.
 
-    ``decisions`` (_gid, _gkey, _group, _tie) name rows by id and ``key``: those with _tie
-    false go, and of those with _tie true one per (id, _group) stays.  Rows that a
-    fixed-size filter of the keys doesn't hold go straight through; only the others are
-    joined, so no other row is shuffled.
+    ``decisions`` (_gid, _gcheap, _gkey, _group, _tie) name rows by id and by two keys of their
+    text, of which ``full`` is worked out only where ``cheap`` says that a row may be named;
+    without ``full`` the cheap one decides.  Rows named with _tie false go, and of those with
+    _tie true one per (id, _group) stays.
+
+    Decisions up to ``max_broadcast`` are broadcast, and ``docs`` is read once.  Beyond, rows that
+    a filter of the keys doesn't hold go straight through and only the others are joined.
     """
-    told = cut(decisions.groupBy("_gid", "_gkey").agg(F.max("_tie").alias("_tie"), F.max("_group").alias("_group")))
-    rows = docs.select(packed(docs), docs[id_col].alias("_id"), key.alias("_key"))
-    hit = in_filter(rows, bit_filter(told, words, "_gkey"), words, "_key")
-    joined = hit.filter("_hit").join(broadcast_if_small(told, max_broadcast), F.col("_id").eqNullSafe(F.col("_gid")) & (F.col("_key") == F.col("_gkey")), "left")
-    through, unnamed = hit.filter("not _hit").select("row"), joined.filter("_tie is null").select("row")
-    once = joined.filter("_tie").groupBy("_id", "_group").agg(F.first("row").alias("row")).select("row")
-    return through.unionByName(unnamed).unionByName(once).select("row.*")
+    told = cut(decisions.groupBy("_gid", "_gcheap", "_gkey").agg(F.max("_tie").alias("_tie"), F.max("_group").alias("_group")))
+    n, ties = told.agg(F.count(F.lit(1)), F.count_if("_tie")).first()
+    text = F.coalesce(F.col("row").getField(text_col).cast("string"), F.lit(""))
+    rows = docs.select(packed(docs), docs[id_col].alias("_id")).withColumn("_cheap", cheap(text))
+    rows = KeyFilter(told, "_gcheap").mark(rows, "_cheap").withColumn("_key", F.when(F.col("_hit"), full(text) if full else F.col("_cheap")))
+    same = F.col("_id").eqNullSafe(F.col("_gid")) & (F.col("_cheap") == F.col("_gcheap")) & (F.col("_key") == F.col("_gkey"))
+    if n <= max_broadcast:
+        joined = rows.join(F.broadcast(told), same, "left")
+        out = joined.filter("_tie is null").select("row")
+    else:
+        joined = rows.filter("_hit").join(told, same, "left")
+        out = rows.filter("not _hit").select("row").unionByName(joined.filter("_tie is null").select("row"))
+    if ties:
+        out = out.unionByName(joined.filter("_tie").groupBy("_id", "_group").agg(F.first("row").alias("row")).select("row"))
+    return out.select("row.*")

@@ -1,143 +1,161 @@
 """Mixing sources to target weights by weighted fair queueing.
 
 Every source is a queue of its documents in an order shuffled by a keyed hash, repeated
-``max_epochs`` times.  A word leaves its queue at the virtual time (words of its source up to
-and including it) / (target of its source); a document's virtual finish time is that of its
-last word.  All queues drain side by side, documents are range-sorted globally by virtual
-finish time, and the mix is truncated where the words served reach the total budget.  As the
-targets add up to the budget, that is virtual time 1, where each source has served its target
-to the word; the one document per source that is in service then gives its first words only.
-
-A source may hold most rows, so no window spans a source: rows fall into hash buckets of
-about ``bucket_rows`` each, bucket totals are pre-aggregated and summed up per source, and the
-running sums are taken inside buckets.  Targets come from the table of sources alone.
+``max_epochs`` times; a packet is up to ``PACKET`` words of one document in one epoch, so that a
+very long document doesn't hold up its source.  Its virtual finish time is the number of words of
+its source up to and including it, over the target of its source; a document's is that of its last
+packet.  All packets are range-sorted by virtual finish time, words are summed up in that global
+order, and the mix is truncated where they reach the total budget: packets before that place are
+taken whole, the one that crosses it gives its first words, later ones give none.  A source so
+misses its target by about a packet, the one in service when the budget ends.
+
+A source may hold most rows, so no window spans a source: every order here, of documents within
+sources, of packets, and of sources, is a range sort whose ranges are summed up one by one
+(``common.running``).
 
 Defined results: null text has size 0; a null source is a source of its own, ordered last;
-a source without words has target 0; rows with equal id and size are interchangeable; an
-empty table gives an empty result; other columns are ignored, whatever their names.
+a source without words has target 0 and no finish time; documents without words take no place in
+the order; rows with equal source, id and size are interchangeable; a very long text is many
+packets; an empty table gives an empty result; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veritome.llm.common import WORD, broadcast_if_small, cut, packed, table
+from veritome.llm.common import WORD, broadcast_if_small, cut, packed, running, table
 
 #: A source table up to this many rows is broadcast; a larger one is joined by shuffle.
 MAX_BROADCAST_SOURCES = 20_000
 
 
 def water_fill(sources: DataFrame, weights: Sequence[int], budget_num: int, budget_den: int, max_epochs: int) -> DataFrame:
-    """Targets of sources (skey, source, source_size) that share budget_num/budget_den of all words.
+    """(skey, source_size, target): sources share budget_num/budget_den of all words by weight.
 
     Weights repeat over the sources in code point order, null last.  A target stops at
     ``max_epochs`` times the size and the excess is shared again by weight: the sources
-    that stop are the first by cap over weight, so one pass of running sums finds the level.
+    that stop are the first by cap over weight, so running sums in that order find the level.
     All is exact integer arithmetic up to one division.
     """
-    every = W.partitionBy()
-    by_ratio = every.orderBy(F.col("cap") / F.col("w"), "source_rank")
-    before = by_ratio.rowsBetween(W.unboundedPreceding, -1)
-    onward = by_ratio.rowsBetween(W.currentRow, W.unboundedFollowing)
-    rank = F.row_number().over(every.orderBy(F.col("source").asc_nulls_last())) - 1
-    pick = F.element_at(F.array(*map(F.lit, weights)), F.pmod(F.col("source_rank"), F.lit(len(weights))) + 1)
-    ranked = sources.withColumn("source_rank", rank).withColumn("w", pick.cast("long")).withColumn("cap", F.col("source_size") * max_epochs)
-    sums = ranked.select(
-        "*",
-        (F.sum("source_size").over(every) * budget_num).alias("share"),
-        F.coalesce(F.sum("cap").over(before), F.lit(0)).alias("cap_before"),
-        F.sum("w").over(onward).alias("w_onward"),
-    ).withColumn("left_", F.col("share") - F.col("cap_before") * budget_den)
-    open_ = F.col("cap") * F.col("w_onward") * budget_den > F.col("w") * F.col("left_")
-    first_open = F.min(F.when(open_, F.struct(F.col("cap") / F.col("w"), "source_rank", "left_", "w_onward"))).over(every)
-    level = sums.withColumn("open_", open_).withColumn("level", first_open)
-    is_open = F.col("open_") & F.col("level").isNotNull()
-    target = F.when(is_open, (F.col("w") * F.col("level.left_")).cast("double") / (F.col("level.w_onward") * budget_den)).otherwise(F.col("cap").cast("double"))
-    return level.select("skey", "source_size", target.alias("target"), "n_rows")
+    pick = F.element_at(F.array(*map(F.lit, weights)), F.pmod(F.col("source_rank"), F.lit(len(weights))).cast("int") + 1)
+    ranked = running(sources, [F.col("source").asc_nulls_last(), F.col("skey")], source_rank=F.lit(1)).withColumn("w", pick.cast("long")).withColumn("cap", F.col("source_size") * max_epochs)
+    ranked = cut(running(ranked, [F.col("cap") / F.col("w"), F.col("source_rank")], cap_before=F.col("cap"), w_before=F.col("w")))
+    words, weight = ranked.agg(F.coalesce(F.sum("source_size"), F.lit(0)), F.coalesce(F.sum("w"), F.lit(0))).first()
+    onward, left = F.lit(weight) - F.col("w_before"), F.lit(words * budget_num) - F.col("cap_before") * budget_den
+    is_open = F.col("cap") * onward * budget_den > F.col("w") * left
+    level = ranked.filter(is_open).agg(F.min(F.struct(F.col("cap") / F.col("w"), "source_rank", left.alias("left"), onward.alias("onward"))).alias("at")).first()["at"]
+    share = (F.col("w") * F.lit(level["left"])).cast("double") / F.lit(level["onward"] * budget_den) if level else F.lit(None).cast("double")
+    return ranked.select("skey", "source_size", F.when(is_open, share).otherwise(F.col("cap").cast("double")).alias("target"))
 
 
-def fair_mix(
-    docs: DataFrame,
-    id_col: str = "doc_id",
-    source_col: str = "source",
-    text_col: str = "text",
-    *,
-    weights: Sequence[int] = (3, 1, 2),
-    budget: tuple[int, int] = (3, 2),
-    max_epochs: int = 2,
-    seed: str = "mix",
-    bucket_rows: int = 4096,
-) -> DataFrame:
-    """One row per document: id, skey, size, source_size, target, start, virtual_finish, taken, order key.
+#: Most words of a packet.
+PACKET = 256
 
-    The rows are range-sorted by virtual finish time.  ``taken`` counts the words that the
-    mix takes over all epochs; ``start`` is the number of words before the document in its
-    source's queue.
-    """
-    ident = F.coalesce(docs[id_col].cast("string"), F.lit(""))
+
+def _finish(words: Column, epoch: Column | int) -> Column:
+    """Virtual time at which so many words of a document are served in an epoch; null without a target."""
+    return F.try_divide((F.col("start") + words + F.col("source_size") * epoch).cast("double"), F.col("target"))
+
+
+def _packet(k: Column, epoch: Column | int) -> tuple[Column, Column]:
+    """A document's k-th packet in an epoch: its place in the global order, and its words."""
+    before, done = k * PACKET, F.least(F.col("size"), (k + 1) * PACKET)
+    epoch_ = F.lit(epoch) if isinstance(epoch, int) else epoch
+    return F.struct(_finish(done, epoch).alias("finish"), F.col("skey").alias("skey"), epoch_.alias("epoch"), (F.col("start") + before).alias("at")), done - before
+
+
+def _served(cut_at, epoch: int) -> Column:
+    """Words that the mix takes of a document in an epoch; ``cut_at`` is the packet in which the budget ends."""
+    if cut_at is None:
+        return F.lit(0).cast("long")
+    end = F.struct(F.lit(cut_at["finish"]).alias("finish"), F.lit(cut_at["skey"]).alias("skey"), F.lit(cut_at["epoch"]).alias("epoch"), F.lit(cut_at["at"]).cast("long").alias("at"))
+
+    def words(k: Column) -> Column:
+        place, whole = _packet(k, epoch)
+        return F.when(place < end, whole).when(place == end, F.least(whole, F.lit(cut_at["words"]).cast("long"))).otherwise(0).cast("long")
+
+    last = F.floor((F.col("size") - 1) / PACKET)
+    crossed = F.aggregate(F.sequence(F.lit(0).cast("long"), last), F.lit(0).cast("long"), lambda a, k: a + words(k))
+    idle = (F.col("size") == 0) | (F.coalesce(F.col("target"), F.lit(0.0)) == 0)
+    return F.when(idle | (_packet(F.lit(0), epoch)[0] > end), 0).when(_packet(last, epoch)[0] < end, F.col("size")).otherwise(crossed).cast("long")
+
+
+def _queues(docs: DataFrame, id_col: str, source_col: str, text_col: str, weights: Sequence[int], budget: tuple[int, int], max_epochs: int, seed: str):
+    """Rows (_id, skey, size, source_size, target, start, turn), and the packet in which the budget ends (None without words)."""
     sized = cut(
         docs.select(
             docs[id_col].alias("_id"),
             docs[source_col].alias("source"),
-            F.coalesce(F.concat(F.lit("="), docs[source_col].cast("string")), F.lit("")).alias("skey"),
+            _source_key(docs, source_col).alias("skey"),
             F.coalesce(F.regexp_count(docs[text_col], F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
-            F.md5(F.concat(F.lit(seed + ":"), ident)).alias("turn"),
+            _turn(docs, id_col, seed).alias("turn"),
+            F.monotonically_increasing_id().alias("nth"),
         )
     )
-    by_source = sized.groupBy("skey").agg(F.first("source").alias("source"), F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n_rows"))
-    sources = broadcast_if_small(cut(water_fill(by_source, weights, budget[0], budget[1], max_epochs)), MAX_BROADCAST_SOURCES)
-    n_buckets = F.greatest(F.lit(1), F.least(F.lit(1 << 20), F.ceil(F.col("n_rows") / bucket_rows)))
-    slot = F.conv(F.substring("turn", 1, 5), 16, 10).cast("long")
-    rows = sized.drop("source").join(sources, "skey").withColumn("bucket", F.shiftright(slot * n_buckets, 20)).drop("n_rows")
-    totals = rows.groupBy("skey", "bucket").agg(F.sum("size").alias("in_bucket"))
-    earlier = W.partitionBy("skey").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)
-    offsets = totals.select("skey", "bucket", F.coalesce(F.sum("in_bucket").over(earlier), F.lit(0)).alias("offset"))
-    inside = W.partitionBy("skey", "bucket").orderBy("turn", "_id", "size").rowsBetween(W.unboundedPreceding, W.currentRow)
-    placed = rows.join(offsets, ["skey", "bucket"]).withColumn("start", F.col("offset") + F.sum("size").over(inside) - F.col("size"))
-    goal = F.floor("target").cast("long")
-    served = [F.greatest(F.lit(0), F.least(F.col("size"), goal - F.col("start") - F.col("source_size") * e)) for e in range(max_epochs)]
-    out = placed.select(
-        F.col("_id").alias(id_col),
-        "skey",
-        "size",
-        "source_size",
-        "target",
-        "start",
-        F.try_divide((F.col("start") + F.col("size")).cast("double"), F.col("target")).alias("virtual_finish"),
-        sum(served[1:], served[0]).cast("long").alias("taken"),
-        "turn",
-    )
-    return out.repartitionByRange(F.col("virtual_finish").asc_nulls_last(), F.col("turn")).sortWithinPartitions(F.col("virtual_finish").asc_nulls_last(), "turn")
+    by_source = cut(sized.groupBy("skey").agg(F.first("source").alias("source"), F.sum("size").alias("source_size")))
+    targets = cut(water_fill(by_source, weights, *budget, max_epochs))
+    offsets = running(by_source.select("skey", "source_size"), [F.col("skey")], offset=F.col("source_size")).select("skey", "offset")
+    sources = broadcast_if_small(cut(targets.join(offsets, "skey")), MAX_BROADCAST_SOURCES)
+    # The number of the row makes the order total: repeats of a row may stand in many ranges.
+    ordered = running(sized.drop("source"), [F.col(c) for c in ("skey", "turn", "_id", "size", "nth")], before=F.col("size"))
+    rows = cut(ordered.join(sources, "skey").select("_id", "skey", "size", "source_size", "target", (F.col("before") - F.col("offset")).alias("start"), "turn"))
+    words = rows.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
+    total = min(words * budget[0] // budget[1], words * max_epochs)
+    epochs = F.explode(F.sequence(F.lit(0), F.lit(max_epochs - 1))).alias("epoch")
+    packets = rows.filter("size > 0 and target > 0").select("skey", "size", "source_size", "target", "start", epochs)
+    packets = packets.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("size") - 1) / PACKET))).alias("k"))
+    place, size = _packet(F.col("k"), F.col("epoch"))
+    packets = packets.select(place.alias("place"), size.alias("words")).select("place.*", "words")
+    served = running(packets, [F.col(c) for c in ("finish", "skey", "epoch", "at")], before=F.col("words")).filter(F.col("before") < total)
+    last = served.agg(F.max(F.struct("finish", "skey", "epoch", "at", (F.lit(total) - F.col("before")).alias("words"))).alias("cut")).first()["cut"]
+    return rows, last
 
 
-def mix_documents(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", *, max_epochs: int = 2, whole: bool = False, **options) -> DataFrame:
-    """``docs`` as mixed: a row per epoch in which a document is served, all columns kept.
+def _source_key(docs: DataFrame, source_col: str) -> Column:
+    return F.coalesce(F.concat(F.lit("="), docs[source_col].cast("string")), F.lit(""))
 
-    A document that is in service when the budget runs out gives its first words, or all of
-    them if ``whole``; rows that repeat that document's id and size are taken like it.  The mix is
-    reduced to the last document served per source and epoch, so texts are never shuffled:
-    each row compares its own place in the shuffled order with its source's.
+
+def _turn(docs: DataFrame, id_col: str, seed: str) -> Column:
+    return F.md5(F.concat(F.lit(seed + ":"), F.coalesce(docs[id_col].cast("string"), F.lit(""))))
+
+
+WEIGHTS, BUDGET, MAX_EPOCHS, SEED = (3, 1, 2), (3, 2), 2, "mix"
+
+
+def fair_mix(
+    docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", *, weights: Sequence[int] = WEIGHTS, budget: tuple[int, int] = BUDGET, max_epochs: int = MAX_EPOCHS, seed: str = SEED
+) -> DataFrame:
+    """One row per document: id, skey, size, source_size, target, start, virtual_finish, taken, turn.
+
+    ``taken`` counts the words that the mix takes over all epochs; ``start`` is the number of
+    words before the document in its source's queue; ``virtual_finish`` is that of its first epoch.
     """
-    plan = cut(fair_mix(docs, id_col, source_col, text_col, max_epochs=max_epochs, **options))
-    goal = F.floor("target").cast("long")
+    rows, last = _queues(docs, id_col, source_col, text_col, weights, budget, max_epochs, seed)
+    served = [_served(last, e) for e in range(max_epochs)]
+    return rows.select(F.col("_id").alias(id_col), "skey", "size", "source_size", "target", "start", _finish(F.col("size"), 0).alias("virtual_finish"), sum(served[1:], served[0]).alias("taken"), "turn")
+
+
+def mix_documents(
+    docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", *, weights: Sequence[int] = WEIGHTS, budget: tuple[int, int] = BUDGET, max_epochs: int = MAX_EPOCHS, seed: str = SEED, whole: bool = False
+) -> DataFrame:
+    """``docs`` as mixed: a row per epoch in which a document is served, all columns kept, in no order.
+
+    The document in which the budget ends gives its first words, or all of them if ``whole``.
+    Since packets of a source and epoch are served in queue order, the global cut is reduced to
+    the last document served of each; every row compares its own place with its source's, so
+    texts are never shuffled.  Rows that repeat such a last document's id and size are taken like
+    it.  For the order of service, join ``fair_mix``'s virtual finish times.
+    """
+    rows, last = _queues(docs, id_col, source_col, text_col, weights, budget, max_epochs, seed)
     ends = []
     for e in range(max_epochs):
-        gets = goal - F.col("start") - F.col("source_size") * e
-        last = F.max(F.when(gets > 0, F.struct("turn", F.col(id_col).alias("id"), "size", F.least("size", gets).alias("words"))))
-        ends.append(last.alias(f"end{e}"))
-    ends_of = cut(plan.groupBy("skey").agg(*ends).select("skey", F.array(*[f"end{e}" for e in range(max_epochs)]).alias("ends")))
-    ident = F.coalesce(docs[id_col].cast("string"), F.lit(""))
-    keyed = docs.select(
-        packed(docs),
-        docs[id_col].alias("id"),
-        docs[text_col].alias("text"),
-        F.coalesce(F.concat(F.lit("="), docs[source_col].cast("string")), F.lit("")).alias("skey"),
-        F.md5(F.concat(F.lit(options.get("seed", "mix") + ":"), ident)).alias("turn"),
-    )
+        words = _served(last, e)
+        ends.append(F.max(F.when(words > 0, F.struct("turn", F.col("_id").alias("id"), "size", words.alias("words")))).alias(f"end{e}"))
+    ends_of = cut(rows.groupBy("skey").agg(*ends).select("skey", F.array(*[f"end{e}" for e in range(max_epochs)]).alias("ends")))
+    keyed = docs.select(packed(docs), docs[id_col].alias("id"), docs[text_col].alias("text"), _source_key(docs, source_col).alias("skey"), _turn(docs, id_col, seed).alias("turn"))
     copies = keyed.join(broadcast_if_small(ends_of, MAX_BROADCAST_SOURCES), "skey").select("row", "id", "text", "turn", F.explode("ends").alias("end"))
     at, stop = F.struct("turn", "id"), F.struct("end.turn", "end.id")
     n = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0))  # counted only for rows that tie with the end
@@ -177,12 +195,18 @@ WITH d AS (
 ), t AS (
   SELECT source, source_size, CASE WHEN is_open THEN (w * l_left)::DOUBLE / (l_w * 2)::DOUBLE ELSE cap::DOUBLE END AS target FROM o LEFT JOIN l ON true
 ), q AS (
-  SELECT d.doc_id, d.size, t.source_size, t.target,
+  SELECT d.doc_id, d.size, t.source_size, t.target, coalesce('=' || d.source, '') AS skey,
     (sum(d.size) OVER (PARTITION BY d.source ORDER BY d.turn, d.doc_id, d.size ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))::BIGINT - d.size AS start
   FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source
+), p AS (
+  SELECT skey, start, epoch, start + 256 * k AS at, least(size, 256 * (k + 1)) - 256 * k AS words, (start + least(size, 256 * (k + 1)) + epoch * source_size)::DOUBLE / target AS finish
+  FROM (SELECT *, unnest(range(0, (size + 255) // 256)) AS k FROM q, (VALUES (0), (1)) e(epoch) WHERE size > 0 AND target > 0)
+), g AS (
+  SELECT *, sum(words) OVER (ORDER BY finish, skey, epoch, at ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - words AS before FROM p
+), k AS (
+  SELECT skey, start, sum(greatest(0, least(words, (SELECT (sum(size) * 3) // 2 FROM q) - before)))::BIGINT AS taken FROM g GROUP BY skey, start
 )
-SELECT doc_id, size, source_size, target,
-  (greatest(0, least(size, floor(target)::BIGINT - start)) + greatest(0, least(size, floor(target)::BIGINT - start - source_size)))::BIGINT AS taken,
+SELECT doc_id, size, source_size, target, CASE WHEN size > 0 THEN coalesce(taken, 0) ELSE 0 END::BIGINT AS taken,
   CASE WHEN target = 0 THEN NULL ELSE (start + size)::DOUBLE / target END AS virtual_finish
-FROM q
+FROM q LEFT JOIN k USING (skey, start)
 """

@@ -4,10 +4,10 @@ Fingerprints are 64-bit majorities over XXH64 hashes of 3-word shingles.  Two fi
 within ``RADIUS`` = 2 bits differ in at most two of eight bytes, so they agree on the six
 other bytes for at least one of 28 choices: distinct fingerprints are dealt out by these
 48-bit keys.  A key leaves 16 bits free, so no group can hold more than 65,536 distinct
-fingerprints, however many documents are alike, and no link is lost.  Inside a group sorted
-by population count, tiles of fingerprints are compared by numpy exclusive-or and bit
-counts, and tile pairs whose counts differ beyond the radius are skipped.  Groups emit the
-links of a spanning forest, never all pairs.
+fingerprints, however many documents are alike, and no link is lost.  Groups, sorted by population count,
+are packed into tiles, which numpy compares by exclusive-or and bit counts; tile pairs whose
+counts differ beyond the radius are skipped.  Groups emit the links of a spanning forest,
+never all pairs.
 
 Links are joined into components by alternating large-star and small-star rounds on
 distributed tables, cut by reliable checkpoints.
@@ -15,7 +15,8 @@ distributed tables, cut by reliable checkpoints.
 Defined results: null and empty texts have fingerprint zero and are linked like any other;
 with fewer than three words the whole sequence is the one shingle; repeated rows are copies;
 a null id is never the smallest unless all ids of a component are null; an empty table gives
-an empty result; other columns are ignored, whatever their names.
+an empty result; other columns are ignored, whatever their names; of a very long text 65,536
+shingles at a time are summed up.
 """
 
 from __future__ import annotations
@@ -28,6 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from veritome.llm.bpe import slices
 from veritome.llm.common import apply_decisions, cut, table, whole_texts
 
 RADIUS = 2
@@ -35,9 +37,7 @@ SEED = 42
 #: Bytes of a fingerprint left out of a key; RADIUS of eight.
 CHOICES = list(combinations(range(8), RADIUS))
 MASKS = [~sum(0xFF << 8 * b for b in c) & (1 << 64) - 1 for c in CHOICES]
-TILE = 512
-#: Groups up to this size report all their links; beyond it, a forest.
-SMALL = 8
+TILE = 256
 
 
 def fingerprint(text: str | None) -> int:
@@ -58,64 +58,66 @@ def fingerprint(text: str | None) -> int:
 
 def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        fp = np.fromiter((fingerprint(t) for t in b.column(2).to_pylist()), np.uint64, b.num_rows)
-        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(fp.view(np.int64))], ["_id", "_text_hash", "_fp"])
+        at = 0
+        for keys, texts in slices(iter([pa.RecordBatch.from_arrays([b.column(0), b.column(2)], ["_id", "_text"])])):
+            fp = np.fromiter(map(fingerprint, texts), np.uint64, len(texts))
+            yield pa.RecordBatch.from_arrays([keys, b.column(1).slice(at, len(texts)), pa.array(fp.view(np.int64))], ["_id", "_text_hash", "_fp"])
+            at += len(texts)
 
 
-def forest(fps: np.ndarray, tile: int = TILE) -> np.ndarray:
-    """For each of ``fps`` (uint64) the index of its component's root among links within RADIUS."""
-    order = np.argsort(np.bitwise_count(fps), kind="stable")
-    f = fps[order]
-    pop = np.bitwise_count(f).astype(np.int16)
+class Tally:
+    """Tile pairs compared, and tile pairs of one group skipped by their population counts."""
+
+    def __init__(self) -> None:
+        self.compared = self.skipped = 0
+
+
+def forest(group: np.ndarray, fps: np.ndarray, tile: int = TILE, tally: Tally | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Links (fingerprint, its root) of a spanning forest among fingerprints (uint64) of the same group within RADIUS.
+
+    ``group`` is sorted.  Rows are sorted by group and population count and cut into tiles, which
+    may hold many groups or a part of one; two tiles meet only if a group runs from one into the
+    other and its counts there are within RADIUS.
+    """
+    pop = np.bitwise_count(fps).astype(np.int16)
+    order = np.lexsort((pop, group))
+    g, f, pop = group[order], fps[order], pop[order]
     root = np.arange(len(f))
+
+    def find(x: np.ndarray) -> np.ndarray:
+        while not np.array_equal(up := root[x], x):
+            x = up
+        return x
+
+    tally = tally or Tally()
     starts = range(0, len(f), tile)
     for i in starts:
-        a, last = f[i : i + tile], pop[min(i + tile, len(f)) - 1]
-        for j in starts:
-            if j < i:
-                continue
-            if pop[j] - last > RADIUS:
+        last = min(i + tile, len(f)) - 1
+        for j in range(i, len(f), tile):
+            if j > i and g[j] != g[last]:
                 break
-            near = np.bitwise_count(a[:, None] ^ f[None, j : j + tile]) <= RADIUS
-            x, y = np.nonzero(near)
+            if j > i and pop[j] - pop[last] > RADIUS:
+                tally.skipped += len(range(j, int(np.searchsorted(g, g[last], "right")), tile))
+                break
+            tally.compared += 1
+            x, y = np.nonzero((np.bitwise_count(f[i : last + 1, None] ^ f[None, j : j + tile]) <= RADIUS) & (g[i : last + 1, None] == g[None, j : j + tile]))
             x, y = x + i, y + j
-            while True:
-                rx, ry = root[x], root[y]
-                apart = rx != ry
-                if not apart.any():
-                    break
-                x, y, rx, ry = x[apart], y[apart], rx[apart], ry[apart]
-                np.minimum.at(root, np.maximum(rx, ry), np.minimum(rx, ry))
-                while (jump := root[root]).tobytes() != root.tobytes():
-                    root = jump
-    out = np.empty_like(order)
-    out[order] = order[root]
-    return out
+            while len(x):
+                x, y = find(x), find(y)
+                apart = x != y
+                x, y = x[apart], y[apart]
+                np.minimum.at(root, np.maximum(x, y), np.minimum(x, y))
+    root = find(np.arange(len(f)))
+    linked = np.flatnonzero(root != np.arange(len(f)))
+    return f[linked], f[root[linked]]
 
 
 def _group_links(choice: np.ndarray, fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Links among whole groups: rows sorted so that equal (choice, key) are neighbours."""
-    masks = np.array(MASKS, np.uint64)
-    key = fps & masks[choice]
-    new = np.r_[True, (key[1:] != key[:-1]) | (choice[1:] != choice[:-1])]
-    first = np.flatnonzero(new)
-    size = np.diff(np.r_[first, len(fps)])
-    left, right = [], []
-    group = np.cumsum(new) - 1
-    in_small = size[group] <= SMALL
-    for d in range(1, SMALL):
-        i = np.flatnonzero(in_small[:-d] & (group[d:] == group[:-d])) if len(fps) > d else np.empty(0, int)
-        if not len(i):
-            break
-        i = i[np.bitwise_count(fps[i] ^ fps[i + d]) <= RADIUS]
-        left.append(fps[i]), right.append(fps[i + d])
-    for g in np.flatnonzero(size > SMALL):
-        own = fps[first[g] : first[g] + size[g]]
-        root = forest(own)
-        i = np.flatnonzero(root != np.arange(len(own)))
-        left.append(own[i]), right.append(own[root[i]])
-    none = [np.empty(0, np.uint64)]
-    return np.concatenate(left or none), np.concatenate(right or none)
+    """Links among whole groups: rows sorted so that equal (choice, key) are neighbours; rows alone in theirs have none."""
+    key = fps & np.array(MASKS, np.uint64)[choice]
+    new = np.concatenate(([True], (key[1:] != key[:-1]) | (choice[1:] != choice[:-1])))
+    alone = new & np.concatenate((new[1:], [True]))
+    return forest(np.cumsum(new)[~alone], fps[~alone])
 
 
 def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -141,6 +143,15 @@ def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield from out(held_c, held_f)
 
 
+def _with_least(links: DataFrame, node: str, neighbours: DataFrame) -> DataFrame:
+    """``links`` with ``m``, the smallest of node ``node`` and its ``neighbours`` (big: the node, small: a neighbour).
+
+    Joined on a recomputed key, so that both sides are dealt out anew and a hot node's links can be split.
+    """
+    least = neighbours.groupBy("big").agg(F.min("small").alias("m")).select(F.bitwise_not("big").alias("_key"), F.least("big", "m").alias("m"))
+    return links.withColumn("_key", F.bitwise_not(node)).join(least, "_key").drop("_key")
+
+
 def components(links: DataFrame) -> DataFrame:
     """(big, small) rows of stars: every linked node but the root with its component's smallest node.
 
@@ -152,12 +163,10 @@ def components(links: DataFrame) -> DataFrame:
     before = mark(stars)
     while before[0]:
         both = stars.unionByName(stars.select(F.col("small").alias("big"), F.col("big").alias("small")))
-        least = both.groupBy("big").agg(F.min("small").alias("m")).select(F.col("big").alias("small"), F.least("big", "m").alias("m"))
-        large = stars.join(least, "small").select("big", F.col("m").alias("small")).distinct()
-        large = cut(large)
-        least = large.groupBy("big").agg(F.min("small").alias("m"))
-        small = large.join(least, "big").filter("small <> m").select(F.col("small").alias("big"), F.col("m").alias("small"))
-        stars = cut(small.unionByName(least.select("big", F.col("m").alias("small"))).distinct())
+        large = cut(_with_least(stars, "small", both).select("big", F.col("m").alias("small")).distinct())
+        near = _with_least(large, "big", large)
+        moved = near.filter("small <> m").select(F.col("small").alias("big"), F.col("m").alias("small"))
+        stars = cut(near.select("big", F.col("m").alias("small")).unionByName(moved).distinct())
         after = mark(stars)
         if after == before:
             break
@@ -194,7 +203,7 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     found = cut(near_duplicates(docs, id_col, text_col).select(F.col(id_col).alias("_gid"), F.col("text_hash").alias("_gkey"), F.col("root").alias("_group"), F.col(id_col).eqNullSafe(F.col("component_id")).alias("_tie")))
     repeated = found.filter("_tie").groupBy("_group").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("_group")
     decisions = found.filter("not _tie").unionByName(found.filter("_tie").join(repeated, "_group", "left_semi").select(found.columns))
-    return apply_decisions(docs, id_col, F.xxhash64(F.coalesce(docs[text_col].cast("string"), F.lit(""))), decisions)
+    return apply_decisions(docs, id_col, text_col, F.xxhash64, None, decisions.withColumn("_gcheap", F.col("_gkey")))
 
 
 def op2_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
