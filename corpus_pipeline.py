@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veritome.llm import bpe, common, exact_dedup, mixing, quality_knn, simhash
+from veritome.shipping import settle
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
@@ -16,27 +17,31 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier accepts."""
     score = common.free_name(docs.columns, "score")
-    judged = quality_knn.judge(spark, docs, sf_dir, keep=docs.columns, score_col=score)
+    judged = quality_knn.judge(settle(spark), docs, sf_dir, keep=docs.columns, score_col=score)
     return judged.filter(F.col(score) >= quality_knn.THRESHOLD).drop(score)
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents with equal texts, the one with the largest id stays."""
+    settle(spark)
     return exact_dedup.drop_copies(docs)
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of near-duplicates, the one with the smallest id stays."""
+    settle(spark)
     return simhash.drop_near_duplicates(docs)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sources mixed to target weights by whole documents; repeated documents are repeated rows."""
+    settle(spark)
     return mixing.mix_documents(docs, whole=True)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The mix as token counts and digests of its ids and decoded texts."""
+    settle(spark)
     return bpe.digest_documents(docs, bpe.vocabulary(VOCABULARY))
 
 

@@ -4,14 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import SparkSession
 
-from veritome.shipping import reach_workers
+from veritome.shipping import BATCH_BYTES, reach_workers
 
 DEFAULTS = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
-    "spark.sql.execution.arrow.maxRecordsPerBatch": "1000",
+    "spark.sql.execution.arrow.maxBytesPerBatch": BATCH_BYTES,
     "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
 }
 

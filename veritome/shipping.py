@@ -20,3 +20,18 @@ def reach_workers(spark: SparkSession) -> SparkSession:
     if ROOT not in paths.split(os.pathsep):
         env["PYTHONPATH"] = os.pathsep.join(filter(None, (ROOT, paths)))
     return spark
+
+
+#: Bytes of an Arrow batch: whole texts are long, so batches are bounded by size, not by rows.
+BATCH_BYTES = "4m"
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def settle(spark: SparkSession) -> SparkSession:
+    """For applications, before their first query: workers find the package, batches hold ``BATCH_BYTES`` unless the cluster says otherwise.
+
+    Operators never touch a session's settings; under Spark's own bound they only use more memory.
+    """
+    if not spark.sparkContext.getConf().contains(_BATCH):
+        spark.conf.set(_BATCH, BATCH_BYTES)
+    return reach_workers(spark)
