@@ -199,10 +199,10 @@ WITH d AS (
     (sum(d.size) OVER (PARTITION BY d.source ORDER BY d.turn, d.doc_id, d.size ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))::BIGINT - d.size AS start
   FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source
 ), p AS (
-  SELECT skey, start, epoch, start + 256 * k AS at, least(size, 256 * (k + 1)) - 256 * k AS words, (start + least(size, 256 * (k + 1)) + epoch * source_size)::DOUBLE / target AS finish
+  SELECT skey, start, epoch, start + 256 * k AS place, least(size, 256 * (k + 1)) - 256 * k AS words, (start + least(size, 256 * (k + 1)) + epoch * source_size)::DOUBLE / target AS finish
   FROM (SELECT *, unnest(range(0, (size + 255) // 256)) AS k FROM q, (VALUES (0), (1)) e(epoch) WHERE size > 0 AND target > 0)
 ), g AS (
-  SELECT *, sum(words) OVER (ORDER BY finish, skey, epoch, at ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - words AS before FROM p
+  SELECT *, sum(words) OVER (ORDER BY finish, skey, epoch, place ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - words AS before FROM p
 ), k AS (
   SELECT skey, start, sum(greatest(0, least(words, (SELECT (sum(size) * 3) // 2 FROM q) - before)))::BIGINT AS taken FROM g GROUP BY skey, start
 )
