@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 import tempfile
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -55,20 +55,41 @@ def whole_texts(df: DataFrame) -> DataFrame:
     return df
 
 
-def running(df: DataFrame, order: Sequence[Column], **sums: Column) -> DataFrame:
+def running(df: DataFrame, order: Sequence[Column], *, few: bool = False, **sums: Column) -> DataFrame:
     """``df`` with, for each of ``sums``, the sum over all rows before in the global order.
 
     Rows are range-sorted; totals of the ranges, one row each, are summed up, and the sums are
     taken inside ranges.  No window spans a key, and a range is as large as a partition, so
-    ``order`` should be total or its ties few.
+    ``order`` should be total or its ties few.  A table counted as ``few`` is one range.
     """
+    before = lambda c, w: F.coalesce(F.sum(c).over(w.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    if few:
+        return df.withColumns({n: before(c, W.orderBy(*order)) for n, c in sums.items()})
+    placed, offsets = _ranges(df, order, sums)
+    out = placed.join(F.broadcast(offsets), "_part")
+    return out.withColumns({n: F.col(f"_{n}") + before(c, W.partitionBy("_part").orderBy(*order)) for n, c in sums.items()}).drop("_part", *(f"_{n}" for n in sums))
+
+
+def _ranges(df: DataFrame, order: Sequence[Column], sums: Mapping[str, Column]) -> tuple[DataFrame, DataFrame]:
+    """Range-sorted rows with their range's number, and per range the sums over all ranges before."""
     placed = cut(df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()))
     totals = placed.groupBy("_part").agg(*(F.sum(c).alias(f"_{n}") for n, c in sums.items()))
     earlier = W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)  # a row per range
-    offsets = totals.select("_part", *(F.coalesce(F.sum(f"_{n}").over(earlier), F.lit(0)).alias(f"_{n}") for n in sums))
-    inside = W.partitionBy("_part").orderBy(*order).rowsBetween(W.unboundedPreceding, -1)
-    out = placed.join(F.broadcast(offsets), "_part")
-    return out.withColumns({n: F.col(f"_{n}") + F.coalesce(F.sum(c).over(inside), F.lit(0)) for n, c in sums.items()}).drop("_part", *(f"_{n}" for n in sums))
+    return placed, totals.select("_part", *(F.coalesce(F.sum(f"_{n}").over(earlier), F.lit(0)).alias(f"_{n}") for n in sums))
+
+
+def crossing(df: DataFrame, order: Sequence[str], amount: str, limit: int) -> Row | None:
+    """The last row, in the global order, before which less than ``limit`` is summed up, and what ``room`` it has left.
+
+    Sums of the ranges say in which one that is; only its rows are summed up one by one.
+    """
+    placed, offsets = _ranges(df, [F.col(c) for c in order], {"sum": F.col(amount)})
+    part = offsets.filter(F.col("_sum") < limit).orderBy(F.col("_part").desc()).first()
+    if part is None:
+        return None
+    inside = W.orderBy(*order).rowsBetween(W.unboundedPreceding, -1)
+    rows = placed.filter(F.col("_part") == part["_part"]).withColumn("room", limit - part["_sum"] - F.coalesce(F.sum(amount).over(inside), F.lit(0)))
+    return rows.filter("room > 0").orderBy(*(F.col(c).desc() for c in order)).drop("_part").first()
 
 
 def ascii_lower(c: Column) -> Column:

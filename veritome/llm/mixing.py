@@ -26,29 +26,34 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veritome.llm.common import WORD, broadcast_if_small, cut, packed, running, table
+from veritome.llm.common import WORD, broadcast_if_small, crossing, cut, packed, running, table
 
 #: A source table up to this many rows is broadcast; a larger one is joined by shuffle.
 MAX_BROADCAST_SOURCES = 20_000
 
 
 def water_fill(sources: DataFrame, weights: Sequence[int], budget_num: int, budget_den: int, max_epochs: int) -> DataFrame:
-    """(skey, source_size, target): sources share budget_num/budget_den of all words by weight.
+    """(skey, source_size, target, offset): sources share budget_num/budget_den of all words by weight.
 
     Weights repeat over the sources in code point order, null last.  A target stops at
     ``max_epochs`` times the size and the excess is shared again by weight: the sources
     that stop are the first by cap over weight, so running sums in that order find the level.
-    All is exact integer arithmetic up to one division.
+    All is exact integer arithmetic up to one division.  ``offset`` counts the words of the
+    sources before in the order of ``skey``, in which a null source is the first.
     """
+    n, words, nulls = sources.agg(F.count(F.lit(1)), F.coalesce(F.sum("source_size"), F.lit(0)), F.count_if(F.col("skey") == "")).first()
+    few = n <= MAX_BROADCAST_SOURCES
+    rank = F.when(F.col("skey") == "", n - 1).otherwise(F.col("nth") - nulls)
     pick = F.element_at(F.array(*map(F.lit, weights)), F.pmod(F.col("source_rank"), F.lit(len(weights))).cast("int") + 1)
-    ranked = running(sources, [F.col("source").asc_nulls_last(), F.col("skey")], source_rank=F.lit(1)).withColumn("w", pick.cast("long")).withColumn("cap", F.col("source_size") * max_epochs)
-    ranked = cut(running(ranked, [F.col("cap") / F.col("w"), F.col("source_rank")], cap_before=F.col("cap"), w_before=F.col("w")))
-    words, weight = ranked.agg(F.coalesce(F.sum("source_size"), F.lit(0)), F.coalesce(F.sum("w"), F.lit(0))).first()
+    ranked = running(sources, [F.col("skey")], few=few, nth=F.lit(1), offset=F.col("source_size")).withColumn("source_rank", rank).withColumn("w", pick.cast("long"))
+    ranked = ranked.withColumn("cap", F.col("source_size") * max_epochs)
+    ranked = cut(running(ranked, [F.col("cap") / F.col("w"), F.col("source_rank")], few=few, cap_before=F.col("cap"), w_before=F.col("w")))
+    weight = ranked.agg(F.coalesce(F.sum("w"), F.lit(0))).first()[0]
     onward, left = F.lit(weight) - F.col("w_before"), F.lit(words * budget_num) - F.col("cap_before") * budget_den
     is_open = F.col("cap") * onward * budget_den > F.col("w") * left
     level = ranked.filter(is_open).agg(F.min(F.struct(F.col("cap") / F.col("w"), "source_rank", left.alias("left"), onward.alias("onward"))).alias("at")).first()["at"]
     share = (F.col("w") * F.lit(level["left"])).cast("double") / F.lit(level["onward"] * budget_den) if level else F.lit(None).cast("double")
-    return ranked.select("skey", "source_size", F.when(is_open, share).otherwise(F.col("cap").cast("double")).alias("target"))
+    return ranked.select("skey", "source_size", F.when(is_open, share).otherwise(F.col("cap").cast("double")).alias("target"), "offset")
 
 
 #: Most words of a packet.
@@ -75,7 +80,7 @@ def _served(cut_at, epoch: int) -> Column:
 
     def words(k: Column) -> Column:
         place, whole = _packet(k, epoch)
-        return F.when(place < end, whole).when(place == end, F.least(whole, F.lit(cut_at["words"]).cast("long"))).otherwise(0).cast("long")
+        return F.when(place < end, whole).when(place == end, F.least(whole, F.lit(cut_at["room"]).cast("long"))).otherwise(0).cast("long")
 
     last = F.floor((F.col("size") - 1) / PACKET)
     crossed = F.aggregate(F.sequence(F.lit(0).cast("long"), last), F.lit(0).cast("long"), lambda a, k: a + words(k))
@@ -88,29 +93,25 @@ def _queues(docs: DataFrame, id_col: str, source_col: str, text_col: str, weight
     sized = cut(
         docs.select(
             docs[id_col].alias("_id"),
-            docs[source_col].alias("source"),
             _source_key(docs, source_col).alias("skey"),
             F.coalesce(F.regexp_count(docs[text_col], F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
             _turn(docs, id_col, seed).alias("turn"),
             F.monotonically_increasing_id().alias("nth"),
         )
     )
-    by_source = cut(sized.groupBy("skey").agg(F.first("source").alias("source"), F.sum("size").alias("source_size")))
-    targets = cut(water_fill(by_source, weights, *budget, max_epochs))
-    offsets = running(by_source.select("skey", "source_size"), [F.col("skey")], offset=F.col("source_size")).select("skey", "offset")
-    sources = broadcast_if_small(cut(targets.join(offsets, "skey")), MAX_BROADCAST_SOURCES)
+    by_source = cut(sized.groupBy("skey").agg(F.sum("size").alias("source_size")))
+    sources = broadcast_if_small(cut(water_fill(by_source, weights, *budget, max_epochs)), MAX_BROADCAST_SOURCES)
     # The number of the row makes the order total: repeats of a row may stand in many ranges.
-    ordered = running(sized.drop("source"), [F.col(c) for c in ("skey", "turn", "_id", "size", "nth")], before=F.col("size"))
+    ordered = running(sized, [F.col(c) for c in ("skey", "turn", "_id", "size", "nth")], before=F.col("size"))
     rows = cut(ordered.join(sources, "skey").select("_id", "skey", "size", "source_size", "target", (F.col("before") - F.col("offset")).alias("start"), "turn"))
-    words = rows.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
+    words = by_source.agg(F.coalesce(F.sum("source_size"), F.lit(0))).first()[0]
     total = min(words * budget[0] // budget[1], words * max_epochs)
     epochs = F.explode(F.sequence(F.lit(0), F.lit(max_epochs - 1))).alias("epoch")
     packets = rows.filter("size > 0 and target > 0").select("skey", "size", "source_size", "target", "start", epochs)
     packets = packets.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("size") - 1) / PACKET))).alias("k"))
     place, size = _packet(F.col("k"), F.col("epoch"))
     packets = packets.select(place.alias("place"), size.alias("words")).select("place.*", "words")
-    served = running(packets, [F.col(c) for c in ("finish", "skey", "epoch", "at")], before=F.col("words")).filter(F.col("before") < total)
-    last = served.agg(F.max(F.struct("finish", "skey", "epoch", "at", (F.lit(total) - F.col("before")).alias("words"))).alias("cut")).first()["cut"]
+    last = crossing(packets, ("finish", "skey", "epoch", "at"), "words", total)
     return rows, last
 
 
