@@ -1,9 +1,11 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import random
 import re
 import string
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -188,14 +190,36 @@ def test_secrets(spark):
 def test_randomness_battery(spark):
     r = random.Random(11)
     make = lambda alphabet, n: "".join(r.choices(alphabet, k=n))
-    kinds = [(string.ascii_letters + string.digits, 32), (string.ascii_letters + string.digits + "+/", 40), ("0123456789ABCDEF", 40)]
-    random_ = [f"see {make(a, n)} there" for a, n in kinds for _ in range(60)]
+    base62 = string.ascii_letters + string.digits
+    kinds = [("", base62, 24, 0.9), ("", base62, 32, 0.95), ("", base62 + "+/", 40, 0.95), ("", base62 + "-_", 32, 0.9), ("", "0123456789ABCDEF", 40, 0.95), ("", "0123456789abcdef", 24, 0.9)]
+    kinds += [("", string.digits + string.ascii_lowercase, 24, 0.8), ("", string.digits + string.ascii_lowercase, 32, 0.9), ("", string.ascii_uppercase + "234567", 32, 0.8), ("", string.ascii_uppercase + "234567", 40, 0.9), ("ghp_", base62, 36, 0.95)]
+    random_ = [f"see {prefix}{make(a, n)} there" for prefix, a, n, _ in kinds for _ in range(60)]
     prose = ["someVeryLongCamelCaseIdentifierNameHere", "some_very_long_snake_case_identifier_2020", "/usr/local/lib/python3/site-packages/numpy", "550e8400-e29b-41d4-a716-446655440000", "A1" * 20, string.ascii_letters + string.digits, "thblereeratblexyzabcdefgh", "2024-01-02T03-04-05-000000000Z", "1234567890" * 3]
     got = {x.doc_id: x.spans for x in secret_scan.scan_secrets(frame(spark, list(enumerate(random_ + prose)))).collect()}
-    assert sum(bool(got[i]) for i in range(len(random_))) >= 0.9 * len(random_)
+    for k, (_, alphabet, n, least) in enumerate(kinds):
+        assert sum(bool(got[i]) for i in range(60 * k, 60 * k + 60)) >= least * 60, (alphabet, n)
     assert [p for i, p in enumerate(prose, len(random_)) if got[i]] == []
 
 
+def test_false_discoveries_are_held_over_the_whole_table():
+    """The line over bins against the step-up rule over the p-values themselves: as strict, and by a bin at most stricter."""
+    r = random.Random(3)
+    for m, secrets in ((1, 1), (1000, 0), (1000, 5), (100_000, 50)):
+        ps = sorted([10 ** -r.uniform(3, 20) for _ in range(secrets)] + [r.random() for _ in range(m - secrets)])
+        found = max([i for i, p in enumerate(ps, 1) if p <= secret_scan.FDR * i / m], default=0)
+        bins = [min(secret_scan.LAST_BIN, math.floor(-math.log10(p) * secret_scan.BINS)) for p in ps]
+        line = secret_scan._line(Counter(bins))
+        mine = sum(b >= line for b in bins)
+        assert mine <= found and all(p > secret_scan.FDR * found / m / 10 ** (2 / secret_scan.BINS) for p in ps[mine:found])
+
+
+def test_secret_scan_of_nothing(spark):
+    assert secret_scan.scan_secrets(frame(spark, [])).count() == 0
+    long_ = "word " * 100_000 + "password=hunter22hunter22 " + "x" * 50_000
+    (row,) = secret_scan.scan_secrets(frame(spark, [(1, long_)])).collect()
+    assert [(s.start, s.end) for s in row.spans] == [(500_000, 500_025)]
+
+
 def test_secret_plan_is_native(spark):
     plan = secret_scan.scan_secrets(frame(spark, [(1, "x")]))._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Exchange" not in plan
