@@ -156,3 +156,39 @@ def test_card_schema_names_every_key():
     from veritome.functions.completion import card_schema
 
     assert card_schema()["required"] == ["problema", "dados", "metodo", "metrica", "limitacao", "evidencia"]
+
+
+def counting(calls, limit):
+    """A client that writes each call to a file and loses its worker after so many."""
+
+    class Counting:
+        model_name = "counting"
+
+        def generate(self, system, user, params):
+            import os
+            from pathlib import Path
+
+            from veritome.model import Stub
+
+            if Path(calls).exists() and Path(calls).read_text().count("x") >= limit:
+                os._exit(1)
+            with open(calls, "a") as f:
+                f.write("x")
+            return Stub().generate(system, user, params)
+
+    return Counting()
+
+
+def test_a_lost_run_resumes_without_calling_again(spark, tmp_path):
+    store, corpus = RunStore(spark, str(tmp_path / "runs")), synthetic.corpus(spark, 12).coalesce(1)
+    n = corpus.select("doc").distinct().count()
+    run, calls = store.new_run_id("first_pages", "v_full", 0.0), tmp_path / "calls"
+    with pytest.raises(Exception):  # noqa: B017
+        runner.run_and_store(spark, store, corpus, FirstPages(2), counting(str(calls), n // 2), resume=run, wave=1)
+    kept = store.answers(run).count()
+    assert 0 < kept <= n // 2 and store.load(run).count() == 0
+    made = calls.read_text().count("x")
+    runner.run_and_store(spark, store, corpus, FirstPages(2), counting(str(calls), 10**6), resume=run)
+    assert store.load(run).count() == n and calls.read_text().count("x") - made == n - kept
+    runner.run_and_store(spark, store, corpus, FirstPages(2), counting(str(calls), 0), resume=run)
+    assert store.load(run).count() == n and store.list_runs() == [run]

@@ -16,7 +16,7 @@ from veritome.operators.overview import full_texts
 from veritome.operators.selection import Strategy, context_pages, rendered, select_contexts
 from veritome.prompts import VARIANTS, render_prompts
 from veritome.schemas import RECORDS
-from veritome.sources.runs import RunStore
+from veritome.sources.runs import ANSWERS, RunStore
 
 
 def complete(prompts: DataFrame, client: Client, params: Params, retries: int = 2) -> DataFrame:
@@ -42,17 +42,19 @@ def complete(prompts: DataFrame, client: Client, params: Params, retries: int =
                 kinds = (pa.string(), pa.int64(), pa.int64(), pa.float64(), pa.string())
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(i, 1), *(pa.array([v], k) for v, k in zip(got, kinds, strict=True))], ["doc", "raw_output", "input_tokens", "output_tokens", "latency_s", "call_error"])
 
-    return prompts.select("doc", "system", "user").mapInArrow(run, "doc string, raw_output string, input_tokens long, output_tokens long, latency_s double, call_error string")
+    return prompts.select("doc", "system", "user").mapInArrow(run, ANSWERS)
 
 
-def extract(pages: DataFrame, how: Strategy, client: Client, *, run_id: str, variant: str = "v_full", params: Params = Params(), repetition: int = 1, done: DataFrame | None = None) -> DataFrame:
-    """Records of one run.  Documents of ``done`` are left out, so an interrupted run resumes where it stopped."""
-    todo = pages if done is None else pages.join(done.select("doc").distinct(), "doc", "left_anti")
-    contexts = select_contexts(todo, how).select("doc", rendered(F.col("chunks")).alias("context_text"), context_pages(F.col("chunks")).alias("context_pages"))
-    prompts = render_prompts(contexts, variant)
-    hashes = full_texts(todo).select("doc", F.sha2("text", 256).alias("doc_sha256"))
-    answered = prompts.join(complete(prompts, client, params), "doc").join(hashes, "doc")
-    p = answered.withColumn("p", parsed(F.col("raw_output"), VARIANTS[variant].chain_of_thought))
+def prepare(pages: DataFrame, how: Strategy, variant: str = "v_full") -> DataFrame:
+    """(doc, context_text, context_pages, prompt parts, doc_sha256): what is sent for each document."""
+    contexts = select_contexts(pages, how).select("doc", rendered(F.col("chunks")).alias("context_text"), context_pages(F.col("chunks")).alias("context_pages"))
+    hashes = full_texts(pages).select("doc", F.sha2("text", 256).alias("doc_sha256"))
+    return render_prompts(contexts, variant).join(hashes, "doc")
+
+
+def assemble(prompts: DataFrame, answers: DataFrame, how: Strategy, client: Client, *, run_id: str, variant: str = "v_full", params: Params = Params(), repetition: int = 1) -> DataFrame:
+    """Records of prompts and their answers; calls nothing."""
+    p = prompts.join(answers, "doc").withColumn("p", parsed(F.col("raw_output"), VARIANTS[variant].chain_of_thought))
     fixed = {
         "run_id": run_id, "strategy": how.name, "prompt_variant": variant, "model": client.model_name, "temperature": params.temperature, "seed": params.seed, "repetition": repetition,
         "created_at": datetime.now(UTC).isoformat(timespec="seconds"),
@@ -63,11 +65,31 @@ def extract(pages: DataFrame, how: Strategy, client: Client, *, run_id: str, var
     return rows.select([F.col(f.name).cast(f.dataType).alias(f.name) for f in RECORDS])
 
 
-def run_and_store(spark: SparkSession, store: RunStore, pages: DataFrame, how: Strategy, client: Client, *, variant: str = "v_full", params: Params = Params(), repetition: int = 1, resume: str | None = None) -> str:
-    """Extract, append to the store, and seal with a manifest that holds the run's summary.  Returns the run id."""
+def extract(pages: DataFrame, how: Strategy, client: Client, *, run_id: str, variant: str = "v_full", params: Params = Params(), repetition: int = 1, done: DataFrame | None = None) -> DataFrame:
+    """Records of one run as one lazy plan, which calls the model anew each time it runs; ``run_and_store`` keeps answers."""
+    todo = pages if done is None else pages.join(done.select("doc").distinct(), "doc", "left_anti")
+    prompts = prepare(todo, how, variant)
+    return assemble(prompts, complete(prompts, client, params), how, client, run_id=run_id, variant=variant, params=params, repetition=repetition)
+
+
+def run_and_store(
+    spark: SparkSession, store: RunStore, pages: DataFrame, how: Strategy, client: Client, *, variant: str = "v_full", params: Params = Params(), repetition: int = 1, resume: str | None = None, wave: int = 1000
+) -> str:
+    """Extract in waves of about ``wave`` documents, and seal with a manifest that holds the run's summary.  Returns the run id.
+
+    A wave's answers are on disk before anything is joined to them, so a failure loses the calls
+    of one wave at most.  Resuming calls the model only for documents without a kept answer.
+    """
     run_id = resume or store.new_run_id(how.name, variant, params.temperature, repetition)
-    done = store.load(run_id) if resume else None
-    store.append(extract(pages, how, client, run_id=run_id, variant=variant, params=params, repetition=repetition, done=done))
+    todo = pages.join(store.answers(run_id).select("doc").distinct(), "doc", "left_anti")
+    n = todo.select("doc").distinct().count()
+    waves = -(-n // wave)
+    for k in range(waves):
+        part = todo.filter(F.pmod(F.xxhash64("doc"), F.lit(waves)) == k)
+        store.keep_answers(run_id, complete(prepare(part, how, variant), client, params))
+    done = store.load(run_id).select("doc").distinct()
+    answers = store.answers(run_id).join(done, "doc", "left_anti").dropDuplicates(["doc"])
+    store.append(assemble(prepare(pages, how, variant), answers, how, client, run_id=run_id, variant=variant, params=params, repetition=repetition))
     summary = stats.run_summary(store.load(run_id), "run_id").first().asDict()
     store.write_manifest(run_id, {"run_id": run_id, "strategy": how.name, "prompt_variant": variant, "model": client.model_name, "generation": params._asdict(), "repetition": repetition, "status": "concluida", "summary": summary})
     return run_id

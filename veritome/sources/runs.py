@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 from datetime import datetime
+from urllib.parse import unquote
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,8 +13,12 @@ from veritome.functions.text import format_temperature, slug
 from veritome.schemas import RECORDS
 
 
+#: An answer of a model, as it came.
+ANSWERS = "doc string, raw_output string, input_tokens long, output_tokens long, latency_s double, call_error string"
+
+
 class RunStore:
-    """Records under ``<root>/records/run_id=...``, manifests under ``<root>/manifests/run_id=...``."""
+    """Under ``<root>``: answers/run_id=..., records/run_id=..., manifests/run_id=...."""
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
@@ -32,8 +37,29 @@ class RunStore:
         names = [f.name for f in RECORDS]
         records.select(names).write.mode("append").partitionBy("run_id").json(f"{self.root}/records")
 
+    def keep_answers(self, run_id: str, answers: DataFrame) -> None:
+        """Append answers of a run as they came, whole or nothing."""
+        answers.write.mode("append").parquet(f"{self.root}/answers/run_id={run_id}")
+
+    def answers(self, run_id: str) -> DataFrame:
+        """Kept answers of a run, none before the first."""
+        if run_id not in self._names("answers"):
+            return self.spark.createDataFrame([], ANSWERS)
+        return self.spark.read.schema(ANSWERS).parquet(f"{self.root}/answers/run_id={run_id}")
+
+    def _names(self, part: str) -> set[str]:
+        """Runs with a folder in a part of the store, from the file system's listing."""
+        folder = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{part}")
+        fs = folder.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        if not fs.exists(folder):
+            return set()
+        names = (s.getPath().getName() for s in fs.listStatus(folder))
+        return {unquote(n.removeprefix("run_id=")) for n in names if n.startswith("run_id=")}
+
     def load(self, *run_ids: str) -> DataFrame:
         """Records, of all runs or the given ones.  Files have no order: ``seq`` has it.  Missing repairs are empty."""
+        if not self._names("records"):
+            return self.spark.createDataFrame([], RECORDS)
         rows = self.spark.read.schema(RECORDS).json(f"{self.root}/records")
         rows = rows.withColumn("repairs", F.coalesce("repairs", F.expr("cast(array() as array<string>)")))
         return rows.filter(F.col("run_id").isin(*run_ids)) if run_ids else rows
@@ -54,13 +80,4 @@ class RunStore:
 
     def list_runs(self) -> list[str]:
         """Run ids that have records or a manifest, oldest first; their number is that of runs, not of records."""
-        from pyspark.errors import AnalysisException
-
-        out: set[str] = set()
-        for part in ("records", "manifests"):
-            try:
-                found = self.spark.read.schema("run_id string").json(f"{self.root}/{part}").select("run_id").distinct().collect()
-            except AnalysisException:
-                continue
-            out |= {r[0] for r in found}
-        return sorted(out)
+        return sorted(self._names("records") | self._names("manifests"))
