@@ -226,6 +226,18 @@ def test_secret_plan_is_native(spark):
 
 
 # ---------------------------------------------------------------- pages
+def test_deep_nesting_and_stray_end_tags():
+    import time
+
+    tree = html_extract.trained_tree()
+    words = "word " * 40
+    deep = "<div>" * 30_000 + f"<div class=sidebar><p>{words}side</p></div>" + "</div>" * 30_000
+    page = f"<body><nav>{deep}</nav><article><p>{words}end.</p>" + "</section>" * 30_000 + f"<div class=sidebar>{deep}</div></article>"
+    began = time.perf_counter()
+    assert html_extract.main_text(page, tree) == f"{words}end."
+    assert time.perf_counter() - began < 20
+
+
 def test_main_text():
     tree = html_extract.trained_tree()
     page = """<html><head><title>T</title><style>p{}</style></head><body class="has-sidebar"><header><h1>Site</h1></header><nav><ul><li><a href=1>Home</a></ul></nav>

@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -140,6 +141,8 @@ def blocks(page: str) -> list[Block]:
     out: list[Block] = []
     #: Open elements: tag, whether in an article, in boilerplate, firmly so.
     stack: list[tuple[str, bool, bool, bool]] = [("", False, False, False)]
+    #: How many of each tag are open, so that an end tag without a start looks for none, however deep the page.
+    open_tags: Counter[str] = Counter()
     text: list[str] = []
     in_link: list[bool] = []
     link, heading = 0, False
@@ -183,8 +186,9 @@ def blocks(page: str) -> list[Block]:
         if tag not in CONTAINERS or tag in VOID:
             continue
         if is_end:
-            for k in range(len(stack) - 1, 0, -1):
+            for k in range(len(stack) - 1, 0, -1) if open_tags[tag] else ():
                 if stack[k][0] == tag:
+                    open_tags.subtract(x[0] for x in stack[k:])
                     del stack[k:]
                     break
                 if tag in ("p", "span", "li", "td", "th", "tr") and stack[k][0] in ("article", "main", "div", "section", "body", "nav", "aside", "footer", "header", "form"):
@@ -192,18 +196,19 @@ def blocks(page: str) -> list[Block]:
             continue
         if tag == "body":
             stack = [("", False, False, False)]
+            open_tags.clear()
         while stack[-1][0] in ("p", *HEADINGS) and tag in BLOCK:
-            stack.pop()
+            open_tags[stack.pop()[0]] -= 1
         if tag == "li" and stack[-1][0] == "li":
-            stack.pop()
+            open_tags[stack.pop()[0]] -= 1
         _, inside, boiler, firm = stack[-1]
         own, own_firm = _marks(tag, attrs)
         if tag in ("article", "main"):
             boiler, inside = boiler and firm, True
         elif tag == "header":
             own = own or not inside
-        if len(stack) < 10_000:
-            stack.append((tag, inside, boiler or own, firm or own_firm))
+        stack.append((tag, inside, boiler or own, firm or own_firm))
+        open_tags[tag] += 1
     if at < len(page):
         text.append(page[at:])
         in_link.append(link > 0)
