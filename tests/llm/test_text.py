@@ -141,6 +141,11 @@ def test_plain_spans_against_brute_force(parts):
         ("\uff14111 1111 1111 1111", "card", "\uff14111 1111 1111 1111"),
         ("ip one nine two dot one six eight dot zero dot one end", "ip", "one nine two dot one six eight dot zero dot one"),
         ("host 192[.]168[.]1[.]20 down", "ip", "192[.]168[.]1[.]20"),
+        ("ip one ninety-two dot one hundred and sixty eight dot ten dot two hundred five end", "ip", "one ninety-two dot one hundred and sixty eight dot ten dot two hundred five"),
+        ("ip ten.zero.twenty.forty-two end", "ip", "ten.zero.twenty.forty-two"),
+        ("call plus four nine double five triple one zero two three", "phone", "plus four nine double five triple one zero two three"),
+        ("it is john.doe at gmail.com, ask", "email", "john.doe at gmail.com"),
+        ("Contact me at: jane_99 at mail.example.org.", "email", "jane_99 at mail.example.org"),
     ],
 )
 def test_disguises(text, kind, found):
@@ -148,16 +153,28 @@ def test_disguises(text, kind, found):
     assert f"{kind}:{text.index(found)}:{text.index(found) + len(found)}" in map(str, spans) and set(base) <= set(spans)
 
 
-@pytest.mark.parametrize("text", ["look at the dot com boom", "visit us at example.com", "one two three go", "she came at noon. Then left", "un deux trois", "pi is three dot one four"])
+@pytest.mark.parametrize("text", ["look at the dot com boom", "visit us at example.com", "one two three go", "she came at noon. Then left", "un deux trois", "pi is three dot one four", "see index.html at example.com", "look me up at gmail.com", "mail us at example.com", "mail john.doe at home.Then he left"])
 def test_plain_prose_is_left_alone(text):
     assert pii.find_spans(text) == ([], [])
 
 
 def test_pii_is_linear():
-    for t in ("1" * 200_000, "a" * 200_000, "a@" * 100_000, "1." * 100_000, "+1 " * 60_000, "at dot " * 30_000):
+    for t in ("1" * 200_000, "a" * 200_000, "a@" * 100_000, "1." * 100_000, "+1 " * 60_000, "at dot " * 30_000, " at a." * 30_000, "a.b at " * 30_000, "double one " * 20_000, "one hundred " * 20_000):
         pii.find_spans(t)
 
 
+def test_octets():
+    """All of 0 to 255 in words, in full and in groups."""
+    units, teens, tens = "zero one two three four five six seven eight nine".split(), list(pii.TEENS), list(pii.TENS)
+    below = units + teens + [t if not u else f"{t}-{units[u]}" for t in tens for u in range(10)]
+    for n in range(256):
+        h, rest = divmod(n, 100)
+        full = below[rest] if not h else f"{units[h]} hundred" + (f" and {below[rest]}" if rest else "")
+        assert pii._octet(full) == str(n)
+        if h and rest >= 10:
+            assert pii._octet(f"{units[h]} {below[rest]}") == str(n)
+
+
 def test_pii_documents(spark):
     rows = [(1, "a@b.co and +1 (222) 555-1234"), (2, None), (3, ""), (3, "")]
     got = [(r.doc_id, [(s.kind, s.start, s.end) for s in r.spans]) for r in pii.scan_documents(frame(spark, rows)).collect()]

@@ -2,7 +2,10 @@
 
 Plain e-mail addresses, IP addresses, card and phone numbers are found in the source.  Then
 three transducers rewrite the text: homoglyphs and invisible characters to plain ASCII;
-spelled digits to digits; at/dot disguises, where they form a whole address, to @ and dots.
+spelled digits and, in IP addresses, English numbers to digits; at/dot disguises, where they
+form a whole address, to @ and dots.  A spelled "at" before a domain with plain dots counts only
+after a local part with a dot, digit, hyphen or underscore, and only if the domain is a public
+mail host or a word like "mail" or "contact" comes before.
 Each character they write remembers the source span it stands for, so identifiers detected in
 the rewritten text map back to exact source offsets.  A span is added if its rewritten form
 differs from its source and no plain span covers it.
@@ -18,6 +21,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from array import array
 from collections.abc import Callable, Iterator
 from itertools import islice
 from typing import NamedTuple
@@ -92,18 +96,18 @@ class Written(NamedTuple):
     """A rewritten text; character i stands for source [starts[i], ends[i])."""
 
     text: str
-    starts: list[int]
-    ends: list[int]
+    starts: array[int]
+    ends: array[int]
 
 
 def rewrite(w: Written, pattern: re.Pattern, parts: Callable[[re.Match], list[tuple[int, int, str]]]) -> Written:
     """Replace parts (start, end, new) of each match; each new character stands for the whole part."""
-    out, starts, ends, at = [], [], [], 0
+    out, starts, ends, at = [], array("i"), array("i"), 0
     for m in pattern.finditer(w.text):
         for a, b, new in parts(m):
             out.append(w.text[at:a] + new)
-            starts += w.starts[at:a] + [w.starts[a]] * len(new)
-            ends += w.ends[at:a] + [w.ends[b - 1]] * len(new)
+            starts += w.starts[at:a] + array("i", [w.starts[a]]) * len(new)
+            ends += w.ends[at:a] + array("i", [w.ends[b - 1]]) * len(new)
             at = b
     if not at:
         return w
@@ -133,19 +137,29 @@ DIGIT_WORDS = {
     )
     for i, w in enumerate(words.split())
 } | {"oh": "0"}
+# English numbers from ten, and words that repeat the digit after them.
+TEENS = {w: str(i) for i, w in enumerate("ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen".split(), 10)}
+TENS = {w: str(10 * i) for i, w in enumerate("twenty thirty forty fifty sixty seventy eighty ninety".split(), 2)}
+REPEATS = {"double": 2, "triple": 3}
+# Public mail hosts.
+MAIL_HOSTS = frozenset("gmail.com googlemail.com yahoo.com hotmail.com outlook.com live.com icloud.com aol.com gmx.de gmx.net web.de proton.me protonmail.com".split())
 _WORD = "(?:" + "|".join(sorted(DIGIT_WORDS, key=len, reverse=True)) + ")"
-_UNIT = rf"(?:\b{_WORD}\b|[0-9])"
+_UNIT = rf"(?:\b(?:(?:{'|'.join(REPEATS)})[ ])?{_WORD}\b|[0-9])"
+_NUMBER = "(?:" + "|".join(sorted([*DIGIT_WORDS, *TEENS, *TENS], key=len, reverse=True)) + ")"
 _SPELLED = re.compile(rf"(?i)(?:(?:\bplus\b|\+)[ ]?)?{_UNIT}(?:[ ,.()/-]{{0,3}}{_UNIT}){{6,}}")
 _DOT_WORD = r"(?:[ ]?[\[({<][ ]?(?:dot|punkt|punto|point|\.)[ ]?[\])}>][ ]?|[ ]+(?:dot|punkt|punto|point)[ ]+)"
-_OCTET = rf"(?:[0-9]{{1,3}}|\b{_WORD}\b(?:[ ,-]{{1,2}}{_WORD}\b){{0,2}})"
+_OCTET = rf"(?:[0-9]{{1,3}}|\b{_NUMBER}\b(?:[ ,-]{{1,2}}(?:hundred(?:[ ]and)?|{_NUMBER})\b){{0,3}})"
 _SPELLED_IP = re.compile(rf"(?i)(?<![0-9.])({_OCTET})({_DOT_WORD}|\.)({_OCTET})({_DOT_WORD}|\.)({_OCTET})({_DOT_WORD}|\.)({_OCTET})(?![0-9])")
 _DIGIT = re.compile(rf"(?i){_UNIT}")
+_OCTET_PART = re.compile(rf"(?i)[0-9]|\b(?:hundred|{_NUMBER})\b")
 _AT_SHUT = r"[ ]?[\[({<][ ]?(?:at|a|arroba|@)[ ]?[\])}>][ ]?"
 _AT_OPEN = r"[ ]+(?:at|arroba)[ ]+"
 _NAME, _LABEL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}", r"[A-Za-z0-9-]{1,63}"
 _NAME += rf"(?:{_DOT_WORD}[A-Za-z0-9_%+-]{{1,64}}){{0,3}}"
 _SHUT_MAIL = re.compile(rf"(?i)({_NAME})({_AT_SHUT}){_LABEL}((?:(?:\.|{_DOT_WORD}){_LABEL})+)")
 _OPEN_MAIL = re.compile(rf"(?i)({_NAME})({_AT_OPEN}|@)(?!(?:the|a|an|this|that|my|your|our|one|each|every)\b){_LABEL}((?:{_DOT_WORD}{_LABEL})+)")
+_HALF_MAIL = re.compile(rf"(?i)(?<![A-Za-z0-9._%+-])([A-Za-z0-9_%+-]{{1,64}}(?:\.[A-Za-z0-9_%+-]{{1,64}}){{0,5}})({_AT_OPEN})({_LABEL}(?:\.{_LABEL})+)")
+_CUE = re.compile(r"(?i)\b(?:e-?mails?|contact|reach|write to)\b(?:[ ](?:me|us|him|her|them|is|to|at|on|address)){0,3}[ :,]*$").search
 _DOTS = re.compile(rf"(?i){_DOT_WORD}")
 
 
@@ -154,11 +168,27 @@ _CASED = str.maketrans("\u0130\u0131\u017f\u212a", "iisk")
 
 
 def _digit(d: str) -> str:
-    return d if d.isdigit() else DIGIT_WORDS[d.translate(_CASED).lower()]
-
-
-def _digits(text: str) -> str:
-    return "".join(_digit(m[0]) for m in _DIGIT.finditer(text))
+    if d.isdigit():
+        return d
+    *times, word = d.translate(_CASED).lower().split(" ")
+    return DIGIT_WORDS[word] * (REPEATS[times[0]] if times else 1)
+
+
+def _octet(text: str) -> str:
+    """Digits of a number read out digit by digit, in groups (one ninety-two) or in full (one hundred and five)."""
+    out, tens, hundred = "", False, False
+    for m in _OCTET_PART.finditer(text):
+        word = m[0].translate(_CASED).lower()
+        if word == "hundred":
+            tens, hundred = False, True
+            continue
+        new = word if word.isdigit() else TEENS.get(word) or TENS.get(word) or DIGIT_WORDS[word]
+        if tens and len(new) == 1 and new != "0":
+            out = out[:-1] + new
+        else:
+            out += new.zfill(2) if hundred else new
+        tens, hundred = word in TENS, False
+    return out + "00" if hundred else out
 
 
 def _spelled(m: re.Match) -> list[tuple[int, int, str]]:
@@ -175,7 +205,7 @@ def _spelled(m: re.Match) -> list[tuple[int, int, str]]:
 
 
 def _spelled_ip(m: re.Match) -> list[tuple[int, int, str]]:
-    return [(m.start(g), m.end(g), _digits(m[g]) if g % 2 else ".") for g in range(1, 8)]
+    return [(m.start(g), m.end(g), _octet(m[g]) if g % 2 else ".") for g in range(1, 8)]
 
 
 def _mail(m: re.Match) -> list[tuple[int, int, str]]:
@@ -183,10 +213,19 @@ def _mail(m: re.Match) -> list[tuple[int, int, str]]:
     return [*dots[0], (m.start(2), m.end(2), "@"), *dots[1]]
 
 
+def _half_mail(m: re.Match) -> list[tuple[int, int, str]]:
+    if not re.search("[0-9._-]", m[1].strip("._-")):
+        return []
+    host = m[3].lower()
+    cued = m[3].rpartition(".")[2].islower() and _CUE(m.string, max(0, m.start() - 40), m.start())
+    return [(m.start(2), m.end(2), "@")] if cued or host in MAIL_HOSTS else []
+
+
 # Gates: what every match of the transducer's pattern, or every one that it rewrites, must hold.
 _DOT_IN = re.compile(r"(?i)[\[({<][ ]?(?:dot|punkt|punto|point|\.)[ ]?[\])}>]|[ ](?:dot|punkt|punto|point)[ ]").search
 _AT_IN = re.compile(r"(?i)[\[({<][ ]?(?:at|a|arroba|@)[ ]?[\])}>]").search
-_OCTET_IN = re.compile(rf"(?i)\.(?:{_WORD}\b|(?<=[^\W\d_]\.)[0-9])").search
+_OCTET_IN = re.compile(rf"(?i)\.(?:{_NUMBER}\b|(?<=[^\W\d_]\.)[0-9])").search
+_HALF_IN = re.compile(rf"(?i)[ ](?:at|arroba)[ ]+{_LABEL}\.").search
 _DIGIT_WORD = re.compile(rf"(?i)\b{_WORD}\b").finditer
 
 #: Transducers in turn: gate, pattern, parts.
@@ -196,6 +235,7 @@ TRANSDUCERS = (
     (lambda t: len(list(islice(_DIGIT_WORD(t), 3))) == 3, _SPELLED, _spelled),
     (_AT_IN, _SHUT_MAIL, _mail),
     (_DOT_IN, _OPEN_MAIL, _mail),
+    (_HALF_IN, _HALF_MAIL, _half_mail),
 )
 
 
@@ -204,7 +244,7 @@ def deobfuscate(text: str) -> Written | None:
     w = None
     for gate, pattern, parts in TRANSDUCERS:
         if gate(w.text if w else text):
-            w = rewrite(w or Written(text, list(range(len(text))), list(range(1, len(text) + 1))), pattern, parts)
+            w = rewrite(w or Written(text, array("i", range(len(text))), array("i", range(1, len(text) + 1))), pattern, parts)
     return None if w is None or w.text == text else w
 
 
