@@ -23,7 +23,6 @@ import hashlib
 import re
 from array import array
 from collections.abc import Callable, Iterator
-from itertools import islice
 from typing import NamedTuple
 
 import pyarrow as pa
@@ -225,14 +224,25 @@ def _half_mail(m: re.Match) -> list[tuple[int, int, str]]:
 _DOT_IN = re.compile(r"(?i)[\[({<][ ]?(?:dot|punkt|punto|point|\.)[ ]?[\])}>]|[ ](?:dot|punkt|punto|point)[ ]").search
 _AT_IN = re.compile(r"(?i)[\[({<][ ]?(?:at|a|arroba|@)[ ]?[\])}>]").search
 _OCTET_IN = re.compile(rf"(?i)\.(?:{_NUMBER}\b|(?<=[^\W\d_]\.)[0-9])").search
-_HALF_IN = re.compile(rf"(?i)[ ](?:at|arroba)[ ]+{_LABEL}\.").search
-_DIGIT_WORD = re.compile(rf"(?i)\b{_WORD}\b").finditer
+_HALF_IN = re.compile(r"[ ][aA](?:[tT]|[rR]{2}[oO][bB][aA])[ ]+[A-Za-z0-9-]{1,63}\.[A-Za-z0-9-]").search
+_RUNS = re.compile(r"\w+").findall
+
+
+def _three_digit_words(text: str) -> bool:
+    """Whole words only, so each is a run of word characters; no run spans lines."""
+    text, n = text.lower() if text.isascii() else text.translate(_CASED).lower(), 0
+    for line in text.split("\n"):
+        n += sum(map(DIGIT_WORDS.__contains__, _RUNS(line)))
+        if n >= 3:
+            return True
+    return False
+
 
 #: Transducers in turn: gate, pattern, parts.
 TRANSDUCERS = (
     (lambda t: not t.isascii() and _HOMOGLYPH.search(t), _HOMOGLYPH, lambda m: [(m.start(), m.end(), HOMOGLYPHS[m[0]])]),
     (lambda t: _DOT_IN(t) or _OCTET_IN(t), _SPELLED_IP, _spelled_ip),
-    (lambda t: len(list(islice(_DIGIT_WORD(t), 3))) == 3, _SPELLED, _spelled),
+    (_three_digit_words, _SPELLED, _spelled),
     (_AT_IN, _SHUT_MAIL, _mail),
     (_DOT_IN, _OPEN_MAIL, _mail),
     (_HALF_IN, _HALF_MAIL, _half_mail),
