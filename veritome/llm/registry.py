@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from veritome.llm import bpe, exact_dedup, html_extract, lexical_search, mixing, pii, quality_knn, quality_rules, secret_scan, simhash, url_filter
+from veritome.llm import bpe, exact_dedup, html_extract, lexical_search, merkle, mixing, pii, quality_knn, quality_rules, secret_scan, simhash, url_filter
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -22,8 +22,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_exact_dedup": exact_dedup.op9_exact_dedup,
         "op10_url_filter": url_filter.op10_url_filter,
         "op11_lexical_search": lexical_search.op11_lexical_search,
+        "op12_merkle_manifest": merkle.op12_merkle_manifest,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_mix_sources": mixing.ORACLE, "op9_exact_dedup": exact_dedup.ORACLE, "op10_url_filter": url_filter.ORACLE, "op11_lexical_search": lexical_search.ORACLE}
+    return {"op8_mix_sources": mixing.ORACLE, "op9_exact_dedup": exact_dedup.ORACLE, "op10_url_filter": url_filter.ORACLE, "op11_lexical_search": lexical_search.ORACLE, "op12_merkle_manifest": merkle.ORACLE}
