@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from veritome.llm import bpe, exact_dedup, html_extract, lexical_search, merkle, mixing, pii, quality_knn, quality_rules, secret_scan, simhash, url_filter
+from veritome.llm import bpe, exact_dedup, html_extract, language_id, lexical_search, merkle, mixing, pii, quality_knn, quality_rules, secret_scan, simhash, url_filter
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -23,6 +23,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op10_url_filter": url_filter.op10_url_filter,
         "op11_lexical_search": lexical_search.op11_lexical_search,
         "op12_merkle_manifest": merkle.op12_merkle_manifest,
+        "op13_language_id": language_id.op13_language_id,
     }
 
 
