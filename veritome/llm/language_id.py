@@ -31,7 +31,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from veritome.llm.bpe import slices
-from veritome.llm.common import table, whole_texts
+from veritome.llm.common import cut, table, whole_texts
 from veritome.llm.quality_knn import learns
 
 WINDOW, EMBEDDED, WIDTHS, FILTERS = 128, 8, (2, 3, 4, 5), 16
@@ -138,12 +138,16 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     """The network learned from a bounded sample of the rows that ``learned`` allows; None if they teach nothing."""
     rows = docs.select(docs[id_col].alias("_id"), docs[text_col].cast("string").alias("_text"), docs[lang_col].cast("string").alias("_lang"), (F.lit(True) if learned is None else learned).alias("_own"))
     known = rows.filter(F.col("_own") & F.col("_lang").isNotNull() & F.col("_text").rlike(r"\p{L}")).select("_id", "_lang")
-    n = known.agg(F.count_distinct("_lang")).first()[0]
+    counts = cut(known.groupBy("_lang").agg(F.count(F.lit(1)).alias("_rows")))  # a row per language, as many as the network has outputs
+    n = counts.count()
     if not n:
         return None
-    least = W.partitionBy("_lang").orderBy(F.xxhash64("_id"), "_id")
     most = max(1, min(per_language, max_sample // n))
-    picked = known.distinct().withColumn("_rank", F.row_number().over(least)).filter(F.col("_rank") <= most).select(F.col("_id").alias("_picked"), F.col("_lang").alias("_as"))
+    # Only hashes in the lowest share, of twice as many rows as wanted, are ranked, so that no task ranks a language.
+    low = F.shiftrightunsigned(F.xxhash64("_id"), 11) / F.lit(2.0**53)
+    near = known.join(F.broadcast(counts), "_lang").filter(low < (2 * most + 50) / F.col("_rows")).select("_id", "_lang").distinct()
+    least = W.partitionBy("_lang").orderBy(F.xxhash64("_id"), "_id")
+    picked = near.withColumn("_rank", F.row_number().over(least)).filter(F.col("_rank") <= most).select(F.col("_id").alias("_picked"), F.col("_lang").alias("_as"))
     sample = rows.filter("_own").select("_id", "_lang", "_text").join(F.broadcast(picked), F.col("_id").eqNullSafe(F.col("_picked")) & (F.col("_lang") == F.col("_as")), "left_semi")
     sample = sample.filter(F.col("_text").isNotNull()).groupBy("_id", "_lang").agg(F.min("_text").alias("_text"))
 
