@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import hashlib
+import html
 import math
 import random
 import re
@@ -267,9 +268,57 @@ def test_main_text():
     assert html_extract.main_text("", tree) == ""
 
 
-def test_tree_learns_its_table():
+def test_tree_learns_its_layouts_and_tells_others():
+    rows, said = html_extract.labelled()
+    tree = html_extract.Tree(rows, said)
+    assert np.mean([tree(x) == bool(y) for x, y in zip(rows.tolist(), said, strict=True)]) > 0.98
+    assert html_extract.FEATURES[tree.feature] in ("core", "words", "link_density")
+    right = []
+    for i, one in enumerate(html_extract.LAYOUTS):
+        others = html_extract.Tree(*html_extract.labelled(html_extract.LAYOUTS[:i] + html_extract.LAYOUTS[i + 1 :]))
+        rows, said = html_extract.labelled((one,))
+        right += [others(x) == bool(y) for x, y in zip(rows.tolist(), said, strict=True)]
+    assert np.mean(right) > 0.93
+
+
+LONG = "river water rises slowly and towns along its banks in spring " * 4
+
+
+@pytest.mark.parametrize(
+    ("start", "main"),
+    [
+        ('div title="the hidden river"', True), ('div data-id="related"', True), ("div data-x='<b hidden>' class=text", True), ('section id="tags-and-labels"', True), ('section id="share-of-energy"', True),
+        ('div class="related-work"', True), ("div class=notice-of-meeting", True), ("div hidden", False), ('div style="color:red; display : none"', False), ('div class="replies"', False), ('div class="related posts"', False),
+        ('div class="ad"', False), ("div class='col-md-4 adBanner'", False), ("div role=complementary", False), ("article", False), ("aside", False), ("form", False),
+    ],
+)
+def test_parts_of_an_article(start, main):
+    page = f"<html><body><nav><a>Home</a></nav><article><h1>Title of it</h1><p>{LONG}one</p><{start}><p>{LONG}part</p></{start.split()[0]}><p>{LONG}two</p></article></body></html>"
+    want = ["Title of it", f"{LONG}one", *[f"{LONG}part"] * main, f"{LONG}two"]
+    assert html_extract.main_text(page, html_extract.trained_tree()).split("\n\n") == want
+
+
+def test_pages_without_an_article_element():
     tree = html_extract.trained_tree()
-    assert all(tree(x) == bool(y) for x, y in html_extract.LABELLED)
+    assert html_extract.main_text(f"<body><h1>Head line</h1><p>{LONG}.</p><p>{LONG}.</p><p>The end.</p></body>", tree).endswith("The end.")
+    page = f"<body><div><h1>Head line</h1><p>{LONG}.</p><p>{LONG}.</p></div><div><p>Anna: what a great article, thank you!</p></div><div>We share what we learn about you with partners.</div></body>"
+    assert html_extract.main_text(page, tree) == f"Head line\n\n{LONG}.\n\n{LONG}."
+    page = f"<div><p>{LONG}.</p><p>{LONG}.</p><h3>2 comments</h3><p>{LONG}.</p><p>Nice.</p></div>"
+    assert html_extract.main_text(page, tree) == f"{LONG}.\n\n{LONG}."
+
+
+def plain_article(page):
+    """The blocks of the only article of a page of the standard tables, by plain substitutions."""
+    body = page[page.find("<article>") : page.rfind("</article>")] if "</article>" in page else page[page.find("<article>") :]
+    body = re.sub(r"(?s)<(script|style|aside|form|nav)\b.*?</\1>|<!--.*?-->|<div class=.?(?:ad|comments?|share|related)\b.*?</div>|<section[^>]*comment.*?</section>|<footer.*", "", body)
+    parts = re.split(r"</?(?:p|h\d|li|ul|ol|div|article|blockquote|section|table|tr|td|pre|aside|form|header|footer|main)\b[^>]*>", body)
+    plain = (" ".join(html.unescape(re.sub(r"<[^>]+>", "", re.sub(r"<br[^>]*>", " ", x))).split()) for x in parts)
+    return "\n\n".join(filter(None, plain))
+
+
+def test_all_pages_equal_their_articles(spark):
+    rows = html_extract.op4_html_extract(spark, "/root/testdata/sf0.01").join(spark.read.parquet("/root/testdata/sf0.01/pages.parquet").select("page_id", "html"), "page_id").collect()
+    assert [r["page_id"] for r in rows if r["text"] != plain_article(r["html"] or "") or r["n_chars"] != len(r["text"])] == []
 
 
 def test_broken_pages_are_linear():
