@@ -2,10 +2,10 @@
 
 Plain e-mail addresses, IP addresses, card and phone numbers are found in the source.  Then
 three transducers rewrite the text: homoglyphs and invisible characters to plain ASCII;
-spelled digits and, in IP addresses, English numbers to digits; at/dot disguises, where they
-form a whole address, to @ and dots.  A spelled "at" before a domain with plain dots counts only
+spelled digits and, in IP addresses and phone numbers, English numbers to digits; at/dot disguises, where they
+form a whole address, to @ and dots.  Addresses are read outwards from each sign for "at", however long they are.  A spelled "at" before a domain with plain dots counts only
 after a local part with a dot, digit, hyphen or underscore, and only if the domain is a public
-mail host or a word like "mail" or "contact" comes before.
+mail host or a word like "mail" or "contact" comes before; "_at_" only before a spelled dot and a common top-level domain.
 Each character they write remembers the source span it stands for, so identifiers detected in
 the rewritten text map back to exact source offsets.  A span is added if its rewritten form
 differs from its source and no plain span covers it.
@@ -22,7 +22,7 @@ from __future__ import annotations
 import hashlib
 import re
 from array import array
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from typing import NamedTuple
 
 import pyarrow as pa
@@ -99,15 +99,14 @@ class Written(NamedTuple):
     ends: array[int]
 
 
-def rewrite(w: Written, pattern: re.Pattern, parts: Callable[[re.Match], list[tuple[int, int, str]]]) -> Written:
-    """Replace parts (start, end, new) of each match; each new character stands for the whole part."""
+def rewrite(w: Written, parts: Iterable[tuple[int, int, str]]) -> Written:
+    """Replace parts (start, end, new), which are in order; each new character stands for its whole part."""
     out, starts, ends, at = [], array("i"), array("i"), 0
-    for m in pattern.finditer(w.text):
-        for a, b, new in parts(m):
-            out.append(w.text[at:a] + new)
-            starts += w.starts[at:a] + array("i", [w.starts[a]]) * len(new)
-            ends += w.ends[at:a] + array("i", [w.ends[b - 1]]) * len(new)
-            at = b
+    for a, b, new in parts:
+        out.append(w.text[at:a] + new)
+        starts += w.starts[at:a] + array("i", [w.starts[a]]) * len(new)
+        ends += w.ends[at:a] + array("i", [w.ends[b - 1]]) * len(new)
+        at = b
     if not at:
         return w
     return Written("".join(out) + w.text[at:], starts + w.starts[at:], ends + w.ends[at:])
@@ -140,24 +139,27 @@ DIGIT_WORDS = {
 TEENS = {w: str(i) for i, w in enumerate("ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen".split(), 10)}
 TENS = {w: str(10 * i) for i, w in enumerate("twenty thirty forty fifty sixty seventy eighty ninety".split(), 2)}
 REPEATS = {"double": 2, "triple": 3}
+# Common top-level domains.
+TOP_LEVELS = frozenset("com org net edu gov info io co eu de fr es it uk us ch at nl".split())
 # Public mail hosts.
 MAIL_HOSTS = frozenset("gmail.com googlemail.com yahoo.com hotmail.com outlook.com live.com icloud.com aol.com gmx.de gmx.net web.de proton.me protonmail.com".split())
 _WORD = "(?:" + "|".join(sorted(DIGIT_WORDS, key=len, reverse=True)) + ")"
-_UNIT = rf"(?:\b(?:(?:{'|'.join(REPEATS)})[ ])?{_WORD}\b|[0-9])"
 _NUMBER = "(?:" + "|".join(sorted([*DIGIT_WORDS, *TEENS, *TENS], key=len, reverse=True)) + ")"
+_UNIT = rf"(?:\b(?:(?:{'|'.join(REPEATS)})[ ]{_WORD}|{'|'.join(TENS)}|{_NUMBER})\b|[0-9])"
 _SPELLED = re.compile(rf"(?i)(?:(?:\bplus\b|\+)[ ]?)?{_UNIT}(?:[ ,.()/-]{{0,3}}{_UNIT}){{6,}}")
-_DOT_WORD = r"(?:[ ]?[\[({<][ ]?(?:dot|punkt|punto|point|\.)[ ]?[\])}>][ ]?|[ ]+(?:dot|punkt|punto|point)[ ]+)"
+_DOT_WORD = r"(?:[ ]?[\[({<][ ]?(?:dot|punkt|punto|point|\.)[ ]?[\])}>][ ]?|(?<![ ])[ ]++(?:dot|punkt|punto|point)[ ]++|_(?:dot|punkt|punto|point)_)"
 _OCTET = rf"(?:[0-9]{{1,3}}|\b{_NUMBER}\b(?:[ ,-]{{1,2}}(?:hundred(?:[ ]and)?|{_NUMBER})\b){{0,3}})"
-_SPELLED_IP = re.compile(rf"(?i)(?<![0-9.])({_OCTET})({_DOT_WORD}|\.)({_OCTET})({_DOT_WORD}|\.)({_OCTET})({_DOT_WORD}|\.)({_OCTET})(?![0-9])")
+_IP_DOT = rf"({_DOT_WORD}|\.|[ ]\.[ ])"
+_SPELLED_IP = re.compile(rf"(?i)(?<![0-9.])({_OCTET}){_IP_DOT}({_OCTET}){_IP_DOT}({_OCTET}){_IP_DOT}({_OCTET})(?![0-9])")
 _DIGIT = re.compile(rf"(?i){_UNIT}")
 _OCTET_PART = re.compile(rf"(?i)[0-9]|\b(?:hundred|{_NUMBER})\b")
 _AT_SHUT = r"[ ]?[\[({<][ ]?(?:at|a|arroba|@)[ ]?[\])}>][ ]?"
-_AT_OPEN = r"[ ]+(?:at|arroba)[ ]+"
-_NAME, _LABEL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}", r"[A-Za-z0-9-]{1,63}"
-_NAME += rf"(?:{_DOT_WORD}[A-Za-z0-9_%+-]{{1,64}}){{0,3}}"
-_SHUT_MAIL = re.compile(rf"(?i)({_NAME})({_AT_SHUT}){_LABEL}((?:(?:\.|{_DOT_WORD}){_LABEL})+)")
-_OPEN_MAIL = re.compile(rf"(?i)({_NAME})({_AT_OPEN}|@)(?!(?:the|a|an|this|that|my|your|our|one|each|every)\b){_LABEL}((?:{_DOT_WORD}{_LABEL})+)")
-_HALF_MAIL = re.compile(rf"(?i)(?<![A-Za-z0-9._%+-])([A-Za-z0-9_%+-]{{1,64}}(?:\.[A-Za-z0-9_%+-]{{1,64}}){{0,5}})({_AT_OPEN})({_LABEL}(?:\.{_LABEL})+)")
+_AT_OPEN = r"(?<![ ])[ ]++(?:at|arroba)[ ]++"
+_AT = re.compile(rf"(?i)(?P<shut>{_AT_SHUT})|(?P<open>{_AT_OPEN})|(?P<under>_at_)|(?P<sign>@)")
+_LABEL = "[A-Za-z0-9-]++"
+_HOST = re.compile(rf"(?i){_LABEL}(?:(?:\.|{_DOT_WORD}){_LABEL})+")
+_PROSE = re.compile(r"(?i)(?:the|a|an|this|that|my|your|our|one|each|every)\b").match
+_PLAIN_LOCAL = re.compile(r"[A-Za-z0-9_%+-]++(?:\.[A-Za-z0-9_%+-]++)*").fullmatch
 _CUE = re.compile(r"(?i)\b(?:e-?mails?|contact|reach|write to)\b(?:[ ](?:me|us|him|her|them|is|to|at|on|address)){0,3}[ :,]*$").search
 _DOTS = re.compile(rf"(?i){_DOT_WORD}")
 
@@ -191,70 +193,123 @@ def _octet(text: str) -> str:
 
 
 def _spelled(m: re.Match) -> list[tuple[int, int, str]]:
-    words = sum(not x[0].isdigit() for x in _DIGIT.finditer(m[0]))
-    if words < 3:
+    units = [*_DIGIT.finditer(m.string, m.start(), m.end())]
+    if sum(not x[0].isdigit() for x in units) < 3:
         return []
     sign = "+" if m[0][0] == "+" or m[0][:4].lower() == "plus" else ""
-    out, at = [], m.start()
-    for k, d in enumerate(_DIGIT.finditer(m.string, m.start(), m.end())):
-        one = _digit(d[0])
-        out.append((at, d.end(), sign + one if not k else one))
-        at = d.end()
+    out, at, tens = [], m.start(), False
+    for d in units:
+        word = d[0].translate(_CASED).lower()
+        one = TEENS.get(word) or TENS.get(word) or _digit(d[0])
+        if tens and len(one) == 1 and one != "0" and m.string[at : d.start()] in (" ", "-"):
+            start, _, before = out.pop()
+            out.append((start, d.end(), before[:-1] + one))  # twenty seven is 27
+        else:
+            out.append((at, d.end(), sign + one if not out else one))
+        at, tens = d.end(), word in TENS
     return out
 
 
 def _spelled_ip(m: re.Match) -> list[tuple[int, int, str]]:
+    dots = [m[g] for g in (2, 4, 6)]
+    if " . " in dots and set(dots) != {" . "}:
+        return []
     return [(m.start(g), m.end(g), _octet(m[g]) if g % 2 else ".") for g in range(1, 8)]
 
 
-def _mail(m: re.Match) -> list[tuple[int, int, str]]:
-    dots = [[(d.start(), d.end(), ".") for d in _DOTS.finditer(m.string, m.start(g), m.end(g))] for g in (1, 3)]
-    return [*dots[0], (m.start(2), m.end(2), "@"), *dots[1]]
+def _local(text: str, at: int, done: int, dots: dict[int, int]) -> tuple[int, list[tuple[int, int]]]:
+    """Where the local part before ``at`` begins, not before ``done``, and its spelled dots; ``dots`` has the starts of dots by their ends."""
+    begin, own = at, []
+    while True:
+        run = begin
+        while run > done and text[run - 1] in LOCAL:
+            run -= 1
+        if run == begin:  # nothing stands before the last dot
+            return (own.pop()[1], own) if own else (begin, own)
+        start = dots.get(run, -1)
+        if start < done:
+            return run, own
+        own.append((start, run))
+        begin = start
+
+
+def _mails(text: str) -> Iterator[tuple[int, int, str]]:
+    """Parts to replace of each disguised address, read outwards from its "at"."""
+    dots = {m.end(): m.start() for m in _DOTS.finditer(text)}
+    done = 0
+    for m in _AT.finditer(text):
+        host = _HOST.match(text, m.end()) if m.start() >= done else None
+        if not host:
+            continue
+        spelled = [(d.start(), d.end()) for d in _DOTS.finditer(text, m.end(), host.end())]
+        half = m.lastgroup == "open" and not spelled
+        if m.lastgroup != "shut" and not half and (not spelled or _PROSE(text, m.end())):
+            continue
+        if m.lastgroup == "under" and _TOP.search(host[0])[0].lower() not in TOP_LEVELS:
+            continue
+        begin, own = _local(text, m.start(), done, {} if half else dots)
+        if begin == m.start() or (half and not _half_mail(text, begin, m.start(), host[0])):
+            continue
+        yield from ((a, b, ".") for a, b in reversed(own))
+        yield m.start(), m.end(), "@"
+        yield from ((a, b, ".") for a, b in spelled)
+        done = host.end()
+
+
+def _half_mail(text: str, begin: int, end: int, host: str) -> bool:
+    """Whether a spelled "at" between plain dots is one of an address."""
+    local = text[begin:end]
+    if not _PLAIN_LOCAL(local) or not re.search("[0-9._-]", local.strip("._-")):
+        return False
+    return host.lower() in MAIL_HOSTS or bool(host.rpartition(".")[2].islower() and _CUE(text, max(0, begin - 40), begin))
 
 
-def _half_mail(m: re.Match) -> list[tuple[int, int, str]]:
-    if not re.search("[0-9._-]", m[1].strip("._-")):
-        return []
-    host = m[3].lower()
-    cued = m[3].rpartition(".")[2].islower() and _CUE(m.string, max(0, m.start() - 40), m.start())
-    return [(m.start(2), m.end(2), "@")] if cued or host in MAIL_HOSTS else []
+_TOP = re.compile("[A-Za-z0-9-]+$")
 
 
 # Gates: what every match of the transducer's pattern, or every one that it rewrites, must hold.
 _DOT_IN = re.compile(r"(?i)[\[({<][ ]?(?:dot|punkt|punto|point|\.)[ ]?[\])}>]|[ ](?:dot|punkt|punto|point)[ ]").search
 _AT_IN = re.compile(r"(?i)[\[({<][ ]?(?:at|a|arroba|@)[ ]?[\])}>]").search
 _OCTET_IN = re.compile(rf"(?i)\.(?:{_NUMBER}\b|(?<=[^\W\d_]\.)[0-9])").search
-_HALF_IN = re.compile(r"[ ][aA](?:[tT]|[rR]{2}[oO][bB][aA])[ ]+[A-Za-z0-9-]{1,63}\.[A-Za-z0-9-]").search
+_HALF_IN = re.compile(r"(?i)[ ](?:at|arroba)[ ]+[A-Za-z0-9-]++\.[A-Za-z0-9-]").search
+_UNDER_IN = re.compile(r"(?i)_at_[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)*_(?:dot|punkt|punto|point)_").search
+_SPACED_IN = re.compile(r"[0-9] \. [0-9]").search
 _RUNS = re.compile(r"\w+").findall
 
 
+_NUMBERS = DIGIT_WORDS.keys() | TEENS.keys() | TENS.keys()
+
+
 def _three_digit_words(text: str) -> bool:
     """Whole words only, so each is a run of word characters; no run spans lines."""
     text, n = text.lower() if text.isascii() else text.translate(_CASED).lower(), 0
     for line in text.split("\n"):
-        n += sum(map(DIGIT_WORDS.__contains__, _RUNS(line)))
+        n += sum(map(_NUMBERS.__contains__, _RUNS(line)))
         if n >= 3:
             return True
     return False
 
 
-#: Transducers in turn: gate, pattern, parts.
+def _each(pattern: re.Pattern, parts: Callable[[re.Match], list[tuple[int, int, str]]]) -> Callable[[str], Iterator[tuple[int, int, str]]]:
+    return lambda text: (part for m in pattern.finditer(text) for part in parts(m))
+
+
+#: Transducers in turn: gate, and the parts of a text that they replace.
 TRANSDUCERS = (
-    (lambda t: not t.isascii() and _HOMOGLYPH.search(t), _HOMOGLYPH, lambda m: [(m.start(), m.end(), HOMOGLYPHS[m[0]])]),
-    (lambda t: _DOT_IN(t) or _OCTET_IN(t), _SPELLED_IP, _spelled_ip),
-    (_three_digit_words, _SPELLED, _spelled),
-    (_AT_IN, _SHUT_MAIL, _mail),
-    (_DOT_IN, _OPEN_MAIL, _mail),
-    (_HALF_IN, _HALF_MAIL, _half_mail),
+    (lambda t: not t.isascii() and _HOMOGLYPH.search(t), _each(_HOMOGLYPH, lambda m: [(m.start(), m.end(), HOMOGLYPHS[m[0]])])),
+    (lambda t: _DOT_IN(t) or _OCTET_IN(t) or _SPACED_IN(t), _each(_SPELLED_IP, _spelled_ip)),
+    (_three_digit_words, _each(_SPELLED, _spelled)),
+    (lambda t: _AT_IN(t) or _DOT_IN(t) or _HALF_IN(t) or _UNDER_IN(t), _mails),
 )
 
 
 def deobfuscate(text: str) -> Written | None:
     """The text as rewritten by all transducers, each gated by what those before it wrote; None if they leave it as it is."""
     w = None
-    for gate, pattern, parts in TRANSDUCERS:
-        if gate(w.text if w else text):
-            w = rewrite(w or Written(text, array("i", range(len(text))), array("i", range(1, len(text) + 1))), pattern, parts)
+    for gate, parts in TRANSDUCERS:
+        now = w.text if w else text
+        if gate(now):
+            w = rewrite(w or Written(text, array("i", range(len(text))), array("i", range(1, len(text) + 1))), parts(now))
     return None if w is None or w.text == text else w
 
 

@@ -65,7 +65,7 @@ class Features:
             if c != last:
                 shape.append(c)
                 last = c
-        return crc32(w.lower()) % WORDS + WORDS * (crc32(bytes(shape[:24])) % SHAPES)
+        return crc32(w.lower()) % WORDS + WORDS * (crc32(bytes(shape)) % SHAPES)
 
     def rows(self, texts: list[str]) -> np.ndarray:
         out = np.zeros((len(texts), DIMS), np.float32)

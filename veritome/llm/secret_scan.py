@@ -198,16 +198,21 @@ def _line(counts: Mapping[int, int]) -> int:
 
 
 def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, base, spans): arrays of (start, rank, end, text), by start, then kind; rank indexes KINDS."""
+    """(id, base, spans): arrays of (start, rank, end), by start, then kind; rank indexes KINDS.
+
+    What is found isn't written anywhere: the checkpoint holds places, lengths and p-values.
+    """
     rows = docs.select(docs[id_col].alias("_id"), F.coalesce(docs[text_col].cast("string"), F.lit("")).alias("_t"))
     t = F.col("_t")
     known = rows.select("_id", F.array_sort(F.concat(spans(t, ASSIGN, 0, 2, MIN_ASSIGNED), spans(t, ACCESS, 1), spans(t, HEX, 2))).alias("base"), spans(t, CANDIDATE, 3).alias("candidates"))
     apart = F.filter("candidates", lambda c: ~F.exists("base", lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"])))
-    tested = cut(known.select("_id", "base", F.transform(apart, _battery).alias("tested")))
-    each = tested.select(F.explode("tested").alias("c")).select("c.p", F.length("c.span.text").cast("double").alias("length"))
+    place = lambda s: F.struct(s["start"].alias("start"), s["rank"].alias("rank"), s["end"].alias("end"))
+    outcome = lambda c: F.struct(place(c["span"]).alias("span"), F.length(c["span"]["text"]).cast("double").alias("length"), c["p"].alias("p"))
+    tested = cut(known.select("_id", F.transform("base", place).alias("base"), F.transform(F.transform(apart, _battery), outcome).alias("tested")))
+    each = tested.select(F.explode("tested").alias("c")).select("c.p", "c.length")
     mean = each.agg(F.avg("length")).first()[0] or 1.0
     line = _line({r["b"]: r["n"] for r in each.groupBy(_bin(F.col("p"), F.col("length"), mean).alias("b")).agg(F.count(F.lit(1)).alias("n")).collect()})
-    random = F.transform(F.filter("tested", lambda c: _bin(c["p"], F.length(c["span"]["text"]).cast("double"), mean) >= line), lambda c: c["span"])
+    random = F.transform(F.filter("tested", lambda c: _bin(c["p"], c["length"], mean) >= line), lambda c: c["span"])
     return tested.select(F.col("_id").alias(id_col), "base", F.array_sort(F.concat("base", random)).alias("spans"))
 
 
