@@ -1,14 +1,14 @@
 """Edit similarity: ratio of the longest common subsequence, whole and in the best window.
 
-The subsequence length is bit-parallel: one big integer holds a column of the dynamic
-programme, so a step costs a few machine words.  The best window is found exactly: the same
-programme runs over all windows side by side in one integer, less blocks of them that a cutoff
-rules out by their common bags of characters.
+The subsequence length is bit-parallel, and all windows asked for are worked out side by side
+in one integer.  With a cutoff only candidate windows are asked for: the needle is cut into more pieces than
+a window at the cutoff can have edits, so that some must stand in it whole, and near the same diagonal;
+an index of the pieces' positions, counted by diagonal, leaves the others out and loses none.
 """
 
 from __future__ import annotations
 
-from collections import Counter
+from collections.abc import Iterator
 from typing import NamedTuple
 
 import numpy as np
@@ -53,10 +53,22 @@ class Window(NamedTuple):
 
 
 NONE = Window(0.0, 0, 0)
+
+
+class Text:
+    """A text, its characters' codes and how many windows were compared in it."""
+
+    def __init__(self, text: str) -> None:
+        self.text = text
+        self.codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+        self.compared = 0
+
+    def __len__(self) -> int:
+        return len(self.text)
+
+
 #: Windows computed at once, so that a big integer stays in the processor's cache.
 BLOCK = 4096
-#: Common bags seldom rule out a window below this cutoff.
-BAGS = 0.7
 
 
 def _common_of_windows(needle: str, text: str, first: int, stop: int) -> np.ndarray:
@@ -81,39 +93,75 @@ def _common_of_windows(needle: str, text: str, first: int, stop: int) -> np.ndar
     return m - np.bitwise_count(left).sum(axis=1, dtype=np.int64)
 
 
-def best_window(needle: str, text: str, cutoff: float = 0.0) -> Window:
+def _pieces(m: int, edits: int) -> tuple[int, int]:
+    """(length of a piece, how many must stand in a window whole): the longest of which enough must."""
+    options = [(q, m // q - edits) for q in (6, 5, 4, 3, 2, 1)]
+    return next((o for o in options if o[1] >= max(3, m // 10)), max(options, key=lambda o: o[1]))
+
+
+def candidates(needle: str, text: Text, cutoff: float) -> np.ndarray:
+    """Places of all windows that may have a ratio of ``cutoff`` or more, ascending."""
+    m, n = len(needle), len(text)
+    edits = int(2 * m * (1 - cutoff) + 1e-9)
+    q, least = _pieces(m, edits)
+    if least <= 0:
+        return np.arange(1 - m, n)
+    if n < q:
+        return np.arange(0)
+    prime = np.uint64(0x9E3779B97F4A7C15)
+
+    def grams(codes: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(codes) - q + 1, np.uint64)
+        for k in range(q):
+            out = out * prime + codes[k : len(codes) - q + 1 + k]
+        return out * prime
+
+    # Equal grams of two places of the needle count for both; unequal ones that collide only add candidates.
+    own = grams(np.frombuffer(needle.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64))[::q]
+    theirs = grams(text.codes.astype(np.uint64))
+    shift = np.uint64(48)
+    listed = np.zeros(1 << 16, bool)
+    listed[own >> shift] = True
+    at = np.flatnonzero(listed[theirs >> shift])
+    order = np.argsort(own, kind="stable")
+    low, high = (np.searchsorted(own[order], theirs[at], side) for side in ("left", "right"))
+    each = high - low
+    piece = order[np.repeat(low - np.cumsum(each) + each, each) + np.arange(each.sum())]
+    diagonal = np.sort(np.repeat(at, each) - piece * q)
+    if len(diagonal) < least:
+        return np.arange(0)
+    dense = diagonal[least - 1 :] - diagonal[: len(diagonal) - least + 1] <= 2 * edits
+    first, last = diagonal[least - 1 :][dense] - edits, diagonal[: len(diagonal) - least + 1][dense] + edits
+    # A window that reaches out at the front starts at 0, and is short by as many characters, each an edit.
+    first = np.where(first <= 0, np.maximum(1 - m, -edits), first)
+    marks = np.zeros(n + m, np.int64)
+    inside = (last >= first) & (first < n)
+    np.add.at(marks, first[inside] + m - 1, 1)
+    np.add.at(marks, np.minimum(last[inside], n - 1) + m, -1)
+    return np.flatnonzero(np.cumsum(marks[:-1]) > 0) + 1 - m
+
+
+def best_window(needle: str, text: str | Text, cutoff: float = 0.0) -> Window:
     """Best ratio of ``needle`` with a window of ``text`` no longer than it; of equals the first.
 
     Windows are as long as the needle, or shorter at either end of the text.  If no window
-    reaches ``cutoff``, the result has score 0: bounds from common bags of characters settle that early.
+    reaches ``cutoff``, the result has score 0.
     """
+    text = text if isinstance(text, Text) else Text(text)
     m, n = len(needle), len(text)
     if not m or not n:
         return Window(1.0 if m == n else 0.0, 0, 0)
-    if (at := text.find(needle)) >= 0:
+    if (at := text.text.find(needle)) >= 0:
         return Window(1.0, at, at + m)
-    own = Counter(needle)
-    if cutoff:
-        shared = sum((own & Counter(text)).values())
-        if 2.0 * shared < cutoff * (m + shared):
-            return NONE
-    # Windows that reach out of the text at its front or back are the shorter ones.
-    places = np.arange(1 - m, n)
+    places = candidates(needle, text, cutoff) if cutoff else np.arange(1 - m, n)
+    if not len(places):
+        return NONE
+    common = np.empty(len(places), np.int64)
+    for first, stop in _runs(places):
+        common[first:stop] = _common_of_windows(needle, text.text, int(places[first]), int(places[stop - 1]) + 1)
+    text.compared += len(places)
     starts, ends = np.maximum(places, 0), np.minimum(places + m, n)
-    scores = np.full(len(places), -1.0)
-    able = np.ones(len(places), bool)
-    if cutoff > BAGS:
-        codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
-        bag = np.zeros(len(places), np.int64)
-        for c, count in own.items():
-            sums = np.concatenate(([0], np.cumsum(codes == ord(c))))
-            bag += np.minimum(sums[ends] - sums[starts], count)
-        able = 2.0 * bag >= cutoff * (m + ends - starts)
-    for i in range(0, len(places), BLOCK):
-        some = np.flatnonzero(able[i : i + BLOCK])
-        if len(some):
-            a, b = i + int(some[0]), i + int(some[-1]) + 1
-            scores[a:b] = 2.0 * _common_of_windows(needle, text, int(places[a]), int(places[a]) + b - a) / (m + ends[a:b] - starts[a:b])
+    scores = 2.0 * common / (m + ends - starts)
     best = scores.max()
     if best < cutoff:
         return NONE
@@ -122,6 +170,13 @@ def best_window(needle: str, text: str, cutoff: float = 0.0) -> Window:
     return Window(float(best), int(starts[i]), int(ends[i]))
 
 
+def _runs(places: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Runs of consecutive places, of ``BLOCK`` at most."""
+    edges = np.flatnonzero(np.diff(places) > 1) + 1
+    for first, stop in zip([0, *edges.tolist()], [*edges.tolist(), len(places)], strict=True):
+        yield from ((i, min(i + BLOCK, stop)) for i in range(first, stop, BLOCK))
+
+
 def partial_ratio(a: str, b: str, cutoff: float = 0.0) -> float:
     """Best window of the longer string for the shorter one; 0 if below ``cutoff``."""
     if len(a) == len(b):

@@ -63,15 +63,16 @@ RULE_V1, RULE_V2 = Rule(strict=True), Rule()
 
 
 def evidence(
-    primary: DataFrame, repetition: DataFrame | None = None, other_input: DataFrame | None = None, *, rule: Rule = RULE_V2, examples: Sequence[Example] = EXAMPLES, markers: Sequence[leak.Marker] = leak.MARKERS
+    primary: DataFrame, repetition: DataFrame | None = None, other_input: DataFrame | None = None, *, rule: Rule = RULE_V2, examples: Sequence[Example] = EXAMPLES, markers: Sequence[leak.Marker] = leak.MARKERS, scores: bool = True
 ) -> DataFrame:
     """One row per primary record with everything the rule looks at, joined on the document.
 
+    Without ``scores`` the scores of quotes that weren't found are null, which no level depends on.
     Checks read the texts where they are; the joins carry cards and findings, never texts.
     """
     keys = ["run_id", "doc"]
     base = one_per_doc(primary.drop(*TEXTS), "primary")
-    out = base.join(check_fidelity(primary, rule.fidelity), keys, "left").join(check_limitation(primary).select(*keys, F.col("verdict").alias("limitation_verdict"), "supported"), keys, "left")
+    out = base.join(check_fidelity(primary, rule.fidelity, scores=scores), keys, "left").join(check_limitation(primary).select(*keys, F.col("verdict").alias("limitation_verdict"), "supported"), keys, "left")
     found = leak.leaks(primary, examples, markers, rule.leakage_threshold)
     place = F.array_position(F.array(*map(F.lit, TEXT_FIELDS)), F.col("field"))
     copies = found.filter("method <> 'termo_do_exemplo'").groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(place.alias("at"), "field", "similarity"))).alias("copies"))
@@ -105,8 +106,9 @@ def assign(rows: DataFrame, rule: Rule = RULE_V2) -> DataFrame:
             quoted = lambda c: F.array_join(F.transform(c["terms"], lambda t: F.concat(F.lit("'"), t, F.lit("'"))), ", ")
             many = lambda c, s: F.when(F.size(c["terms"]) > 1, s + "s").otherwise(s)
             checks.append(F.transform(terms, lambda c: say(LOW, F.concat(F.lit("campo "), c["field"], F.lit(" contém "), quoted(c), F.lit(", "), many(c, "termo"), F.lit(" do exemplo few-shot "), many(c, "ausente"), F.lit(" do texto enviado")))))
-    found = (F.col("method") != "none") & (F.col("score") >= rule.fidelity)
-    checks.append(one(~found, LOW, F.concat(F.lit("trecho não encontrado no texto enviado (score "), fixed(F.col("score")), F.lit(f" < {rule.fidelity:.2f}): possível trecho inventado"))))
+    found = (F.col("method") != "none") & F.coalesce(F.col("score") >= rule.fidelity, F.lit(False))
+    below = F.coalesce(F.concat(F.lit(" (score "), F.nullif(fixed(F.col("score")), F.lit("null")), F.lit(f" < {rule.fidelity:.2f})")), F.lit(""))
+    checks.append(one(~found, LOW, F.concat(F.lit("trecho não encontrado no texto enviado"), below, F.lit(": possível trecho inventado"))))
     if rule.page_ok:
         where = F.coalesce(F.concat(F.lit("p. "), F.col("page_found").cast("string")), F.lit("página indeterminada"))
         checks.append(one(found & ~F.col("page_ok"), LOW, F.concat(F.lit("página errada: declarada p. "), F.col("page_claimed").cast("string"), F.lit(", trecho localizado em "), where)))

@@ -23,10 +23,11 @@ LIMITATION_WORDS = (
 )
 
 
-def locate(quote: str, context: str, claimed: int | None, threshold: float) -> tuple[float, str, int | None]:
+def locate(quote: str, context: str, claimed: int | None, threshold: float, scores: bool = True) -> tuple[float | None, str, int | None]:
     """(score, method, page) of a quote in a rendered context.
 
-    A page that holds the quote well enough is right even if another holds it first.
+    A page that holds the quote well enough is right even if another holds it first.  Without
+    ``scores`` only windows that may reach the threshold are compared, and a lower score is None.
     """
     needle, parts = match_form(quote), [(page, match_form(text)) for page, text in blocks(context)]
     joined = " ".join(text for _, text in parts)
@@ -45,45 +46,44 @@ def locate(quote: str, context: str, claimed: int | None, threshold: float) -> t
     elif not joined:
         score, method, page = 0.0, "fuzzy", None
     elif len(needle) <= len(joined):
-        score, start, _ = best_window(needle, joined)
+        score, start, _ = best_window(needle, joined, 0.0 if scores else threshold)
         method, page = "fuzzy", page_at(start)
     else:
-        score, method, page = partial_ratio(needle, joined), "fuzzy", None
+        score, method, page = partial_ratio(needle, joined, 0.0 if scores else threshold), "fuzzy", None
     if score < threshold:
-        return score, method, None
+        return score if scores else None, method, None
     on_claimed = any(needle in text or partial_ratio(needle, text, threshold) >= threshold for p, text in parts if p == claimed)
     return score, method, claimed if on_claimed else page
 
 
-def check_fidelity(records: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+def check_fidelity(records: DataFrame, threshold: float = THRESHOLD, *, scores: bool = True) -> DataFrame:
     """(run_id, doc, found, score, method, page_claimed, page_found, page_ok) of every record.
 
     Records without a card have method ``none``.  Quotes that a plain substring test finds in a
-    block of the claimed page are settled natively; only the rest goes to the fuzzy search.
+    block of the claimed page are settled natively, and the contexts of only the others go to the fuzzy
+    search.  Without ``scores`` those below the threshold are null, which spares the search through
+    all windows of a text that doesn't hold its quote.
     """
     quote, claimed = F.col("card.evidence.quote"), F.col("card.evidence.page")
     base = records.select("run_id", "doc", quote.alias("_quote"), claimed.cast("int").alias("page_claimed"), F.col("context_text").alias("_context"))
     on_page = F.exists(block_array(F.col("_context")), lambda b: (b["page"] == F.col("page_claimed")) & F.contains(b["text"], F.trim("_quote")))
-    settled = F.col("_quote").isNull() | (F.col("_quote").isNotNull() & (F.trim("_quote") != "") & F.coalesce(on_page, F.lit(False)))
-    marked = base.withColumn("_settled", settled)
-    sure = marked.filter("_settled").select(
-        "run_id", "doc", "page_claimed",
-        F.when(F.col("_quote").isNull(), 0.0).otherwise(1.0).alias("score"),
-        F.when(F.col("_quote").isNull(), "none").otherwise("exact").alias("method"),
-        F.when(F.col("_quote").isNotNull(), F.col("page_claimed")).alias("page_found"),
-    )
+    open_ = F.col("_quote").isNotNull() & ((F.trim("_quote") == "") | ~F.coalesce(on_page, F.lit(False)))
+    # The context is read and split once; one condition tells what of it is sent on.
+    sent = F.when(open_, F.struct(F.col("_quote").alias("quote"), F.coalesce("_context", F.lit("")).alias("context")))
+    rows = base.select("run_id", "doc", "page_claimed", F.col("_quote").isNull().alias("_none"), sent.alias("_sent"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found = [locate(q, c or "", p, threshold) for p, q, c in zip(*(b.column(i).to_pylist() for i in (2, 3, 4)), strict=True)]
+            found = [
+                locate(x["quote"], x["context"], page, threshold, scores) if x else (0.0, "none", None) if none else (1.0, "exact", page)
+                for page, none, x in zip(*(b.column(i).to_pylist() for i in (2, 3, 4)), strict=True)
+            ]
             made = [pa.array([f[k] for f in found], kind) for k, kind in enumerate((pa.float64(), pa.string(), pa.int32()))]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), *made], ["run_id", "doc", "page_claimed", "score", "method", "page_found"])
 
-    open_ = marked.filter("not _settled").select("run_id", "doc", "page_claimed", "_quote", "_context")
-    searched = open_.mapInArrow(run, "run_id string, doc string, page_claimed int, score double, method string, page_found int")
-    both = sure.unionByName(searched)
-    found = (F.col("method") != "none") & (F.col("score") >= threshold)
-    return both.select(
+    searched = rows.mapInArrow(run, "run_id string, doc string, page_claimed int, score double, method string, page_found int")
+    found = (F.col("method") != "none") & F.coalesce(F.col("score") >= threshold, F.lit(False))
+    return searched.select(
         "run_id", "doc", found.alias("found"), F.round("score", 4).alias("score"), "method", "page_claimed", "page_found",
         (found & F.coalesce(F.col("page_found") == F.col("page_claimed"), F.lit(False))).alias("page_ok"),
     )

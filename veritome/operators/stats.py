@@ -51,7 +51,7 @@ def audited(records: DataFrame, *, gold: DataFrame | None = None, fidelity: Data
     limitation vocabulary of the text sent decides.
     """
     keys = ["run_id", "doc"]
-    checked = (fidelity if fidelity is not None else check_fidelity(records)).select(*keys, "found", "page_ok")
+    checked = (fidelity if fidelity is not None else check_fidelity(records, scores=False)).select(*keys, "found", "page_ok")
     hit = (leaked if leaked is not None else leaks(records)).select(*keys).distinct().withColumn("leak", F.lit(True))
     out = records.drop(*TEXTS).join(checked, keys, "left").join(hit, keys, "left")
     if gold is None:

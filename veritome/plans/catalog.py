@@ -143,13 +143,13 @@ def thin_documents(spark, sf):
 # ---------------------------------------------------------------- chunks, spans, selection
 @query("fixed_chunks", "SELECT doc, 1 AS page, k::INT AS chunk, (k * 400)::INT AS start, least(k * 400 + 500, length(text))::INT AS \"end\", substr(text, (k * 400 + 1)::BIGINT, 500) AS text FROM (SELECT 'd' || doc_id AS doc, text, unnest(range(0, greatest(0, ceil((length(text) - 500) / 400.0))::BIGINT + 1)) AS k FROM documents WHERE length(text) > 0)")
 def fixed_chunks(spark, sf):
-    one = documents(spark, sf).select("doc", F.lit(1).alias("page"), "text")
+    one = documents(spark, sf, heavy=True).select("doc", F.lit(1).alias("page"), "text")
     return chunking.hard_chunks(one, 500, 100)
 
 
 @query("natural_chunks")
 def natural_chunks(spark, sf):
-    one = documents(spark, sf).select("doc", F.lit(1).alias("page"), "text")
+    one = documents(spark, sf, heavy=True).select("doc", F.lit(1).alias("page"), "text")
     return chunking.chunk_pages(one, 1200, 200)
 
 
@@ -188,19 +188,19 @@ def keyword_selection(spark, sf):
 
 @query("semantic_selection")
 def semantic_selection(spark, sf):
-    one = documents(spark, sf).select("doc", F.lit(1).alias("page"), "text")
+    one = documents(spark, sf, heavy=True).select("doc", F.lit(1).alias("page"), "text")
     return selection.select_contexts(one, selection.Semantic(max_chars=2400))
 
 
 @query("hybrid_selection")
 def hybrid_selection(spark, sf):
-    one = documents(spark, sf).select("doc", F.lit(1).alias("page"), "text")
+    one = documents(spark, sf, heavy=True).select("doc", F.lit(1).alias("page"), "text")
     return selection.select_contexts(one, selection.Hybrid(max_chars=2400, cues=CUES, strong_cues=STRONG))
 
 
 @query("hashing_vectors")
 def hashing_vectors(spark, sf):
-    return embedding.embed_column(documents(spark, sf).select("doc_id", F.col("text"))).select("doc_id", "vector")
+    return embedding.embed_column(documents(spark, sf, heavy=True).select("doc_id", F.col("text"))).select("doc_id", "vector")
 
 
 TOPK_SQL = """WITH q AS (SELECT vec_id AS query, embedding AS q FROM embeddings WHERE vec_id % 100 = 0),
@@ -273,7 +273,7 @@ def recall_table(spark, sf):
 
 @query("budget_curve")
 def budget_curve(spark, sf):
-    one = documents(spark, sf).select("doc", F.lit(1).alias("page"), "text")
+    one = documents(spark, sf, heavy=True).select("doc", F.lit(1).alias("page"), "text")
     return overview.budget_curve(one, selection.Hybrid(cues=CUES, strong_cues=STRONG), (600, 1200, None), CUES)
 
 
@@ -391,7 +391,7 @@ FID = f"WITH {records_sql('a')}, {fidelity_sql('a')}"
 
 @query("fidelity", f"{FID} SELECT run_id, doc, found, method, page_claimed, page_found, found AND page_found = page_claimed AS page_ok FROM fid_a".replace("found AND page_found = page_claimed", "coalesce(found AND page_found = page_claimed, false)"))
 def check_fidelity(spark, sf):
-    return fidelity.check_fidelity(records(spark, sf, "a")).drop("score")
+    return fidelity.check_fidelity(records(spark, sf, "a"), scores=False).drop("score")
 
 
 @query("fidelity_scores")
@@ -404,12 +404,12 @@ def fidelity_scores(spark, sf):
     f"{FID}, ok AS (SELECT *, coalesce(found AND page_found = page_claimed, false) AS page_ok FROM fid_a) SELECT run_id, count(*) AS n, count(*) FILTER (WHERE found) AS n_found, count(*) FILTER (WHERE found) / count(*)::DOUBLE AS rate_found, count(*) FILTER (WHERE page_ok) AS n_page_ok, count(*) FILTER (WHERE page_ok) / count(*)::DOUBLE AS rate_page_ok, count(*) FILTER (WHERE method = 'exact') AS n_exact, count(*) FILTER (WHERE method = 'fuzzy') AS n_fuzzy, count(*) FILTER (WHERE method = 'none') AS n_none FROM ok GROUP BY run_id",
 )
 def fidelity_summary(spark, sf):
-    return fidelity.fidelity_summary(fidelity.check_fidelity(records(spark, sf, "a")), "run_id")
+    return fidelity.fidelity_summary(fidelity.check_fidelity(records(spark, sf, "a"), scores=False), "run_id")
 
 
 @query("quotes_not_found", f"{FID} SELECT doc, method FROM fid_a WHERE NOT found")
 def quotes_not_found(spark, sf):
-    return fidelity.check_fidelity(records(spark, sf, "a")).filter("not found").select("doc", "method")
+    return fidelity.check_fidelity(records(spark, sf, "a"), scores=False).filter("not found").select("doc", "method")
 
 
 @query("match_forms", f"WITH {records_sql('a')} SELECT doc, {form_sql('problem')} AS form FROM rec_a WHERE NOT failed")
@@ -575,9 +575,9 @@ def compare_temperatures(spark, sf):
 
 
 # ---------------------------------------------------------------- confidence
-def _assigned(spark, sf, rule=confidence.RULE_V2):
+def _assigned(spark, sf, rule=confidence.RULE_V2, *, scores=False):
     a, b = records(spark, sf, "a"), records(spark, sf, "b")
-    return confidence.assign(confidence.evidence(a, b, b, rule=rule, markers=(MARKER,)), rule)
+    return confidence.assign(confidence.evidence(a, b, b, rule=rule, markers=(MARKER,), scores=scores), rule)
 
 
 _CAPS = r"""(SELECT r.doc, CASE WHEN r.failed THEN 0 ELSE least(
@@ -600,7 +600,7 @@ def confidence_levels(spark, sf):
 
 @query("confidence_reasons")
 def confidence_reasons(spark, sf):
-    return _assigned(spark, sf).select("doc", F.array_join("reasons", "; ").alias("reasons"))
+    return _assigned(spark, sf, scores=True).select("doc", F.array_join("reasons", "; ").alias("reasons"))
 
 
 @query("confidence_distribution", CONF_SQL.replace("{input}", "ch.c") + " SELECT l.c AS confidence, count(conf.doc) AS n FROM (VALUES ('baixa'), ('media'), ('alta')) l(c) LEFT JOIN conf ON conf.confidence = l.c GROUP BY l.c")
@@ -621,7 +621,7 @@ def confidence_strict(spark, sf):
 @query("confidence_by_rule", CONF_SQL.replace("{input}", "ch.c") + ", caps_1 AS " + _CAPS.replace("{input}", "ch.n") + " SELECT conf.doc, ['baixa', 'media', 'alta'][caps_1.cap + 1] AS v1, confidence AS v2 FROM conf JOIN caps_1 USING (doc)")
 def confidence_by_rule(spark, sf):
     a, b = records(spark, sf, "a"), records(spark, sf, "b")
-    return confidence.by_rule(a, b, b, {"v1": confidence.RULE_V1, "v2": confidence.RULE_V2}, markers=(MARKER,))
+    return confidence.by_rule(a, b, b, {"v1": confidence.RULE_V1, "v2": confidence.RULE_V2}, markers=(MARKER,), scores=False)
 
 
 @query("final_table", CONF_SQL.replace("{input}", "ch.c") + f" SELECT r.doc, coalesce(problem, '{confidence.FAILED_TEXT}') AS problem, coalesce(data, '{confidence.FAILED_TEXT}') AS data, limitation, page::BIGINT AS page, confidence, run_id AS audit_run_id FROM rec_a r JOIN conf USING (doc)")

@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from veritome.shipping import spread
+
 NOWHERE = "this quotation does not occur in any of the texts"
 
 
@@ -15,19 +17,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").withColumn("doc", F.concat(F.lit("d"), F.col("doc_id").cast("string")))
+def documents(spark: SparkSession, sf_dir: str, *, heavy: bool = False) -> DataFrame:
+    """(all columns, doc); ``heavy`` work on the texts is dealt out to all cores."""
+    d = table(spark, sf_dir, "documents")
+    return (spread(d) if heavy else d).withColumn("doc", F.concat(F.lit("d"), F.col("doc_id").cast("string")))
 
 
 def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc, page, text): the lines of a document as its pages."""
-    lines = documents(spark, sf_dir).select("doc", F.posexplode(F.split("text", "\n", -1)).alias("at", "text"))
+    lines = documents(spark, sf_dir, heavy=True).select("doc", F.posexplode(F.split("text", "\n", -1)).alias("at", "text"))
     return lines.select("doc", (F.col("at") + 1).alias("page"), "text")
 
 
 def source_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc, page, text): the documents of a source as the pages of one document."""
-    return table(spark, sf_dir, "documents").select(F.col("source").alias("doc"), F.col("doc_id").cast("int").alias("page"), "text")
+    return documents(spark, sf_dir, heavy=True).select(F.col("source").alias("doc"), F.col("doc_id").cast("int").alias("page"), "text")
 
 
 def _strip(c: Column) -> Column:
@@ -48,7 +52,7 @@ def records(spark: SparkSession, sf_dir: str, run: str, *, gaps: bool = False) -
     occurs nowhere.
     """
     a, i = run == "a", F.col("doc_id")
-    d = documents(spark, sf_dir)
+    d = documents(spark, sf_dir, heavy=True)
     if gaps:
         d = d.filter(~i.isin(*GAPS[run]))
     d = d.withColumn("text", F.coalesce("text", F.lit("")))

@@ -5,7 +5,7 @@ from __future__ import annotations
 import os
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 ROOT = str(Path(__file__).resolve().parents[1])
 
@@ -35,3 +35,13 @@ def settle(spark: SparkSession) -> SparkSession:
     if not spark.sparkContext.getConf().contains(_BATCH):
         spark.conf.set(_BATCH, BATCH_BYTES)
     return reach_workers(spark)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """``df``, a table as it is read, dealt out anew if it has fewer splits than the cluster has cores.
+
+    A small table in one row group would else be one task's work.  A table worth a cluster has
+    more splits than cores and stays where it is.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
