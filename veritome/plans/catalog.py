@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from veritome.functions import completion, text
 from veritome.functions.matching import block_array, match_form_of
-from veritome.operators import chunking, cleaning, confidence, cost, diff, embedding, fidelity, leakage, overview, selection, spans, stats
+from veritome.operators import chunking, cleaning, confidence, cost, diff, embedding, fidelity, leakage, overview, sections, selection, spans, stats
 from veritome.operators import records as record_table
 from veritome.plans.views import PAGES_SQL, documents, fidelity_sql, form_sql, pages, records, records_sql, source_pages, table
 from veritome.prompts import prompt, render_prompts
@@ -300,6 +300,61 @@ def strategy_summary(spark, sf):
     return overview.strategy_summary(selection_frame(spark, sf))
 
 
+# ---------------------------------------------------------------- places in texts
+#: Stand-ins for headings that the standard tables' invented prose lacks.
+HEADS = (("the", r"the(?:re)?"), ("of", r"of|for"), ("in", r"in(?:\s+the)?"))
+ENDS = r"(?dim)^(?:and|is|was)\b[^\n]*"
+NUMBER_SQL = r"(?:\d{1,2}(?:\.\d{1,2})*\.?|[IVX]{1,5}\.?|[A-H]\.)[ \t]+"
+
+
+@query("match_positions", rf"""WITH {PAGES_SQL}, m AS (SELECT doc, page, regexp_extract_all(text, '\p{{Lu}}\p{{L}}*') AS m, regexp_split_to_array(text, '\p{{Lu}}\p{{L}}*') AS g FROM pages_v),
+r AS (SELECT doc, page, generate_subscripts(m, 1) AS i, unnest(m) AS text, unnest(g[1:len(m)]) AS gap FROM m)
+SELECT doc, page, (e - length(text))::INT AS start, e::INT AS "end", text FROM (SELECT *, sum(length(gap) + length(text)) OVER (PARTITION BY doc, page ORDER BY i) AS e FROM r)""")
+def match_positions(spark, sf):
+    return sections.match_rows(pages(spark, sf), "text", r"\p{Lu}\p{L}*")
+
+
+HEADS_SQL = rf"""{PAGES_SQL}, numbered AS (SELECT doc, page, text, regexp_extract(text, '^(?i:{NUMBER_SQL})') AS num FROM pages_v),
+parts AS (SELECT *, substr(text, length(num) + 1) AS rest FROM numbered),
+fits AS (SELECT doc, page, num, """ + ", ".join(rf"CASE WHEN num <> '' THEN regexp_extract(rest, '^((?i:{w}))\b', 1) ELSE '' END AS n{i}, CASE WHEN regexp_matches(text, '^(?i:{w})[ \t]*(?:[.:—–]|$)') THEN regexp_extract(text, '^((?i:{w}))[ \t]*(?:[.:—–]|$)', 1) ELSE regexp_extract(text, '^((?i:{w}))[ \t]+[^.:]{{1,60}}$', 1) END AS u{i}" for i, (_, w) in enumerate(HEADS)) + """ FROM parts),
+best AS (SELECT doc, page, num, CASE """ + " ".join(f"WHEN n{i} <> '' THEN {i}" for i in range(len(HEADS))) + " " + " ".join(f"WHEN u{i} <> '' THEN {i}" for i in range(len(HEADS))) + """ END AS rank, CASE """ + " ".join(f"WHEN n{i} <> '' THEN n{i}" for i in range(len(HEADS))) + " " + " ".join(f"WHEN u{i} <> '' THEN u{i}" for i in range(len(HEADS))) + " END AS words, " + " OR ".join(f"n{i} <> ''" for i in range(len(HEADS))) + f""" AS has FROM fits),
+heads AS (SELECT doc, page, 0 AS start, {[name for name, _ in HEADS]}[rank + 1] AS section, rank::INT AS rank, CASE WHEN has THEN num ELSE '' END || words AS label FROM best WHERE regexp_matches(words, '^[A-Z]'))"""
+
+
+@query("headings", f"WITH {HEADS_SQL} SELECT * FROM heads")
+def headings(spark, sf):
+    return sections.headings(pages(spark, sf), HEADS)
+
+
+@query(
+    "section_extents",
+    rf"""WITH {HEADS_SQL}, marks AS (SELECT doc, page, section, label FROM heads UNION ALL SELECT doc, page, NULL, NULL FROM pages_v WHERE regexp_matches(text, '^(?i:(?:and|is|was)\b)')),
+o AS (SELECT *, bool_or(section IS NULL) OVER w AS ended, lead(page) OVER w AS until FROM marks WINDOW w AS (PARTITION BY doc ORDER BY page)),
+t AS (SELECT doc, page, length(text) AS n, length(text) - length(ltrim(text)) AS blank FROM pages_v)
+SELECT o.doc, section, label, o.page AS head_page, 0 AS head_start, t.page, CASE WHEN t.page = o.page THEN 0 ELSE blank END::INT AS start,
+greatest(CASE WHEN t.page = o.page THEN 0 ELSE blank END, CASE WHEN t.page = until THEN 0 ELSE n END)::INT AS stop
+FROM o JOIN t ON t.doc = o.doc AND t.page >= o.page AND (until IS NULL OR t.page <= until) WHERE NOT ended""",
+)
+def section_extents(spark, sf):
+    p = pages(spark, sf)
+    return sections.section_extents(p, sections.headings(p, HEADS), sections.references(p, ENDS))
+
+
+@query(
+    "sentence_windows",
+    rf"""WITH {PAGES_SQL}, m AS (SELECT doc, page, text, regexp_extract_all(text, '[^.!?\n]+(?:[.!?]+["'')\]]*)?') AS m, regexp_split_to_array(text, '[^.!?\n]+(?:[.!?]+["'')\]]*)?') AS g FROM pages_v),
+r AS (SELECT doc, page, length(text) AS n, generate_subscripts(m, 1) AS i, unnest(m) AS s, unnest(g[1:len(m)]) AS gap FROM m),
+e AS (SELECT *, sum(length(gap) + length(s)) OVER (PARTITION BY doc, page ORDER BY i) AS stop FROM r),
+w AS (SELECT doc, page, i, s, stop - length(s) AS begin, stop FROM e WHERE (regexp_matches(s, '[.!?]["'')\]]*$') OR stop >= n) AND trim(s) <> ''),
+x AS (SELECT *, lag(begin) OVER o AS before, lag(s) OVER o AS s0, lead(stop) OVER o AS after FROM w WINDOW o AS (PARTITION BY doc, page ORDER BY i)),
+y AS (SELECT *, CASE WHEN stop - before <= 600 THEN before ELSE begin END AS low, CASE WHEN stop - before <= 600 THEN s0 ELSE s END AS lead_s FROM x)
+SELECT doc, page, (low + length(lead_s) - length(ltrim(lead_s)))::INT AS start, (CASE WHEN after - low <= 600 THEN after ELSE stop END)::INT AS "end", lower(regexp_extract(s, '(?i){CUES}')) AS word, NOT regexp_matches(s, '(?i){STRONG}') AS weak
+FROM y WHERE regexp_matches(s, '(?i){CUES}')""",
+)
+def sentence_windows(spark, sf):
+    return sections.sentence_windows(pages(spark, sf), CUES, STRONG)
+
+
 # ---------------------------------------------------------------- completions, prompts, runs
 FORMS = 6
 
