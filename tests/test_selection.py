@@ -82,17 +82,37 @@ ARTICLE = [
 ]
 
 
-def test_headings_stop_at_references():
-    assert [h.label for h in selection.Outline(ARTICLE).headings] == ["Abstract", "2 Data", "3 Methods", "4 Limitations", "6 Conclusion"]
+def article(spark):
+    return spark.createDataFrame([("d", p.page, p.text) for p in ARTICLE], "doc string, page int, text string")
+
+
+def marks(spark, how):
+    row = selection._marked(article(spark), how).first().asDict(recursive=True)
+    return selection._marks(row["heads"], row["references"], row["cues"])
+
+
+def test_headings_stop_at_references(spark):
+    found = selection.Outline(ARTICLE, marks(spark, selection.Keyword()))
+    assert [h.label for h in found.headings] == ["Abstract", "2 Data", "3 Methods", "4 Limitations", "6 Conclusion"]
 
 
 @pytest.mark.parametrize("budget", [150, 400, 900, 5000])
-def test_hybrid_keeps_its_budget(budget):
-    chosen, params = selection.Hybrid(max_chars=budget).select(ARTICLE)
-    assert sum(s.end - s.start for s in chosen) <= budget + 2 * params["n_pieces"] and sum(params["chars_by_source"].values()) <= budget
+def test_hybrid_keeps_its_budget(spark, budget):
+    how = selection.Hybrid(max_chars=budget)
+    chosen, params = how.select(ARTICLE, marks(spark, how))
+    assert params["chars_by_source"]["cues"] and sum(s.end - s.start for s in chosen) == sum(params["chars_by_source"].values()) <= budget
     assert all(a.page < b.page or (a.page == b.page and a.end < b.start) for a, b in zip(chosen, chosen[1:], strict=False))
 
 
+def test_keyword_takes_the_first_of_each_section_and_the_opening_without_an_abstract(spark):
+    how = selection.Keyword()
+    spans_, params = how.select(ARTICLE, marks(spark, how))
+    assert params["sections_selected"] == ["Abstract", "4 Limitations", "3 Methods", "2 Data", "6 Conclusion"] and params["fallback"] is None
+    later = selection.Marks([h for h in marks(spark, how).heads if h.page > 1])
+    assert how.select(ARTICLE, later)[1]["sections_selected"][:2] == ["início do artigo", "4 Limitations"]
+    assert how.select(ARTICLE, selection.Marks())[1]["fallback"] == "first_pages(2)"
+
+
 def test_strategies(spark):
     pages = spark.createDataFrame([("d", p.page, p.text) for p in ARTICLE] + [("blank", 1, " "), ("null", 1, None)], "doc string, page int, text string")
     for name in selection.STRATEGIES:

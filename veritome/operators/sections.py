@@ -121,9 +121,9 @@ def body(pages: DataFrame, ends: DataFrame) -> DataFrame:
 
 
 def sentence_windows(pages: DataFrame, cues: str, strong: str, around: int = AROUND) -> DataFrame:
-    """(doc, page, start, end, word, weak): each sentence with a cue, with the sentences before and after it that leave the whole at ``around`` characters.
+    """(doc, page, start, end, sentence, word, weak): each sentence with a cue, with the sentences before and after it that leave the whole at ``around`` characters.
 
-    A sentence is a run of characters on a line that ends in a sentence mark or with the page.  ``word`` is its first cue in lower
+    A sentence is a run of characters on a line that ends in a sentence mark or with the page; ``sentence`` is where the cue's own begins.  ``word`` is its first cue in lower
     case; ``weak`` says that it has no strong one.  Wholly native, without a shuffle.
     """
     chars = F.char_length("text")
@@ -139,7 +139,7 @@ def sentence_windows(pages: DataFrame, cues: str, strong: str, around: int = ARO
             lead = F.when(s["end"] - before["start"] <= around, before["text"]).otherwise(s["text"])
             blank = F.char_length(lead) - F.char_length(F.regexp_replace(lead, rf"^[{SPACE}]+", ""))
             word = F.lower(F.regexp_extract(s["text"], f"(?i){cues}", 0))
-            return F.struct((low + blank).alias("start"), high.alias("end"), word.alias("word"), (~s["text"].rlike(f"(?i){strong}")).alias("weak"), s["text"].rlike(f"(?i){cues}").alias("hit"))
+            return F.struct((low + blank).alias("start"), high.alias("end"), s["start"].alias("sentence"), word.alias("word"), (~s["text"].rlike(f"(?i){strong}")).alias("weak"), s["text"].rlike(f"(?i){cues}").alias("hit"))
 
         return F.filter(F.transform(all_, one), lambda w: w["hit"])
 

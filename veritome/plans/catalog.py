@@ -348,7 +348,7 @@ e AS (SELECT *, sum(length(gap) + length(s)) OVER (PARTITION BY doc, page ORDER
 w AS (SELECT doc, page, i, s, stop - length(s) AS begin, stop FROM e WHERE (regexp_matches(s, '[.!?]["'')\]]*$') OR stop >= n) AND trim(s) <> ''),
 x AS (SELECT *, lag(begin) OVER o AS before, lag(s) OVER o AS s0, lead(stop) OVER o AS after FROM w WINDOW o AS (PARTITION BY doc, page ORDER BY i)),
 y AS (SELECT *, CASE WHEN stop - before <= 600 THEN before ELSE begin END AS low, CASE WHEN stop - before <= 600 THEN s0 ELSE s END AS lead_s FROM x)
-SELECT doc, page, (low + length(lead_s) - length(ltrim(lead_s)))::INT AS start, (CASE WHEN after - low <= 600 THEN after ELSE stop END)::INT AS "end", lower(regexp_extract(s, '(?i){CUES}')) AS word, NOT regexp_matches(s, '(?i){STRONG}') AS weak
+SELECT doc, page, (low + length(lead_s) - length(ltrim(lead_s)))::INT AS start, (CASE WHEN after - low <= 600 THEN after ELSE stop END)::INT AS "end", begin::INT AS sentence, lower(regexp_extract(s, '(?i){CUES}')) AS word, NOT regexp_matches(s, '(?i){STRONG}') AS weak
 FROM y WHERE regexp_matches(s, '(?i){CUES}')""",
 )
 def sentence_windows(spark, sf):
