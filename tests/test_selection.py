@@ -1,5 +1,8 @@
 from __future__ import annotations
 
+import random
+import re
+
 import pytest
 from hypothesis import given
 from hypothesis import strategies as st
@@ -10,35 +13,56 @@ from veritome.operators.selection import Page
 from veritome.sources import synthetic
 
 
-@pytest.mark.parametrize(
-    ("raw", "clean"),
-    [
-        ("an exam-\nple here", "an example here"),
-        ("a state-of-the-\nart model", "a state-of-the-art model"),
-        ("Sentinel-\n2 imagery", "Sentinel-2 imagery"),
-        ("from 2019-\n2020 data", "from 2019-2020 data"),
-        ("soft\u00ad\nware \ufb01le", "software file"),
-    ],
-)
-def test_cleaned(raw, clean):
-    assert cleaning.cleaned(raw) == clean
+def cleaned(spark, texts, known=None):
+    """Each text's lines and what cleaning makes of them; ``known`` forms stand for its document's words."""
+    rows = spark.createDataFrame([(i, t, known and known[i]) for i, t in enumerate(texts)], "i int, text string, known array<string>")
+    words = F.coalesce("known", F.array().cast("array<string>"))
+    found = rows.select("i", cleaning.lined(F.col("text")).alias("lines"), words.alias("known")).select("i", "lines", cleaning.cleaned(F.col("lines"), F.col("known")).alias("clean")).collect()
+    return [(r.lines, r.clean) for r in sorted(found, key=lambda r: r.i)]
+
+
+CLEAN = {
+    "an exam-\nple here": "an example here",
+    "a state-of-the-\nart model": "a state-of-the-art model",
+    "Sentinel-\n2 imagery": "Sentinel-2 imagery",
+    "from 2019-\n2020 data": "from 2019-2020 data",
+    "soft\u00ad\nware \ufb01le": "software file",
+    "a-\nb-\nc-\nd e-\nf": "ab- cd ef",
+    "self-\nmade": "self-made",
+    "high-\nly": "highly",
+    "7\nFirst line\n42\nLast line\n8": "First line 42\n\nLast line",
+    "": "",
+    None: None,
+}
+
+
+def test_cleaned(spark):
+    assert [c for _, c in cleaned(spark, CLEAN)] == [*CLEAN.values()]
 
 
-def test_page_numbers_go_from_the_edges():
-    assert cleaning.without_page_numbers("7\nFirst line\n42\nLast line\n8") == "First line\n42\nLast line"
+def test_page_numbers_go_from_the_edges(spark):
+    (lines, _), (none, _) = cleaned(spark, ["7\nFirst line\n42\nLast line\n8", "1\n\n2"])
+    assert (lines, none) == ("First line\n42\nLast line", "")
 
 
-@given(st.text("ab-. \n\u00adX7", max_size=60))
-def test_cleaning_is_idempotent(s):
-    once = cleaning.cleaned(s)
-    assert cleaning.cleaned(once) == once
+def test_cleaning_is_idempotent(spark):
+    r = random.Random(5)
+    texts = ["".join(r.choices("ab-. \n\u00adX7é‐", k=r.randrange(60))) for _ in range(400)]
+    once = [c for _, c in cleaned(spark, texts)]
+    assert [c for _, c in cleaned(spark, once)] == once
 
 
-def test_hyphens_follow_the_document():
-    assert cleaning.dehyphenated("fine-\ntuning", {"fine-tuning"}) == "fine-tuning"
-    assert cleaning.dehyphenated("exam-\nple", {"example"}) == "example"
-    assert cleaning.dehyphenated("self-\nmade", set()) == "self-made"
-    assert cleaning.dehyphenated("high-\nly", set()) == "highly"
+def test_hyphens_follow_the_document(spark):
+    got = cleaned(spark, ["fine-\ntuning", "exam-\nple", "fine-\ntuning", "Fine-\ntuning of-the-\nart"], [["fine-tuning"], ["example"], ["finetuning", "fine-tuning"], ["fine-tuning"]])
+    assert [c for _, c in got] == ["fine-tuning", "example", "finetuning", "Fine-tuning of-the-art"]
+
+
+def test_pages_are_cleaned_by_their_documents_words(spark):
+    rows = [("a", 1, "We do fine-\ntuning here"), ("a", 2, "and fine-tuning there"), ("b", 1, "We do fine-\ntuning here"), ("b", 2, "finetuning"), ("c", 1, None), ("c", 2, "We do re-\nal work")]
+    got = {(r.doc, r.page): r.text for r in cleaning.clean_pages(spark.createDataFrame(rows, "doc string, page int, text string")).collect()}
+    assert got["a", 1] == "We do fine-tuning here" and got["b", 1] == "We do finetuning here" and got["c", 1] is None and got["c", 2] == "We do real work"
+    plan = cleaning.clean_pages(spark.createDataFrame(rows, "doc string, page int, text string"))._jdf.queryExecution().optimizedPlan().toString()
+    assert set(re.findall(r"EvalPython \[(\w+)\(", plan)) == {"edges", "_compatible"}  # keys of edge lines and compatibility forms only
 
 
 def test_repeated_lines(spark):
@@ -142,6 +166,51 @@ def test_fitting_skips_and_goes_on(spark):
     assert {(r.k, r.i) for r in spans.fitting(df, ["k"], "size", [F.col("i")], 100).collect()} == {("a", 1), ("a", 3)}
 
 
+def plain_fitting(rows, budget):
+    used, taken = {}, set()
+    for k, i, size in sorted(rows, key=lambda r: (r[0] or "", r[1])):
+        if size is not None and used.get(k, 0) + size <= budget:
+            used[k] = used.get(k, 0) + size
+            taken.add((k, i))
+    return taken
+
+
+@pytest.mark.parametrize("block", [1, 7, 4096])
+def test_fitting_in_blocks_equals_the_plain_pass(spark, block):
+    r = random.Random(6)
+    rows = [(r.choice(["a", "b", "c", None]), i, r.choice([1, 3, 20, 60, 200, None])) for i in range(300)] + [("z", 1, 500), ("y", 1, 100)]
+    df = spark.createDataFrame(rows, "k string, i int, size int").repartition(3)
+    got = spans.fitting(df, ["k"], "size", [F.col("i")], 100, block=block)
+    assert got.columns == ["k", "i", "size"] and {(x.k, x.i) for x in got.collect()} == plain_fitting(rows, 100)
+    assert spans.fitting(df.limit(0), ["k"], "size", [F.col("i")], 100).count() == 0
+
+
+def test_fitting_splits_a_key_of_a_million_rows(spark):
+    df = spark.range(1_000_000).select(F.lit("hot").alias("k"), F.col("id").alias("i"), (F.pmod(F.xxhash64("id"), F.lit(900)) + 100).alias("size"))
+    rows = [("hot", r.i, r.size) for r in df.filter("i < 20000").collect()]
+    got = {(x.k, x.i) for x in spans.fitting(df, ["k"], "size", [F.col("i")], 5000).collect()}
+    want = plain_fitting(rows, 5000)
+    left = 5000 - sum(size for k, i, size in rows if (k, i) in want)
+    assert left < 100 and got == want  # nothing fits after the rows looked at here
+
+
+def plain_uncovered(rows):
+    owner = {}
+    for k, start, end, rank, i in sorted(rows, key=lambda r: (r[3], r[4])):
+        for p in range(start, end):
+            owner.setdefault((k, p), i)
+    return {i: sum(o == i for o in owner.values()) for *_, i in rows}
+
+
+def test_uncovered_equals_the_plain_count(spark):
+    r = random.Random(8)
+    rows = [("hot" if r.random() < 0.7 else r.choice("ab"), s, s + r.choice([0, 1, 5, 255, 256, 257, 700]), r.randrange(4), i) for i in range(250) for s in [r.randrange(-600, 1500)]]
+    df = spark.createDataFrame(rows, "k string, start int, end int, rank int, i int").repartition(3)
+    got = spans.uncovered(df, ["k"], [F.col("rank"), F.col("i")])
+    assert got.columns == [*df.columns, "fresh"] and {x.i: x.fresh for x in got.collect()} == plain_uncovered(rows)
+    assert spans.uncovered(df.limit(0), ["k"], [F.col("i")]).count() == 0
+
+
 def test_top_chunks_beyond_one_block(spark):
     vec = lambda i: [float((i * 37 + j * 11) % 19 - 9) for j in range(4)]
     chunks = spark.createDataFrame([(f"d{i % 3}", i, vec(i)) for i in range(60)], "doc string, chunk long, vector array<float>")

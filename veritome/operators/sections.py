@@ -33,8 +33,8 @@ def _bound(value: Column, use) -> Column:
 
 def positions(text: Column, pattern: str) -> Column:
     """Array of (start, end, text) of all matches of ``pattern``, which never matches nothing; null for a null text."""
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    steps = F.zip_with(found, F.split(text, pattern, -1), lambda m, gap: F.struct(m.alias("text"), F.char_length(gap).alias("gap"), F.char_length(m).alias("size")))
+    found = lambda t: F.regexp_extract_all(t, F.lit(pattern), F.lit(0))
+    steps = _bound(text, lambda t: F.zip_with(found(t), F.split(t, pattern, -1), lambda m, gap: F.struct(m.alias("text"), F.char_length(gap).alias("gap"), F.char_length(m).alias("size"))))
     add = lambda acc, x: acc + x["gap"] + x["size"]
 
     def placed(steps: Column) -> Column:

@@ -1,13 +1,21 @@
-"""Interval tools: merged spans, budgets that skip what doesn't fit, best k per group."""
+"""Interval tools: merged spans, what spans add to those before them, budgets that skip what doesn't fit, best k per group."""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from veritome.shipping import cut, reach_workers
+
+#: Places of a tile, a power of two; rows of a block.
+TILE, BLOCK = 256, 4096
+
 
 def merge_spans(spans: DataFrame, keys: Sequence[str], start: str = "start", end: str = "end", *, score: str | None = None, label: str | None = None) -> DataFrame:
     """Islands of overlapping or touching spans per ``keys``: (keys, start, end, n[, score, label]).
@@ -26,22 +34,68 @@ def merge_spans(spans: DataFrame, keys: Sequence[str], start: str = "start", end
     return numbered.groupBy(*keys, "_island").agg(*aggs).drop("_island")
 
 
-def fitting(items: DataFrame, keys: Sequence[str], size: str, order: Sequence[Column], budget: int) -> DataFrame:
-    """Rows that a greedy pass takes: in ``order`` each row that still fits in ``budget`` per ``keys``; others are skipped.
+def uncovered(spans: DataFrame, keys: Sequence[str], order: Sequence[Column], start: str = "start", end: str = "end") -> DataFrame:
+    """``spans`` [start, end) with ``fresh``: how many of its places no span before it in ``order``, which is total per ``keys``, covers.
 
-    A row that doesn't fit doesn't end the pass, so no running total can say this: the pass is
-    a fold over the group's (place, size) pairs, and only the places taken come back.
+    A place belongs to the first span that covers it.  Spans are clipped to tiles of ``TILE`` places, and
+    since a minimum may count a place twice, two blocks of a power of two cover each clipped span:
+    the least order per (tile, size, place) is all that is shuffled, so a tile has at most
+    TILE x 9 rows, however many spans a key has.  Blocks then hand their order down to their places.
     """
-    placed = items.withColumn("_place", F.row_number().over(W.partitionBy(*keys).orderBy(*order)))
-    pairs = placed.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("_place", F.col(size).cast("long").alias("size")))).alias("_pairs"))
-    zero = F.struct(F.lit(0).cast("long").alias("used"), F.expr("cast(array() as array<int>)").alias("taken"))
-
-    def step(acc: Column, x: Column) -> Column:
-        fits = acc["used"] + x["size"] <= budget
-        return F.struct(F.when(fits, acc["used"] + x["size"]).otherwise(acc["used"]).alias("used"), F.when(fits, F.concat(acc["taken"], F.array(x["_place"]))).otherwise(acc["taken"]).alias("taken"))
-
-    taken = pairs.select(*keys, F.explode(F.aggregate("_pairs", zero, step, lambda acc: acc["taken"])).alias("_place"))
-    return placed.join(taken, [*keys, "_place"], "left_semi").drop("_place")
+    rank = F.struct(*(c.alias(f"_o{i}") for i, c in enumerate(order)))
+    rows = spans.withColumn("_rank", rank)
+    tiles = F.sequence(F.expr(f"floor({start} / {TILE})"), F.expr(f"floor(({end} - 1) / {TILE})"))
+    clipped = rows.filter(F.col(end) > F.col(start)).select(*keys, "_rank", F.col(start).alias("_s"), F.col(end).alias("_e"), F.explode(tiles).alias("_tile"))
+    low, high = F.greatest(F.col("_s") - F.col("_tile") * TILE, F.lit(0)), F.least(F.col("_e") - F.col("_tile") * TILE, F.lit(TILE))
+    size = F.expr("shiftleft(1, length(bin(_high - _low)) - 1)")  # the largest power of two within
+    placed = clipped.select(*keys, "_tile", "_rank", low.cast("int").alias("_low"), high.cast("int").alias("_high")).withColumn("_size", size)
+    blocks = placed.select(*keys, "_tile", "_rank", "_size", F.explode(F.array_distinct(F.array("_low", F.col("_high") - F.col("_size")))).alias("_at"))
+    least = blocks.groupBy(*keys, "_tile", "_size", "_at").agg(F.min("_rank").alias("_rank"))
+    places = least.select(*keys, "_tile", "_rank", F.explode(F.sequence(F.col("_at"), F.col("_at") + F.col("_size") - 1)).alias("_at"))
+    owners = places.groupBy(*keys, "_tile", "_at").agg(F.min("_rank").alias("_rank")).groupBy(*keys, "_rank").agg(F.count(F.lit(1)).alias("_fresh"))
+    owners = owners.select(*(F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)), F.col("_rank").alias("_owner"), "_fresh")
+    same = reduce(lambda a, b: a & b, (F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)), F.col("_rank") == F.col("_owner"))
+    return rows.join(owners, same, "left").select(*spans.columns, F.coalesce("_fresh", F.lit(0)).cast("long").alias("fresh"))
+
+
+def fitting(items: DataFrame, keys: Sequence[str], size: str, order: Sequence[Column], budget: int, *, block: int = BLOCK) -> DataFrame:
+    """Rows that a greedy pass takes: in ``order`` each row that still fits in ``budget`` per ``keys``; others, and rows without a size, are skipped.
+
+    A row that doesn't fit doesn't end the pass, so no running total can say this.  Rows are range-sorted by keys
+    and order and cut into blocks, of which only (key, block, least size) is looked at: in each round a key goes on with its first
+    block that holds a row that fits, all others are skipped whole, and each such block is folded by itself.
+    A key's rows lie in many tasks, and no group holds more than ``block`` rows.
+    """
+    reach_workers(items.sparkSession)
+    names = [f"_k{i}" for i in range(len(keys))]
+    sort = [*(F.col(k) for k in keys), *order]
+    rows = items.filter(items[size] <= budget).repartitionByRange(*sort).sortWithinPartitions(*sort)
+    rows = cut(rows.select("*", *(F.struct(F.col(k)).alias(n) for k, n in zip(keys, names, strict=True)), F.col(size).cast("long").alias("_size"), F.monotonically_increasing_id().alias("_seen")).withColumn("_block", F.expr(f"_seen div {block}")))
+    least = cut(rows.groupBy(*names, "_block").agg(F.min("_size").alias("_least")))
+    state = least.select(*names).distinct().withColumns({"_room": F.lit(budget).cast("long"), "_at": F.lit(-1).cast("long")})
+
+    def fold(group: pa.Table) -> pa.Table:
+        group = group.sort_by("_seen")
+        room, taken = group["_room"][0].as_py(), np.zeros(group.num_rows, bool)
+        for i, n in enumerate(group["_size"].to_pylist()):
+            if n <= room:
+                taken[i] = True
+                room -= n
+        kept = group.filter(pa.array(taken)).drop_columns(["_room"])
+        return kept.append_column("_room", pa.array([room] * kept.num_rows, pa.int64()))
+
+    done = None
+    while True:
+        able = least.join(state, names).filter("_block > _at and _least <= _room")
+        following = cut(able.groupBy(*names).agg(F.min("_block").alias("_block"), F.first("_room").alias("_room")))
+        if following.isEmpty():
+            break
+        chosen = rows.join(following, [*names, "_block"]).select(*rows.columns, "_room")
+        taken = cut(chosen.groupBy(*names).applyInArrow(fold, chosen.schema))
+        done = taken if done is None else done.unionByName(taken)
+        # A block with a row that fits has one taken, so every key that went on has a new state.
+        state = cut(taken.groupBy(*names).agg(F.min("_room").alias("_room"), F.max("_block").alias("_at")))
+    return items.limit(0) if done is None else done.select(*items.columns)
 
 
 def best_k(rows: DataFrame, keys: Sequence[str], order: Sequence[Column], k: int) -> DataFrame:

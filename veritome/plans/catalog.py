@@ -222,7 +222,7 @@ SPANS_SQL = "sp AS (SELECT user_id % 50 AS k, (event_id * 37 % 5000)::INT AS sta
 def _spans(spark, sf):
     i = F.col("event_id")
     start = (i * 37 % 5000).cast("int")
-    return table(spark, sf, "events").select((F.col("user_id") % 50).alias("k"), start.alias("start"), (start + 20 + i % 60).cast("int").alias("end"), ((i % 11) / 10.0).alias("score"))
+    return table(spark, sf, "events").select("event_id", (F.col("user_id") % 50).alias("k"), start.alias("start"), (start + 20 + i % 60).cast("int").alias("end"), ((i % 11) / 10.0).alias("score"))
 
 
 @query(
@@ -235,6 +235,16 @@ def merge_spans(spark, sf):
     return spans.merge_spans(_spans(spark, sf), ["k"], score="score")
 
 
+@query(
+    "uncovered_spans",
+    """WITH sp AS (SELECT event_id, user_id % 50 AS k, (event_id * 37 % 5000)::INT AS start, (event_id * 37 % 5000 + 20 + event_id % 60)::INT AS "end", (event_id % 11) / 10.0::DOUBLE AS score FROM events),
+p AS (SELECT k, event_id, score, unnest(range(start, "end")) AS p FROM sp), o AS (SELECT k, p, arg_min(event_id, [-score, event_id]) AS event_id FROM p GROUP BY k, p), n AS (SELECT event_id, count(*) AS fresh FROM o GROUP BY event_id)
+SELECT event_id, k, start, "end", coalesce(fresh, 0) AS fresh FROM sp LEFT JOIN n USING (event_id)""",
+)
+def uncovered_spans(spark, sf):
+    return spans.uncovered(_spans(spark, sf), ["k"], [-F.col("score"), F.col("event_id")]).drop("score")
+
+
 @query(
     "skip_greedy_budget",
     """WITH RECURSIVE i AS (SELECT o_custkey % 100 AS k, o_orderkey AS id, (o_orderkey % 97 + 3)::BIGINT AS size, row_number() OVER (PARTITION BY o_custkey % 100 ORDER BY o_totalprice DESC, o_orderkey) AS place FROM orders),
