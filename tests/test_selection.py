@@ -3,12 +3,13 @@ from __future__ import annotations
 import random
 import re
 
+import numpy as np
 import pytest
 from hypothesis import given
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from veritome.operators import chunking, cleaning, overview, selection, spans
+from veritome.operators import chunking, cleaning, neighbours, overview, selection, spans
 from veritome.operators.selection import Page
 from veritome.sources import synthetic
 
@@ -218,3 +219,34 @@ def test_top_chunks_beyond_one_block(spark):
     once = spans.top_chunks(chunks, queries, 2)
     in_blocks = spans.top_chunks(chunks, queries, 2, max_queries=4)
     assert sorted(map(tuple, in_blocks.collect())) == sorted(map(tuple, once.collect()))
+
+
+def exact_neighbours(rows, queries, k):
+    x = np.array([v for _, v in rows], np.float32).astype(np.float64)
+    out = set()
+    for q, v in queries:
+        s = x @ np.array(v, np.float32).astype(np.float64)
+        out |= {(q, rows[i][0]) for i in np.lexsort(([r[0] for r in rows], -s))[:k]}
+    return out
+
+
+def test_neighbours_recall_on_the_standard_vectors(spark):
+    """Recall at 6 of the inverted file against all pairs, and exactness once every list is looked into."""
+    e = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
+    rows = [(r.id, r.vector) for r in e.collect()]
+    want = exact_neighbours(rows, [r for r in rows if r[0] % 10 == 0], 6)
+    got = {(r.query, r.id) for r in neighbours.nearest(e, e.filter("id % 10 = 0"), 6).collect()}
+    assert len(got) == len(want) and len(got & want) / len(want) >= 0.9
+    whole = {(r.query, r.id) for r in neighbours.nearest(e, e.filter("id % 10 = 0"), 6, lists=neighbours.fit(e, 6)._replace(probes=10_000)).collect()}
+    assert len(whole & want) / len(want) > 0.999  # but for products that differ in their last bits
+
+
+def test_neighbours_of_hot_lists_nulls_and_nothing(spark, monkeypatch):
+    monkeypatch.setattr(neighbours, "CAP", 16)
+    r = random.Random(9)
+    rows = [(i, [1.0, 0.01 * r.randrange(100), 0.0]) for i in range(200)] + [(500 + i, [0.0, 0.0, 1.0]) for i in range(5)]
+    df = spark.createDataFrame([*rows, (900, None)], "id long, vector array<float>").repartition(3)
+    got = {(x.query, x.id) for x in neighbours.nearest(df, df.filter("id % 4 = 0"), 3, lists=neighbours.Lists(np.eye(3, dtype=np.float32), 1)).collect()}
+    asked = [x for x in rows if x[0] % 4 == 0]
+    assert got == exact_neighbours(rows, asked, 3)
+    assert neighbours.nearest(df.limit(0), df, 3).count() == 0 == neighbours.nearest(df, df.limit(0), 3).count()

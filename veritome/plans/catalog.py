@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from veritome.functions import completion, text
 from veritome.functions.matching import block_array, match_form_of
-from veritome.operators import chunking, cleaning, confidence, cost, diff, embedding, fidelity, leakage, overview, sections, selection, spans, stats
+from veritome.operators import chunking, cleaning, confidence, cost, diff, embedding, fidelity, leakage, neighbours, overview, sections, selection, spans, stats
 from veritome.operators import records as record_table
 from veritome.plans.views import PAGES_SQL, documents, fidelity_sql, form_sql, pages, records, records_sql, source_pages, table
 from veritome.prompts import prompt, render_prompts
@@ -216,6 +216,12 @@ def semantic_topk(spark, sf):
     return spans.top_chunks(e, queries, 6).drop("label")
 
 
+@query("nearest_vectors")
+def nearest_vectors(spark, sf):
+    e = table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
+    return neighbours.nearest(e, e.filter("id % 100 = 0"), 6).select("query", "id", F.round("score", 6).alias("score"))
+
+
 SPANS_SQL = "sp AS (SELECT user_id % 50 AS k, (event_id * 37 % 5000)::INT AS start, (event_id * 37 % 5000 + 20 + event_id % 60)::INT AS \"end\", (event_id % 11) / 10.0::DOUBLE AS score FROM events)"
 
 
