@@ -130,6 +130,15 @@ def vocabulary(spark, sf):
     return cleaning.vocabulary(source_pages(spark, sf))
 
 
+@query(
+    "vocabulary_rows",
+    r"""WITH w AS (SELECT DISTINCT source, unnest(regexp_extract_all(lower(text), '\p{L}+(?:-\p{L}+)*')) AS w FROM documents), p AS (SELECT source, w, string_split(w, '-') AS p FROM w)
+SELECT source AS doc, w FROM p UNION SELECT source, unnest(p) FROM p UNION SELECT source, unnest(list_transform(range(1, len(p)), lambda i: p[i] || '-' || p[i + 1])) FROM p WHERE len(p) > 1""",
+)
+def vocabulary_rows(spark, sf):
+    return cleaning.word_forms(source_pages(spark, sf)).distinct()
+
+
 @query("clean_pages")
 def clean_pages(spark, sf):
     return cleaning.clean_pages(source_pages(spark, sf), 0.1)

@@ -252,7 +252,9 @@ def bar_chart(rows: DataFrame, label: str, values: Sequence[str], path: str, tit
     matplotlib.use("Agg")
     from matplotlib import pyplot as plt
 
-    frame = rows.select(label, *values).limit(MAX_LISTED).toPandas().set_index(label)
+    frame = rows.select(label, *values).limit(MAX_LISTED + 1).toPandas().set_index(label)
+    if len(frame) > MAX_LISTED:
+        raise ValueError(f"a chart shows {MAX_LISTED} rows at most; choose them first")
     axes = frame.plot.bar(title=title)
     axes.figure.tight_layout()
     axes.figure.savefig(path)

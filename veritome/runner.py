@@ -77,19 +77,20 @@ def run_and_store(
 ) -> str:
     """Extract in waves of about ``wave`` documents, and seal with a manifest that holds the run's summary.  Returns the run id.
 
+    Contexts are selected and prompts written once, by wave, so pages are read once however many waves there are.
     A wave's answers are on disk before anything is joined to them, so a failure loses the calls
     of one wave at most.  Resuming calls the model only for documents without a kept answer.
     """
     run_id = resume or store.new_run_id(how.name, variant, params.temperature, repetition)
-    todo = pages.join(store.answers(run_id).select("doc").distinct(), "doc", "left_anti")
-    n = todo.select("doc").distinct().count()
-    waves = -(-n // wave)
+    pending = pages.join(store.load(run_id).select("doc").distinct(), "doc", "left_anti")
+    waves = max(1, -(-pending.select("doc").distinct().count() // wave))
+    prompts = store.keep_prompts(run_id, prepare(pending, how, variant).withColumn("_wave", F.pmod(F.xxhash64("doc"), F.lit(waves)).cast("int")))
     for k in range(waves):
-        part = todo.filter(F.pmod(F.xxhash64("doc"), F.lit(waves)) == k)
-        store.keep_answers(run_id, complete(prepare(part, how, variant), client, params))
-    done = store.load(run_id).select("doc").distinct()
-    answers = store.answers(run_id).join(done, "doc", "left_anti").dropDuplicates(["doc"])
-    store.append(assemble(prepare(pages, how, variant), answers, how, client, run_id=run_id, variant=variant, params=params, repetition=repetition))
+        # A wave's answers are those of its own folder of prompts that aren't kept yet.
+        part = prompts.filter(F.col("_wave") == k).join(store.answers(run_id).select("doc").distinct(), "doc", "left_anti")
+        store.keep_answers(run_id, complete(part, client, params))
+    answers = store.answers(run_id).dropDuplicates(["doc"])
+    store.append(assemble(prompts.drop("_wave"), answers, how, client, run_id=run_id, variant=variant, params=params, repetition=repetition))
     summary = stats.run_summary(store.load(run_id), "run_id").first().asDict()
     store.write_manifest(run_id, {"run_id": run_id, "strategy": how.name, "prompt_variant": variant, "model": client.model_name, "generation": params._asdict(), "repetition": repetition, "status": "concluida", "summary": summary})
     return run_id

@@ -18,7 +18,7 @@ ANSWERS = "doc string, raw_output string, input_tokens long, output_tokens long,
 
 
 class RunStore:
-    """Under ``<root>``: answers/run_id=..., records/run_id=..., manifests/run_id=...."""
+    """Under ``<root>``: prompts/run_id=..., answers/run_id=..., records/run_id=..., manifests/run_id=...."""
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
@@ -37,6 +37,12 @@ class RunStore:
         names = [f.name for f in RECORDS]
         records.select(names).write.mode("append").partitionBy("run_id").json(f"{self.root}/records")
 
+    def keep_prompts(self, run_id: str, prompts: DataFrame) -> DataFrame:
+        """Write a run's prompts, a folder per ``_wave``, and read them back; those of an earlier attempt are replaced."""
+        place = f"{self.root}/prompts/run_id={run_id}"
+        prompts.write.mode("overwrite").partitionBy("_wave").parquet(place)
+        return self.spark.read.schema(prompts.schema).parquet(place)
+
     def keep_answers(self, run_id: str, answers: DataFrame) -> None:
         """Append answers of a run as they came, whole or nothing."""
         answers.write.mode("append").parquet(f"{self.root}/answers/run_id={run_id}")

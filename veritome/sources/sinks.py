@@ -48,14 +48,17 @@ def write_table(table: DataFrame, folder: str, name: str, *, order_by: str = "do
 
 
 def write_report(sections: Mapping[str, str | DataFrame], path: str, title: str = "Relatório") -> Path:
-    """An HTML page: a heading per section, prose as paragraphs, DataFrames as tables."""
+    """An HTML page: a heading per section, prose as paragraphs, DataFrames as tables, refused if they have more than ``MAX_ROWS`` rows."""
     parts = [f"<!DOCTYPE html><meta charset='utf-8'><title>{html.escape(title)}</title><h1>{html.escape(title)}</h1>"]
     for name, body in sections.items():
         parts.append(f"<h2>{html.escape(name)}</h2>")
         if isinstance(body, str):
             parts.append(f"<p>{html.escape(body)}</p>")
         else:
-            parts.append(body.limit(MAX_ROWS).toPandas().to_html(index=False, na_rep="—"))
+            rows = body.limit(MAX_ROWS + 1).toPandas()
+            if len(rows) > MAX_ROWS:
+                raise ValueError(f"section {name!r} has more than {MAX_ROWS} rows; aggregate it first")
+            parts.append(rows.to_html(index=False, na_rep="—"))
     out = Path(path)
     out.parent.mkdir(parents=True, exist_ok=True)
     out.write_text("\n".join(parts), encoding="utf-8")
