@@ -63,7 +63,7 @@ def test_prior_strength_matches_simulation():
 
 def test_queries_match_their_sql(spark):
     db = duckdb.connect()
-    for t in ("documents", "pages", "labels"):
+    for t in ("documents", "pages", "labels", "benchmark"):
         db.execute(f"create view {t} as select * from '{DATA / t}.parquet'")
     for name, sql in registry.oracle_sql().items():
         mine = registry.queries()[name](spark, str(DATA))
