@@ -250,3 +250,32 @@ def test_neighbours_of_hot_lists_nulls_and_nothing(spark, monkeypatch):
     asked = [x for x in rows if x[0] % 4 == 0]
     assert got == exact_neighbours(rows, asked, 3)
     assert neighbours.nearest(df.limit(0), df, 3).count() == 0 == neighbours.nearest(df, df.limit(0), 3).count()
+
+
+def test_vectors_equal_the_plain_count_in_any_company():
+    """Each feature by itself, as the definition reads; a text's vector doesn't depend on those beside it."""
+    from zlib import crc32
+
+    from veritome.operators import embedding
+
+    r = random.Random(11)
+    texts = ["", "the of", "Ação ﬁel x́ý ℡ aaaaaaaa", *("".join(r.choices("ab <>-9éÉ\n", k=r.randrange(400))) for _ in range(150))]
+    for text, got in zip(texts, embedding.vectors(texts), strict=True):
+        want = np.zeros(embedding.DIM, np.float32)
+        for f, n in embedding.features(text).items():
+            h = crc32(f.encode())
+            want[h % embedding.DIM] += np.float32((1.0 if h >> 31 else -1.0) * (1.0 + np.log(float(n))))
+        norm = float(np.linalg.norm(want))
+        assert np.array_equal(got, want / norm if norm else want)
+
+
+def test_budgets_share_marks_and_candidates(spark, monkeypatch):
+    """Each budget's contexts are those of its own selection, though a document is marked once."""
+    pages = synthetic.corpus(spark, 3)
+    base, budgets = selection.Hybrid(), {"tight": 600, "none": None}
+    alone = {(name, c.doc): (c.chunks, c.params) for name, b in budgets.items() for c in selection.select_contexts(pages, selection.Hybrid(max_chars=b)).collect()}
+    assert {(c.strategy, c.doc): (c.chunks, c.params) for c in selection.select_under(pages, base, budgets).collect()} == alone
+    calls, plain = [], selection.sections.headings
+    monkeypatch.setattr(selection.sections, "headings", lambda *a: calls.append(1) or plain(*a))
+    overview.budget_curve(pages, base, (600, 1200, None))
+    assert len(calls) == 1

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from veritome.functions.text import approx_tokens, normalize, rate, sentences
-from veritome.operators.selection import Hybrid, Strategy, context_chars, context_pages, rendered, select_contexts
+from veritome.operators.selection import Hybrid, Strategy, context_chars, context_pages, rendered, select_contexts, select_under
 
 # Sentences that measure declared limitations; not the cues that select them.
 LIMITATION_SENTENCE = (
@@ -88,10 +88,8 @@ def recall_of(pages: DataFrame, strategies: Mapping[str, Strategy], pattern: str
 
 def budget_curve(pages: DataFrame, base: Hybrid, budgets: tuple[int | None, ...], pattern: str = LIMITATION_SENTENCE) -> DataFrame:
     """Recall of the hybrid strategy under several budgets, with estimated tokens per document."""
-    from dataclasses import replace
-
     names = {f"hybrid {b // 1000}k" if b else "hybrid sem teto": b for b in budgets}
-    table = recall_of(pages, {n: replace(base, max_chars=b) for n, b in names.items()}, pattern)
+    table = recall_table(limitation_recall(pages, select_under(pages, base, names), pattern))
     limit = F.create_map(*(x for n, b in names.items() for x in (F.lit(n), F.lit(b).cast("int"))))
     return table.withColumns({"max_chars": limit[F.col("strategy")], "tokens_per_doc": F.bround(F.col("mean_chars") / 4.0, 0).cast("long")})
 
