@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from veritome.functions.text import SPACE, strip
 
 #: Matches whose lengths are summed up together.
-BLOCK = 64
+BLOCK = 32
 # Numbers before headings, and how a list of references is headed.
 NUMBERING = r"(?:\d{1,2}(?:\.\d{1,2})*\.?|[IVX]{1,5}\.?|[A-H]\.)"
 REFERENCES = rf"(?dim)^(?:{NUMBERING}[ \t]+)?(?:references|bibliography)[ \t]*$"
@@ -127,20 +127,22 @@ def sentence_windows(pages: DataFrame, cues: str, strong: str, around: int = ARO
     case; ``weak`` says that it has no strong one.  Wholly native, without a shuffle.
     """
     chars = F.char_length("text")
-    whole = F.filter(positions(F.col("text"), _RUN), lambda s: (s["text"].rlike(r"""[.!?]["')\]]*$""") | (s["end"] >= F.col("_end"))) & (strip(s["text"]) != ""))
+    whole = F.filter(positions(F.col("text"), _RUN), lambda s: (s["text"].rlike(r"""[.!?]["')\]]*$""") | (s["end"] >= F.col("_end"))) & s["text"].rlike(rf"[^{SPACE}]"))
     # A line feed that ends a page comes after its last sentence.
     rows = pages.select("doc", "page", "text", (chars - F.when(F.endswith("text", F.lit("\n")), 1).otherwise(0)).alias("_end")).select("doc", "page", whole.alias("_all"))
 
     def window(all_: Column) -> Column:
-        def one(s: Column, i: Column) -> Column:
-            before, after = F.when(i > 0, F.get(all_, i - 1)), F.get(all_, i + 1)
+        # Most sentences have no cue: what surrounds one is looked at only where one is.
+        def one(i: Column) -> Column:
+            s, before, after = F.get(all_, i), F.when(i > 0, F.get(all_, i - 1)), F.get(all_, i + 1)
             low = F.when(s["end"] - before["start"] <= around, before["start"]).otherwise(s["start"])
             high = F.when(after["end"] - low <= around, after["end"]).otherwise(s["end"])
             lead = F.when(s["end"] - before["start"] <= around, before["text"]).otherwise(s["text"])
             blank = F.char_length(lead) - F.char_length(F.regexp_replace(lead, rf"^[{SPACE}]+", ""))
             word = F.lower(F.regexp_extract(s["text"], f"(?i){cues}", 0))
-            return F.struct((low + blank).alias("start"), high.alias("end"), s["start"].alias("sentence"), word.alias("word"), (~s["text"].rlike(f"(?i){strong}")).alias("weak"), s["text"].rlike(f"(?i){cues}").alias("hit"))
+            return F.struct((low + blank).alias("start"), high.alias("end"), s["start"].alias("sentence"), word.alias("word"), (~s["text"].rlike(f"(?i){strong}")).alias("weak"))
 
-        return F.filter(F.transform(all_, one), lambda w: w["hit"])
+        hits = F.filter(F.transform(all_, lambda s, i: F.when(s["text"].rlike(f"(?i){cues}"), i)), lambda i: i.isNotNull())
+        return F.transform(hits, one)
 
-    return rows.select("doc", "page", F.inline(_bound(F.col("_all"), window))).drop("hit")
+    return rows.select("doc", "page", F.inline(_bound(F.col("_all"), window)))
