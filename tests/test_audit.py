@@ -186,3 +186,21 @@ def test_report_words():
     ]
     assert [report.cell(v) for v in (None, True, 1234, 0.5, ["a", "b"])] == ["—", "sim", "1.234", "0,50", "a; b"]
     assert (report.percent(0.955), report.percent(None), report.share(0.947, 19)) == ("96%", "—", "18/19")
+
+
+def test_evidence_searches_once(spark, monkeypatch):
+    """Copies are looked for once, a run compared with in both ways once, and rules that search alike share it all."""
+    from veritome.plans import views
+
+    a, b = (views.records(spark, "/root/testdata/sf0.001", run) for run in "ab")
+    calls = []
+    for module, name in ((confidence.leak, "copied_fields"), (confidence, "field_diffs"), (confidence, "check_fidelity")):
+        plain = getattr(module, name)
+        monkeypatch.setattr(module, name, lambda *args, _f=plain, _n=name, **more: calls.append(_n) or _f(*args, **more))
+    rules = {"v1": confidence.RULE_V1, "v2": confidence.RULE_V2}
+    both = confidence.by_rule(a, b, b, rules, scores=False)
+    assert sorted(calls) == ["check_fidelity", "copied_fields", "field_diffs"]
+    assert str(both._jdf.queryExecution().optimizedPlan()).count("MapInArrow") == 2
+    for name, rule in rules.items():
+        alone = confidence.assign(confidence.evidence(a, b, b, rule=rule, scores=False), rule)
+        assert {(r.doc, r[name]) for r in both.collect()} == {(r.doc, r.confidence) for r in alone.collect()}

@@ -130,3 +130,13 @@ def test_candidate_windows_lose_none():
         if cutoff >= 0.9 and len(letters) > 10:
             compared, every = compared + indexed.compared, every + whole.compared
     assert compared < every / 10
+
+
+def test_one_repeated_piece_makes_no_candidates():
+    """A window has enough different pieces whole; many places of the same one asked for windows in vain."""
+    from veritome.functions import similarity
+
+    needle = "".join(chr(ord("A") + i) for i in range(60))
+    assert not len(similarity.candidates(needle, similarity.Text(needle[:3] * 20), 0.9))
+    text = similarity.Text("x" * 50 + needle[:30] + "_" + needle[31:] + "y" * 50)
+    assert similarity.best_window(needle, text, 0.9) == similarity.best_window(needle, text)
