@@ -140,3 +140,12 @@ def test_one_repeated_piece_makes_no_candidates():
     assert not len(similarity.candidates(needle, similarity.Text(needle[:3] * 20), 0.9))
     text = similarity.Text("x" * 50 + needle[:30] + "_" + needle[31:] + "y" * 50)
     assert similarity.best_window(needle, text, 0.9) == similarity.best_window(needle, text)
+
+
+def test_line_keys_look_for_two_patterns_only(spark):
+    """Runs of spaces and digits; what is left at the ends is one plain space, which needs no pattern."""
+    from veritome.functions import text
+
+    rows = spark.createDataFrame([(" \t Page  12 of 3 \x1c",), ("",), (" \n ",)], "line string")
+    assert [r.k for r in rows.select(text.line_key(F.col("line")).alias("k")).collect()] == ["page # of #", "", ""]
+    assert str(text.line_key(F.col("line"))).count("regexp_replace") == 2
