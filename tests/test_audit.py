@@ -204,3 +204,34 @@ def test_evidence_searches_once(spark, monkeypatch):
     for name, rule in rules.items():
         alone = confidence.assign(confidence.evidence(a, b, b, rule=rule, scores=False), rule)
         assert {(r.doc, r[name]) for r in both.collect()} == {(r.doc, r.confidence) for r in alone.collect()}
+
+
+def test_copies_are_searched_for_only_where_bounds_allow(monkeypatch):
+    """Of values unlike any example none meets the search; copies, exact and near, all do."""
+    names, examples = ("problem", "evidence.quote"), EXAMPLES
+    own = [(f, v) for ex in examples for f in names if (v := ex.fields.get(f))]
+    near = [(f, v.replace("a", "o", 2) + "!") for f, v in own]
+    other = [(f, "zwölf Boxkämpfer jagen Viktor quer über den großen Sylter Deich") for f in names]
+    fields, values = zip(*own, *near, *other, strict=True)
+    able = leakage._able(fields, values, examples, leakage.THRESHOLD)
+    assert able.tolist() == [True] * len(own + near) + [False] * len(other)
+    for f, v, a in zip(fields, values, able, strict=True):
+        assert (leakage.closest(f, v, examples, leakage.THRESHOLD) is not None) <= a
+
+
+def test_texts_are_searched_only_for_terms_of_their_card(spark):
+    """A pattern that fails on the text isn't tried where the card lacks the term."""
+    marker = leakage.Marker(r"\bzebra\b", r"(?:a|b)*c", "com_limitacao")
+    rows = frame(spark, record("long", context="ab" * 50_000), record("short", context="no such letters", problem="a zebra"), record("has", context="abc", problem="a zebra"))
+    assert [(r.doc, r.field) for r in leakage.term_leaks(rows, (marker,)).collect()] == []
+    assert [(r.doc, r.field) for r in leakage.term_leaks(rows, (marker._replace(in_text="savanna"),)).orderBy("doc").collect()] == [("has", "problem"), ("short", "problem")]
+
+
+def test_records_are_counted_where_they_are_joined(spark):
+    """The check for a second record deals records out once."""
+    rows = frame(spark, record("one"), record("two"))
+    checked = diff.one_per_doc(rows, "A")
+    assert checked._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+    assert sorted(r.doc for r in checked.collect()) == ["one", "two"]
+    with pytest.raises(PySparkException, match="run A has more than one record of two"):
+        diff.one_per_doc(rows.union(rows.filter("doc = 'two'")), "A").collect()
