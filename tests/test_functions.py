@@ -149,3 +149,34 @@ def test_line_keys_look_for_two_patterns_only(spark):
     rows = spark.createDataFrame([(" \t Page  12 of 3 \x1c",), ("",), (" \n ",)], "line string")
     assert [r.k for r in rows.select(text.line_key(F.col("line")).alias("k")).collect()] == ["page # of #", "", ""]
     assert str(text.line_key(F.col("line"))).count("regexp_replace") == 2
+
+
+def test_strip_looks_at_the_ends_by_no_pattern(spark):
+    """All kinds of white space go from both ends, those inside stay, and no pattern reads the whole text."""
+    values = [text.SPACES + "a" + text.SPACES + "b" + text.SPACES, text.SPACES, "", None]
+    assert _column(spark, values, text.strip) == ["a" + text.SPACES + "b", "", "", None]
+    assert set(text.SPACES) == {c for c in map(chr, range(0x10000)) if c.isspace()}
+    assert "regexp" not in str(text.strip(F.col("v")))
+
+
+def test_bounds_for_many_needles_lose_none():
+    """What reaches the cutoff, whole or in a window, at the text's ends too, is never ruled out; most others are."""
+    r = random.Random(5)
+    ruled_out = 0
+    for _ in range(300):
+        letters = "abcdefghijklmnopqrstuvwxyz "[: r.choice([3, 8, 27])]
+        text_ = "".join(r.choices(letters, k=r.randrange(0, 200)))
+        needles = []
+        for _ in range(6):
+            at, m = r.randrange(-20, len(text_) + 1), r.randrange(0, 150)
+            needle = list(text_[max(0, at) : at + m]) if r.random() < 0.6 else r.choices(letters, k=m)
+            for _ in range(r.randrange(max(2, m // 6))):
+                k = r.randrange(len(needle) + 1)
+                needle[k : k + r.randrange(2)] = r.choices(letters + "Z", k=r.randrange(2))
+            needles.append("".join(needle))
+        cutoff, whole = r.choice([0.7, 0.8, 0.9]), r.random() < 0.5
+        for needle, able in zip(needles, similarity.may_reach(needles, text_, cutoff, whole=whole), strict=True):
+            score = max(similarity.partial_ratio(needle, text_), similarity.ratio(needle, text_) if whole else 0.0)
+            assert able or score < cutoff
+            ruled_out += not able
+    assert ruled_out > 300
