@@ -221,6 +221,42 @@ def test_top_chunks_beyond_one_block(spark):
     assert sorted(map(tuple, in_blocks.collect())) == sorted(map(tuple, once.collect()))
 
 
+def plain_top_chunks(chunks, queries, k):
+    """As the SQL reads: each pair a sum in the vector's order; null where it is unknown, and last."""
+    best = {}
+    for label, q, v in queries:
+        for doc, c, w in chunks:
+            known = v is not None and w is not None and len(v) == len(w) and None not in (*v, *w)
+            best.setdefault((doc, q), []).append((sum((np.float64(np.float32(a)) * np.float64(np.float32(b)) for a, b in zip(w, v, strict=True)), np.float64(0)) if known else None, c, label))
+    out = {}
+    for (doc, q), rows in best.items():
+        for s, c, label in sorted(rows, key=lambda r: (r[0] is None, r[0] is not None and not np.isnan(r[0]), -np.nan_to_num(r[0]) if r[0] is not None else 0, r[1]))[:k]:
+            out.setdefault((doc, c), []).append(((s is not None, s is not None and bool(np.isnan(s)), np.nan_to_num(s) if s is not None else 0, -q), s, label))
+    top = {key: max(x, key=lambda t: t[0]) for key, x in out.items()}
+    return {key: (repr(round(float(s), 6)) if s is not None else None, label) for key, (_, s, label) in top.items()}
+
+
+def test_top_chunks_in_cells_equal_the_plain_sums(spark, monkeypatch):
+    """Copies tie exactly wherever they lie; null, short and odd vectors keep their places; pairs never become rows of a join."""
+    monkeypatch.setattr(spans, "SHARD", 64)
+    monkeypatch.setattr(spans, "CELL", 256)
+    r = random.Random(5)
+    vec = lambda: [r.gauss(0, 1) for _ in range(7)]
+    hot = vec()
+    chunks = [(r.choice(["a", "b", None]), i, hot if i % 3 == 0 else vec()) for i in range(240)]
+    chunks += [("a", 900, None), ("b", 901, hot[:3]), ("c", 902, None), ("c", 903, hot), ("b", 904, [*hot[:6], None]), ("b", 905, [float("nan"), *hot[1:]]), ("d", 906, [])]
+    queries = [(f"q{i}", i, hot if i % 5 == 0 else vec()) for i in range(30)] + [("none", 50, None), ("short", 51, hot[:3])]
+    held = spark.createDataFrame(chunks, "doc string, chunk long, vector array<float>").repartition(5)
+    asked = spark.createDataFrame(queries, "label string, query long, vector array<float>")
+    near = spans.top_chunks(held, asked, 4, max_queries=9)
+    got = {(x.doc, x.chunk): (None if x.score is None else repr(x.score), x.label) for x in near.collect()}
+    assert got == plain_top_chunks(chunks, queries, 4)
+    plan = near._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan
+    assert spans.top_chunks(held.limit(0), asked, 4).count() == 0 == spans.top_chunks(held, asked.limit(0), 4).count()
+    assert near.schema == spans.top_chunks(held.limit(0), asked, 4).schema
+
+
 def exact_neighbours(rows, queries, k):
     x = np.array([v for _, v in rows], np.float32).astype(np.float64)
     out = set()

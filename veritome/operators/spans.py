@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from functools import reduce
 
 import numpy as np
@@ -10,11 +10,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from veritome.shipping import cut, reach_workers
 
 #: Places of a tile, a power of two; rows of a block.
 TILE, BLOCK = 256, 4096
+#: Chunks of a shard, and scores held at once.
+SHARD, CELL = 8192, 1 << 22
 
 
 def merge_spans(spans: DataFrame, keys: Sequence[str], start: str = "start", end: str = "end", *, score: str | None = None, label: str | None = None) -> DataFrame:
@@ -107,17 +110,86 @@ def top_chunks(chunks: DataFrame, queries: DataFrame, k: int, *, keys: Sequence[
     """Union of each query's ``k`` nearest chunks per group, with best score and that query's label.
 
     ``chunks`` have ``chunk`` (its place in the group) and ``vector``; ``queries`` have ``query``
-    (its place), ``label`` and ``vector``.  Up to ``max_queries`` queries are sent to every task at
-    once; more are dealt out to blocks of about that size by hash, and each block meets all chunks.
+    (its place), ``label`` and ``vector``.  Both are dealt out by hash to a grid of about ``SHARD`` chunks by ``max_queries``
+    queries, and each cell sends on the ``k`` best of its groups for each of its queries.
+    The work is that of all pairs, the memory that of a cell, and nothing passes through the driver.
     """
-    dot = F.aggregate(F.zip_with("vector", "_q", lambda a, b: a.cast("double") * b.cast("double")), F.lit(0.0), lambda a, x: a + x)
-    n = queries.count()
-    n_blocks = max(1, -(-n // max_queries))
-    place = F.pmod(F.xxhash64("query"), F.lit(n_blocks))
-    near = None
-    for b in range(n_blocks):
-        block = queries.filter(place == b) if n_blocks > 1 else queries
-        pairs = chunks.join(F.broadcast(block.select("query", F.col("label").alias("_label"), F.col("vector").alias("_q"))))
-        best = best_k(pairs.withColumn("score", dot).drop("_q"), [*keys, "query"], [F.col("score").desc(), F.col("chunk")], k).drop("vector")
-        near = best if near is None else near.unionByName(best)
+    reach_workers(chunks.sparkSession)
+    n, n_queries = chunks.count(), queries.count()
+    rows, blocks = max(1, -(-n // SHARD), min(chunks.sparkSession.sparkContext.defaultParallelism, n)), max(1, -(-n_queries // max_queries))
+    every = lambda count: F.explode(F.sequence(F.lit(0), F.lit(count - 1)))
+    # Under new names, since both may come from one table.
+    held = chunks.select(*(F.col(c).alias(c) for c in (*keys, "chunk", "vector")), F.pmod(F.xxhash64(*keys, "chunk"), F.lit(rows)).cast("int").alias("_rows"), every(blocks).alias("_block"))
+    asked = queries.select(*(F.col(c).alias(c) for c in ("query", "label", "vector")), F.pmod(F.xxhash64("query"), F.lit(blocks)).cast("int").alias("_block"), every(rows).alias("_rows"))
+    kinds = [*(chunks.schema[c] for c in (*keys, "chunk")), *(queries.schema[c] for c in ("query", "label"))]
+    schema = T.StructType([*kinds, T.StructField("score", T.DoubleType())])
+
+    def compare(own: pa.Table, theirs: pa.Table) -> pa.Table:
+        group = np.zeros(own.num_rows, np.int64)
+        for key in keys:
+            codes = own[key].combine_chunks().dictionary_encode("encode").indices.to_numpy(zero_copy_only=False)
+            group = np.unique(group * (int(codes.max(initial=0)) + 1) + codes, return_inverse=True)[1]
+        own = own.take(pa.array(np.lexsort((own["chunk"].to_numpy(), group))))
+        found = list(_nearest_by_group(own["vector"], theirs["vector"], np.sort(group), k)) if own.num_rows and theirs.num_rows else []
+        asking, row = (np.concatenate([np.zeros(0, np.int64), *(f[i] for f in found)]) for i in (0, 1))
+        score = pa.chunked_array([f[2] for f in found], pa.float64())
+        columns = [*(own[c].take(pa.array(row)) for c in (*keys, "chunk")), *(theirs[c].take(pa.array(asking)) for c in ("query", "label")), score]
+        return pa.table(columns, schema.names)
+
+    near = held.groupBy("_rows", "_block").cogroup(asked.groupBy("_rows", "_block")).applyInArrow(compare, schema)
+    near = best_k(near.withColumnRenamed("label", "_label"), [*keys, "query"], [F.col("score").desc(), F.col("chunk")], k)
     return near.groupBy(*keys, "chunk").agg(F.round(F.max("score"), 6).alias("score"), F.max_by("_label", F.struct("score", -F.col("query"))).alias("label"))
+
+
+def _padded(vectors: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    """Vectors as doubles, filled up with zeros to the longest, and their lengths, -1 for one that is null or holds a null."""
+    lists = vectors.combine_chunks()
+    n, items = lists.value_lengths().fill_null(0).to_numpy().astype(np.int64), lists.flatten()
+    row = np.repeat(np.arange(len(n)), n)
+    place = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
+    out = np.zeros((len(n), int(n.max(initial=0))))
+    out[row, place] = items.cast(pa.float64()).fill_null(0.0).to_numpy()
+    known = lists.is_valid().to_numpy(zero_copy_only=False)
+    known[row[items.is_null().to_numpy(zero_copy_only=False)]] = False
+    return out, np.where(known, n, -1)
+
+
+def _nearest_by_group(own: pa.ChunkedArray, theirs: pa.ChunkedArray, group: np.ndarray, k: int) -> Iterator[tuple[np.ndarray, np.ndarray, pa.Array]]:
+    """(queries, rows, scores) of each query's ``k`` best rows in each ``group``; rows are sorted by group, then by place.
+
+    A matrix product tells which rows may be among them, up to its rounding; their products are then summed up one by one in
+    the vectors' order, and those sums decide, so neither a score nor a tie depends on the company a row is in.
+    The score is null, and last, where lengths differ or a component is null; not-a-number is first.
+    """
+    (x, long), (q, asks) = _padded(own), _padded(theirs)
+    width = max(x.shape[1], q.shape[1])
+    x, q = (np.pad(m, ((0, 0), (0, width - m.shape[1]))) for m in (x, q))
+    # Both orders of summing are within width units of the last place of the product of the norms.
+    norm = lambda m: np.linalg.norm(np.where(np.isfinite(m), m, 0.0), axis=1)
+    with np.errstate(all="ignore"):
+        slack = 4 * (width + 1) * np.finfo(np.float64).eps * norm(x).max(initial=0) * norm(q)
+    starts = np.flatnonzero(np.r_[True, group[1:] != group[:-1]])
+    ends = np.r_[starts[1:], len(group)]
+    large = ends - starts > k
+    few = np.repeat(~large, ends - starts)
+    step = max(1, CELL // len(x))
+    for at in range(0, len(q), step):
+        with np.errstate(all="ignore"):
+            rough = q[at : at + step] @ x.T
+            rough[np.isnan(rough)] = np.inf
+            unknown = (asks[at : at + step, None] != long) | (long < 0)
+            rough[unknown] = -np.inf
+            may = np.repeat(few[None, :], len(rough), axis=0)
+            for a, b in zip(starts[large], ends[large], strict=True):
+                least = np.partition(rough[:, a:b], b - a - k, axis=1)[:, b - a - k] - slack[at : at + step]
+                may[:, a:b] = rough[:, a:b] >= np.where(np.isnan(least), -np.inf, least)[:, None]
+            asking, row = np.nonzero(may)
+            score = np.zeros(len(row))
+            for j in range(width):
+                score += x[row, j] * q[at + asking, j]
+        null, odd = unknown[asking, row], np.isnan(score)
+        order = np.lexsort((row, -np.where(odd, 0.0, score), ~odd, null, group[row], asking))
+        asking, row, score, null = asking[order], row[order], score[order], null[order]
+        first = np.flatnonzero(np.r_[True, (asking[1:] != asking[:-1]) | (group[row[1:]] != group[row[:-1]])]) if len(row) else row
+        kept = np.arange(len(row)) - np.repeat(first, np.diff(np.r_[first, len(row)])) < k
+        yield at + asking[kept], row[kept], pa.array(score[kept], mask=null[kept])
